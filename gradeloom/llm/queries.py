@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from gradeloom.llm.bpe import op1_bpe
+from gradeloom.llm.fingerprints import op2_fingerprints
 from gradeloom.llm.url_filters import op8_url_filters
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_fingerprints": op2_fingerprints,
         "op8_url_filters": op8_url_filters,
     }
 
