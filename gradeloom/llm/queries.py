@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from gradeloom.llm.bpe import op1_bpe
 from gradeloom.llm.fingerprints import op2_fingerprints
+from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.secrets import op6_secrets
 from gradeloom.llm.url_filters import op8_url_filters
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_bpe": op1_bpe,
         "op2_fingerprints": op2_fingerprints,
+        "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
         "op8_url_filters": op8_url_filters,
     }
