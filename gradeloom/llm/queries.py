@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from gradeloom.llm.bpe import op1_bpe
+from gradeloom.llm.decontamination import OP4_SQL, op4_decontamination
 from gradeloom.llm.fingerprints import op2_fingerprints
 from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.secrets import op6_secrets
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_bpe": op1_bpe,
         "op2_fingerprints": op2_fingerprints,
+        "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
         "op8_url_filters": op8_url_filters,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
