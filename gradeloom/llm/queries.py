@@ -8,6 +8,7 @@ from gradeloom.llm.bpe import op1_bpe
 from gradeloom.llm.decontamination import OP4_SQL, op4_decontamination
 from gradeloom.llm.fingerprints import op2_fingerprints
 from gradeloom.llm.pii import op5_pii
+from gradeloom.llm.quality import op10_quality
 from gradeloom.llm.secrets import op6_secrets
 from gradeloom.llm.url_filters import op8_url_filters
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
         "op8_url_filters": op8_url_filters,
+        "op10_quality": op10_quality,
     }
 
 
