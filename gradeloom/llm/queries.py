@@ -7,6 +7,7 @@ from collections.abc import Callable
 from gradeloom.llm.bpe import op1_bpe
 from gradeloom.llm.decontamination import OP4_SQL, op4_decontamination
 from gradeloom.llm.fingerprints import op2_fingerprints
+from gradeloom.llm.near_dups import op3_near_dups
 from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.quality import op10_quality
 from gradeloom.llm.secrets import op6_secrets
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_bpe": op1_bpe,
         "op2_fingerprints": op2_fingerprints,
+        "op3_near_dups": op3_near_dups,
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
