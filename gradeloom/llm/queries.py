@@ -7,6 +7,7 @@ from collections.abc import Callable
 from gradeloom.llm.bpe import op1_bpe
 from gradeloom.llm.decontamination import OP4_SQL, op4_decontamination
 from gradeloom.llm.fingerprints import op2_fingerprints
+from gradeloom.llm.lm_scoring import op7_lm_scores
 from gradeloom.llm.near_dups import op3_near_dups
 from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.quality import op10_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable]:
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
+        "op7_lm_scores": op7_lm_scores,
         "op8_url_filters": op8_url_filters,
         "op10_quality": op10_quality,
     }
