@@ -222,8 +222,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again.
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again; ids if asked for.
 
     Rows are handled one by one in parts of a few MB of text: null counts as empty, an empty text has no
     ids, repeated rows and ids keep their rows, other columns are ignored, an empty table gives no rows.
@@ -240,10 +240,15 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    names.append("ids")
+                    flat, ends = np.frombuffer(b"".join(ids), "<u4").astype(np.int32), np.cumsum([0, *(len(x) // 4 for x in ids)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -224,6 +224,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc
     return rows.mapInArrow(work, f"id {rows.schema[id_col].dataType.simpleString()}, score double")
 
 
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, Network], threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least threshold. Rows are neither joined nor moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = sent.value
+        for batch in batches:
+            for part in slices(batch, text_col):
+                x = np.array([pooled(t, vectors) for t in part.column(text_col).to_pylist()], float)
+                yield part.filter(pa.array(net.score(x) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
     docs = table(spark, sf_dir, "documents")

@@ -12,6 +12,7 @@ from gradeloom.llm.near_dups import op3_near_dups
 from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.quality import op10_quality
 from gradeloom.llm.secrets import op6_secrets
+from gradeloom.llm.token_files import op9_token_files
 from gradeloom.llm.url_filters import op8_url_filters
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable]:
         "op6_secrets": op6_secrets,
         "op7_lm_scores": op7_lm_scores,
         "op8_url_filters": op8_url_filters,
+        "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
     }
 
