@@ -19,7 +19,6 @@ from gradeloom.llm.words import words
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 13)]))
-_memo: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -32,13 +31,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of a text's runs of `size` words; fewer words are one run, no words none."""
     own = words(text)
-    if len(_memo) > 500_000:
-        _memo.clear()
-    for w in set(own).difference(_memo):
-        _memo[w] = xxhash.xxh64_intdigest(w)
     if not own:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter(map(_memo.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
     n = max(1, len(own) - size + 1)
     out = np.full(n, min(len(own), size), np.uint64)
     for i in range(min(size, len(own))):
@@ -104,6 +99,19 @@ def _node(text: str | None, own: tuple[np.ndarray, np.ndarray]) -> bytes:
     return xxhash.xxh3_128_digest(own[0].tobytes() + own[1].tobytes())
 
 
+def _groups(some: list[int], sets: list, most: int = 250_000) -> Iterator[list[int]]:
+    """Parts of the list whose signatures together look at about `most` cells; one set at least."""
+    part, cells = [], 0
+    for i in some:
+        part.append(i)
+        cells += max(int(sets[i][1].sum()), 1000)
+        if cells >= most:
+            yield part
+            part, cells = [], 0
+    if part:
+        yield part
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, weight, bands): the class of exactly equal shingles and the band keys of each text."""
 
@@ -114,8 +122,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 sets = [shingles(t) for t in texts]
                 some = [i for i, s in enumerate(sets) if len(s[0])]
                 keys: list = [[] for _ in texts]
-                if some:
-                    for i, row in zip(some, band_keys(signatures([sets[i] for i in some])), strict=True):
+                for group in _groups(some, sets):
+                    for i, row in zip(group, band_keys(signatures([sets[i] for i in group])), strict=True):
                         keys[i] = row
                 columns = [part.column(0), pa.array([_node(t, s) for t, s in zip(texts, sets, strict=True)], pa.binary()), pa.array([int(c.sum()) for _, c in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "weight", "bands"])
