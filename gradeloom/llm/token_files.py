@@ -27,7 +27,7 @@ from gradeloom.llm.pieces import PieceEncoder, slices
 
 MAGIC = b"GLB1"
 #: Ids of a block (it ends with the text that reaches them), its most lanes, steps between two counts.
-BLOCK_IDS, LANES, REFRESH = 1 << 20, 2048, 16
+BLOCK_IDS, LANES, REFRESH = 1 << 20, 4096, 8
 #: log2 of the total of a choice's and of an id's frequencies; slots of the order-2 table.
 CHOICE_BITS, ID_BITS, SLOTS = 16, 22, 1 << 18
 
@@ -283,20 +283,20 @@ def read(spark: SparkSession, path: str, alphabet: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                lengths = batch.column(3)[r].as_py()
-                raw = decode_block(batch.column(4)[r].as_py(), alphabet).tobytes()
+                lengths = batch.column(2)[r].as_py()
+                raw = decode_block(batch.column(3)[r].as_py(), alphabet).tobytes()
                 ends = np.cumsum([0, *lengths]).tolist()
-                n = len(lengths)
+                first = np.array(ends[:-1], np.int64) + batch.column(0)[r].as_py()
                 tokens = [raw[4 * s : 4 * e] for s, e in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * n, pa.int32()), pa.array([batch.column(1)[r].as_py()] * n, pa.int32()), batch.column(2)[r].values, pa.array(ends[:-1], pa.int64()), pa.array(tokens, pa.binary())], names=["shard", "block", "id", "within", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[r].values, pa.array(first), pa.array(tokens, pa.binary())], names=["id", "start", "tokens"])
 
-    texts = files.select("shard", "block", "ids", "lengths", "data").mapInArrow(work, f"shard int, block int, id {kind}, within long, tokens binary")
     sizes = files.select("shard", "block", "n_ids")
     blocks = sizes.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     totals = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     places = blocks.join(totals, "shard").select("shard", "block", (F.col("before") + F.col("in_shard")).alias("offset"))
-    return texts.join(places, ["shard", "block"]).select("id", (F.col("offset") + F.col("within")).alias("start"), "tokens")
+    rows = files.join(places, ["shard", "block"]).select("offset", "ids", "lengths", "data")  # joined while still coded
+    return rows.mapInArrow(work, f"id {kind}, start long, tokens binary")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
