@@ -36,12 +36,13 @@ def norm_texts(spark, sf_dir):
     return _source(spark, sf_dir).select("qid", norm(F.concat(F.col("text"), F.lit(" 12land3 I l"))).alias("norm"))
 
 
-_SAME = F.col("t_paper") == F.col("s_paper")
+def _same():
+    return F.col("t_paper") == F.col("s_paper")
 
 
 def question_pairs(spark, sf_dir):
     """Pairs of questions between both versions of each paper that are alike enough to be candidates."""
-    p = M.similar_pairs(M.prepare(_target(spark, sf_dir)), M.prepare(_source(spark, sf_dir).where("answer IS NOT NULL")), _SAME)
+    p = M.similar_pairs(M.prepare(_target(spark, sf_dir)), M.prepare(_source(spark, sf_dir).where("answer IS NOT NULL")), _same())
     return p.select("t", "s", F.round("score", 9).alias("score"))
 
 
@@ -53,7 +54,7 @@ def option_similarities(spark, sf_dir):
 
 
 def _decided(spark, sf_dir) -> DataFrame:
-    return M.transfer(_target(spark, sf_dir), _source(spark, sf_dir), _SAME)
+    return M.transfer(_target(spark, sf_dir), _source(spark, sf_dir), _same())
 
 
 def transferred_answers(spark, sf_dir):
