@@ -13,7 +13,7 @@ from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.quality import op10_quality
 from gradeloom.llm.secrets import op6_secrets
 from gradeloom.llm.token_files import op9_token_files
-from gradeloom.llm.url_filters import op8_url_filters
+from gradeloom.llm.url_filters import op8_sql, op8_url_filters
 
 
 def queries() -> dict[str, Callable]:
@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op8_url_filters": op8_sql()}

@@ -99,3 +99,31 @@ def op8_url_filters(spark, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return filter_urls(pages).select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), "rule", "verdict", "component")
+
+
+def _key_sql(url: str) -> str:
+    rest = f"regexp_extract({url}, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1)"
+    rest = f"regexp_replace({rest}, '([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+', '\\1', 'g')"
+    rest = f"regexp_replace(regexp_replace({rest}, '[?&]$', ''), '/$', '')"
+    low = f"translate(regexp_extract({rest}, '^[^/?]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"CASE WHEN length({rest}) > 0 THEN {low} || regexp_replace({rest}, '^[^/?]*', '') END"
+
+
+def op8_sql(rules: Sequence[tuple[str, str, str]] = RULES) -> str:
+    """DuckDB SQL for op8_url_filters."""
+    order = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[0] != "allow"))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in order]
+    rule = " ".join(f"WHEN {f} THEN '{h + p}'" for f, (_, h, p) in zip(fits, order, strict=True))
+    own = " ".join(f"WHEN {f} THEN '{what}'" for f, (what, _, _) in zip(fits, order, strict=True))
+    return f"""WITH RECURSIVE a AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_key_sql("url")} AS key FROM a),
+p AS (SELECT *, CASE {rule} END AS rule, CASE {own} END AS own FROM b),
+t AS (SELECT key, host, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS x FROM p WHERE key IS NOT NULL),
+l AS (SELECT key AS u, {_key_sql("CASE WHEN starts_with(x, '//') THEN 'http:' || x WHEN starts_with(x, '/') THEN 'http://' || host || x ELSE x END")} AS v FROM t WHERE length(x) > 0),
+e AS (SELECT u, v FROM l WHERE u <> v UNION SELECT v, u FROM l WHERE u <> v),
+w AS (SELECT u AS n, u AS m FROM e UNION SELECT w.n, e.v FROM w JOIN e ON e.u = w.m),
+c AS (SELECT n AS key, min(m) AS component FROM w GROUP BY n),
+k AS (SELECT p.key, coalesce(component, p.key) AS component, bool_or(coalesce(own = 'block', false)) AS blocked, bool_or(coalesce(own = 'allow', false)) AS allowed FROM p LEFT JOIN c ON c.key = p.key WHERE p.key IS NOT NULL GROUP BY ALL),
+d AS (SELECT component, bool_or(blocked) AND NOT bool_or(allowed) AS bad FROM k GROUP BY component)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN bad THEN 'block' END, 'allow') AS verdict, k.component FROM p LEFT JOIN k ON k.key = p.key LEFT JOIN d ON d.component = k.component"""

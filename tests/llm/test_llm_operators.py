@@ -237,6 +237,12 @@ def test_url_filters(spark, empty):
     assert got[4] == got[5] == got[6] == got[10] == (None, "allow")
     assert got[7] == got[8] == got[9] == (None, "block") and got[11] == ("example.com/en/", "block")
     assert url_filters.filter_urls(df.limit(0)).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    rows = url_filters.filter_urls(df).select("page_id", "url_host", "url_path", "rule", "verdict", "component").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.sql(url_filters.op8_sql()).fetchall())
 
 
 def test_components(spark):
