@@ -202,7 +202,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = saved(verified(pairs, feature, least), "near_links")
     label = saved(connected_components(links), "near_labels")
     opened = members.where((F.col("n") > 2) & (F.col("node") != F.col("head"))).select("key", "node", "weight")
-    tested, many = pairs, 8
+    tested, many = pairs, 32
     while True:
         opened = opened.join(label, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("class"))
         mixed = opened.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("key")
