@@ -14,7 +14,7 @@ ENGLISH_WORDS = (
     "more most all any after before during state country government"
 ).split()
 
-#: (type, all patterns that the text must match), first fit wins. Case does not matter.
+# Fixed values: (type, all patterns that the text must match), first fit wins. Case does not matter.
 TYPES = (
     ("Assertion and reason", (r"assertion\s*\(?a\)?", r"reason\s*\(?r\)?")),
     ("Match the lists", (r"match\s+list|list\s*[-–]?\s*i\b.*list\s*[-–]?\s*ii",)),

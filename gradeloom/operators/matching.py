@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import norm, words
 
 MIN_QUESTION, MIN_OPTION = 0.55, 0.6
-#: Words that must agree in short code options.
+# Fixed value: words that must agree in short code options.
 QUALIFIER = "^(?:only|both|neither|nor|all|none|and|or)$"
 
 
