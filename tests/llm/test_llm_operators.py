@@ -228,6 +228,45 @@ def test_lm_scores(spark, docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_scores_use_contexts_of_four_bytes(spark, docs):
+    def brute(train, texts, order):
+        n = Counter()
+        followers: dict = {}
+        for t in train:
+            b = b"\xff" * order + t.encode() + b"\xff"
+            for i in range(order, len(b)):
+                for o in range(order + 1):
+                    followers.setdefault(b[i - o : i], Counter())[b[i]] += 1
+        for t in texts:
+            b, total = b"\xff" * order + t.encode() + b"\xff", 0.0
+            for i in range(order, len(b)):
+                left: set = set()
+                for o in range(order, -1, -1):
+                    c = {k: v for k, v in followers.get(b[i - o : i], {}).items() if k not in left}
+                    if b[i] in c:
+                        total += math.log10(c[b[i]] / (sum(c.values()) + len(c)))
+                        break
+                    if c:
+                        total += math.log10(len(c) / (sum(c.values()) + len(c)))
+                    left |= set(c)
+                else:
+                    total -= math.log10(256 - len(followers[b""]))
+            n[t] = round(total, 2)
+        return n
+
+    rows = docs.collect()
+    train = [r.text or "" for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    want = brute(train, {r.text or "" for r in rows}, 4)
+    got = lm_scoring.score(docs).join(docs.select(F.col("doc_id").alias("id"), "text").distinct(), "id").collect()
+    for i, t in {(r.id, r.text or "") for r in got}:
+        assert any(abs(r.score - want[t]) < 0.02 for r in got if r.id == i), (i, t)
+    # what follows is told only by the fourth byte back
+    told = [(i, ("abcd1 zbcd2 " if i % 2 else "zbcd2 abcd1 ") * 5) for i in range(200)]
+    df = spark.createDataFrame(told, "doc_id long, text string")
+    two, four = (lm_scoring.score(df, order=o).where("held_out").agg(F.sum("score")).first()[0] for o in (2, 4))
+    assert four > 0.8 * two
+
+
 def test_url_filters(spark, empty):
     link = '<link href="http://bad.example.com/en/1" rel="canonical">'
     urls = [("http://x.example.com/en/a", None), ("https://www.example.com/en/a", None), ("http://example.com", None), ("ftp://A.NET/es/?q", None), ("http://notnet/es/", None), (None, None), ("nonsense", "<p>"), ("http://mirror.org/1", link), ("http://mirror2.org/1#x", '<meta http-equiv="refresh" content="0; url=http://mirror.org/1">'), ("https://mirror2.org/1/", None), ("http://free.org/", None), ("http://bad.example.com/en/1", None)]
