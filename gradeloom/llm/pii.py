@@ -27,11 +27,12 @@ BASE = {
 #: High-recall generators; their spans may overlap each other and the base spans.
 GENERATORS = {
     "mail_like": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+",
+    "mail_tight": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]++)+",
     "number_like": r"[+(]?[0-9](?:[0-9() ./-]{5,38}[0-9])",
 }
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|card|account|acct|ssn|iban|mail|contact|address|ip)\W{0,3}$"
-FEATURES = ("digits", "others", "groups", "first_group", "plus", "parens", "dots", "dashes", "spaces", "luhn", "ip_parts", "at", "cue", "glued_left", "glued_right")
+FEATURES = ("digits", "others", "groups", "first_group", "plus", "parens", "dots", "dashes", "spaces", "luhn", "ip_parts", "at", "cue", "glued_left", "glued_right", "letters", "last_group", "masked", "loose_dots")
 
 
 def luhn(digits: Column) -> Column:
@@ -63,9 +64,10 @@ def with_base_spans(docs: DataFrame, text_col: str = "text", more: Mapping[str,
     """Add a column of spans for each base kind, and for each pattern of more without a test."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     at, digit = F.contains(text, F.lit("@")), text.rlike("[0-9]")
+    masked = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
     gates = {
         "email": at, "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")),
-        "mail_like": at | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), "number_like": digit,
+        "mail_like": at | masked, "mail_tight": at | masked, "number_like": digit,
     }
     patterns = BASE | dict(more or {})
     out = with_matches(docs, text_col, patterns, {k: g for k, g in gates.items() if k in patterns})
@@ -91,6 +93,8 @@ def _features(text: Column, s: Column) -> Column:
         "dashes": count("-"), "spaces": count(" "), "luhn": F.length(digits).between(14, 19) & luhn(digits), "ip_parts": m.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"),
         "at": F.contains(m, F.lit("@")), "cue": before.rlike(CUES), "glued_left": before.rlike("[A-Za-z0-9_]$"),
         "glued_right": F.substring(text, s["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9_%]"),
+        "letters": count("[A-Za-z]"), "last_group": F.length(F.regexp_extract(m, "([0-9]+)[^0-9]*$", 1)), "masked": count(r"[(\[](?:at|dot)[)\]]"),
+        "loose_dots": count(r"(?<! )\. "),
     }
     return F.struct(*(each[f].cast("int").cast("double").alias(f) for f in FEATURES))
 
@@ -139,21 +143,80 @@ def _as_sql(lines: list[str]) -> str:
     return f"IF(x.{FEATURES[int(m[1])]} <= {float(m[2])!r}D, {low}, {_as_sql(lines)})"
 
 
+def _examples(sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, start, end, label: spans with their surroundings, written in ways that no base rule matches.
+
+    Personal data are the mails and phones of the base rules, masked or without the country's number. The
+    rest are dates, amounts and tables made of the digits of the same documents, prose around an "at", and
+    masked mails that run on into the next sentence.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = with_base_spans(sample, text_col, {"number_like": GENERATORS["number_like"]})
+
+    def around(spans: str, written) -> Column:
+        def each(s: Column) -> Column:
+            left, right = F.substring(text, F.greatest(s["start"] - 19, F.lit(1)), F.least(s["start"], F.lit(20))), F.substring(text, s["end"] + 1, F.lit(20))
+            return F.transform(F.array(*written(s["match"])), lambda v: F.struct(left.alias("left"), v.alias("own"), right.alias("right")))
+
+        return F.flatten(F.transform(spans, each))
+
+    def mails(m: Column) -> list[Column]:
+        user, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+
+        def dots(d: str) -> Column:
+            return F.replace(host, F.lit("."), F.lit(d))
+
+        ways = [(" (at) ", dots(" (dot) ")), ("[at]", dots("[dot]")), ("(at)", host), (" [at] ", host), (" @ ", host), (" (at) ", dots(" . "))]
+        return [F.concat(user, F.lit(at), h) for at, h in ways]
+
+    def run_on(m: Column) -> list[Column]:
+        return [F.concat(mail, F.lit(". The")) for mail in mails(m)]
+
+    def written_as(d: Column, form: str) -> Column:
+        """The digits of d put for the runs of 9 in form."""
+        out, at = [], 1
+        for part in re.findall("9+|[^9]+", form):
+            out.append(F.substring(d, at, len(part)) if part[0] == "9" else F.lit(part))
+            at += len(part) * (part[0] == "9")
+        return F.concat(*out)
+
+    def phones(m: Column) -> list[Column]:
+        return [written_as(F.right(only_digits(m), F.lit(10)), form) for form in ("999-999-9999", "(999) 999-9999", "999 999 9999", "999.999.9999")]
+
+    def others(m: Column) -> list[Column]:
+        d = F.repeat(only_digits(m), F.lit(3))
+        forms = ("9999-99-99", "99.99.9999", "99/99/9999", "9.999.999", "999.999.999", "99 99 99 99", "9999 99 9999", "9999 9999", "999-9-99-999999-9", "9999-9999-9999", "99 @ 9.99")
+        return [written_as(d, form) for form in forms]
+
+    words = F.regexp_extract(text, r"([A-Za-z]+) ([A-Za-z]+\. [A-Za-z]+)", 1), F.regexp_extract(text, r"([A-Za-z]+) ([A-Za-z]+\. [A-Za-z]+)", 2)
+    prose = F.transform(F.array(*(F.concat(words[0], F.lit(at), words[1]) for at in (" (at) ", " [at] ", " @ "))), lambda v: F.struct(F.lit("").alias("left"), v.alias("own"), F.lit("").alias("right")))
+    kinds = {1.0: [around("email", mails), around("phone", phones)], 0.0: [around("number_like", others), around("email", run_on), F.when(words[0] != "", prose).otherwise(F.filter(prose, lambda v: F.lit(False)))]}
+    labelled_arrays = [F.transform(F.concat(*each), lambda e: F.struct(e["left"].alias("left"), e["own"].alias("own"), e["right"].alias("right"), F.lit(label).alias("label"))) for label, each in kinds.items()]
+    made = rows.select(F.col(id_col).alias("id"), F.explode(F.concat(*labelled_arrays)).alias("e"))
+    start = F.char_length("e.left")
+    return made.select("id", F.concat("e.left", "e.own", "e.right").alias("text"), start.alias("start"), (start + F.char_length("e.own")).alias("end"), "e.label")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, precision: float = 0.98) -> Trees | None:
     """Fit trees to tell candidates that are personal data from the rest.
 
-    The labels are the base rules' own decisions, so the trees carry them over to what merely looks and
-    stands alike. Training takes the sample_rows rows of least id hash; a quarter of the candidates is
-    held out to calibrate: the threshold is the lowest score above which at least this share of them is
-    personal data. None where the sample has only one class.
+    Personal data are base spans rewritten so that no base rule matches them (masked mails, national phones);
+    the rest are the candidates that touch no base span, and other things written alike. Candidates that touch
+    a base span are not for the trees to decide and teach nothing. Training takes the sample_rows rows of least
+    id hash; the candidates of a quarter of the ids are held out to calibrate: the threshold is the lowest
+    score above which at least this share of them is personal data, also within each twentieth. None where the sample has only one class.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     chosen = docs.select(id_col).orderBy(F.xxhash64(id_col)).limit(sample_rows).distinct()
-    sample = with_candidates(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col, "left_semi"), text_col)
-    rows = sample.select(F.col(id_col).alias("id"), F.explode("candidates").alias("c")).select("id", "c.start", "c.x.*", F.col("c.base").cast("double").alias("label"))
-    rows = rows.withColumn("held", F.pmod(F.xxhash64("id", "start"), F.lit(4)) == 0)
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col, "left_semi")
+    sample = saved(sample, "pii_texts")
+    found = with_candidates(sample, text_col).select(F.col(id_col).alias("id"), F.explode("candidates").alias("c"), F.lit(0.0).alias("label"))
+    made = with_candidates(saved(_examples(sample, id_col, text_col), "pii_examples")).select("id", "start", "end", F.explode("candidates").alias("c"), "label")
+    made = made.where((F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end"))).select("id", "c", "label")
+    rows = saved(found, "pii_found").unionByName(saved(made, "pii_made")).where("NOT c.base").select("id", "c.x.*", "label")
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(4)) == 0)
     rows = saved(rows.repartition(4, "id"), "pii_sample")
     counts = {r["label"]: r["n"] for r in rows.where("not held").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
@@ -172,7 +235,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     threshold = None
     for b in bins:
         good, n = good + b["good"], n + b["n"]
-        if good < precision * n:
+        if good < precision * n or b["good"] < precision * b["n"]:
             break
         threshold = b["bin"] / 20
     return Trees(trees.margin, threshold)

@@ -173,6 +173,23 @@ def test_boosted_trees_choose_candidates(spark):
     assert pii.find_pii(df, trees).where("size(added) > 0 AND doc_id % 2 = 0").count() == 0
 
 
+def test_masked_mails_and_national_phones_are_redacted(spark):
+    rng = random.Random(10)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(600):
+        mine = [f"write to ann.{digits(2)}@mail{digits(1)}.example.com today", f"ring us +1 ({digits(3)}) 555-{digits(4)} today", f"the lot {digits(rng.randrange(7, 13))} went. Then it rained"][i % 3]
+        rows.append((i, "it was so. " + mine))
+    trees = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    planted = {
+        "to john (at) example (dot) com or": "to [PRIVATE] or", "to john[at]example[dot]com or": "to [PRIVATE] or", "me: 555-123-4567 now": "me: [PRIVATE] now",
+        "me: (555) 123-4567 now": "me: [PRIVATE] now", "to a@b.com, now": "to [EMAIL], now", "john (at) example (dot) com. Then": "[PRIVATE]. Then",
+    }
+    kept = ["on 2020-12-05 we", "sum 1.234.567 of", "we met (at) noon. Then we", "lot 5551234567 of", "part 12 34 56 of", "10 @ 2.50 each"]
+    df = spark.createDataFrame([(t,) for t in [*planted, *kept]], "text string").withColumn("was", F.col("text"))
+    assert {r.was: r.text for r in pii.redact(df, trees).collect()} == planted | {t: t for t in kept}
+
+
 def test_secrets(spark, docs, empty):
     assert secrets.trigram_query("[0-9a-f]{32,}") == []
     assert secrets.trigram_query("api_?key") == [[frozenset({"api", "pi_", "i_k", "_ke", "key"}), frozenset({"api", "pik", "ike", "key"})]] or len(secrets.trigram_query("api_?key")[0]) == 2
