@@ -68,9 +68,8 @@ def transfer_summary(spark, sf_dir):
 
 
 def best_sources(spark, sf_dir):
-    """The best key source of every paper among its own and its neighbours' other versions."""
-    near = F.abs(F.col("t_paper") - F.col("s_paper")) <= 1
-    return M.best_source(M.transfer(_target(spark, sf_dir), _source(spark, sf_dir), near), _target(spark, sf_dir))
+    """The best key source of every paper among all papers."""
+    return M.best_source(M.transfer(_target(spark, sf_dir), _source(spark, sf_dir)), _target(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (norm_words, norm_texts, question_pairs, option_similarities, transferred_answers, transfer_summary, best_sources)}

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gradeloom.jobs import match_queries
 from gradeloom.operators import matching as M
 
 AR = ["Both (A) and (R) are true and (R) is the correct explanation of (A)", "(A) is false, but (R) is true", "Both (A) and (R) are true, but (R) is not the correct explanation of (A)", "(A) is true, but (R) is false"]
@@ -29,6 +30,14 @@ def test_versions_of_a_paper(spark):
     assert M.best_source(decided, t).first().s_paper == "A"
 
 
+def test_best_source_is_found_among_all_papers(spark, monkeypatch):
+    schema = SCHEMA.replace("paper_id string", "paper_id long")
+    t, s = ([(p, *r[1:]) for r in rows] for p, rows in ((1, TARGET), (9, SOURCE)))
+    monkeypatch.setattr(match_queries, "_target", lambda *_: spark.createDataFrame(t, schema))
+    monkeypatch.setattr(match_queries, "_source", lambda *_: spark.createDataFrame(s, schema))
+    assert [(r.t_paper, r.s_paper, r.copied) for r in match_queries.best_sources(spark, "").collect()] == [(1, 9, 3)]
+
+
 def test_rounds_equal_greedy(spark):
     rng = random.Random(4)
     rows = list({(t, s): (f"t{t}", f"s{s}", "T", "S", t, s, t, rng.choice([0.5, 0.6, 0.7, 0.8])) for t, s in ((rng.randrange(12), rng.randrange(12)) for _ in range(70))}.values())
