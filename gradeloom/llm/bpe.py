@@ -9,11 +9,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from gradeloom.llm.pieces import PieceEncoder, slices
 
 NONE = 1 << 62
+#: Bytes of text that are encoded at once, one row at least.
+SLICE = 4_000_000
 
 
 class SegmentTreeBpe:
@@ -25,11 +28,14 @@ class SegmentTreeBpe:
     pieces are merged many at once, a row of a numpy array for each; long ones singly.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = r"(?s).+", most: int = 64, entries: int = 400_000):
         self.ranks, self.most = ranks, most
-        self.vocab = [b""] * (max(ranks.values()) + 1)
+        self.find, self.memo, self.entries = regex.compile(pattern).findall, {}, entries
+        vocab = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.vocab[rank] = token
+            vocab[rank] = token
+        self.width = np.array([len(v) for v in vocab])
+        self.begin, self.bytes = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(vocab), np.uint8)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
@@ -181,16 +187,39 @@ class SegmentTreeBpe:
                     out[i] = ids
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; each match of the pattern is merged by itself, equal pieces once."""
+        split = [self.find(t) for t in texts]
+        if len(self.memo) > self.entries:
+            self.memo.clear()
+        new = list({p for s in split for p in s} - self.memo.keys())
+        self.memo.update(zip(new, self.encode_pieces(new), strict=True))
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, s)), "<u4") for s in split]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for, one after the other."""
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        at = np.repeat(self.begin[ids] - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)
+        return self.bytes[at]
 
 
 @lru_cache(2)
 def coder(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceEncoder]:
     """One coder for each vocabulary and Python worker."""
     with open(path, "rb") as f:
-        bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-    return bpe, PieceEncoder(pattern, bpe.encode_pieces)
+        bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+    return bpe, PieceEncoder(bpe.encode_texts, bpe.width)
+
+
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+
+
+def _sha256(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The hexadecimal digest of each part of data."""
+    whole, ends = memoryview(np.ascontiguousarray(data)), at.tolist()
+    return pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,11 +228,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids_of = coder(path, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids_of(t or "" for t in part.column(text_col).to_pylist())]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[id_col, "ids"])
+            for part in slices(batch, text_col, SLICE):
+                yield pa.RecordBatch.from_arrays([part.column(id_col), _lists(*ids_of(part.column(text_col)))], names=[id_col, "ids"])
 
     rows = docs.select(id_col, text_col)
     return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -215,8 +241,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = coder(path, pattern)
         for batch in batches:
-            out = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(out, pa.binary())], names=[id_col, "decoded"])
+            for row in range(batch.num_rows):  # a row's bytes may be many times its ids
+                ids = batch.column(ids_col).slice(row, 1).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(row, 1), pa.array([bpe.decode(ids).tobytes()], pa.binary())], names=[id_col, "decoded"])
 
     rows = encoded.select(id_col, ids_col)
     return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, decoded binary")
@@ -232,19 +259,15 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, ids_of = coder(path, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
-                ids = ids_of(t or "" for t in part.column(text_col).to_pylist())
-                columns = [
-                    part.column(id_col),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
-                ]
+            for part in slices(batch, text_col, SLICE):
+                ids, at = ids_of(part.column(text_col))
+                raw = bpe.decode(ids)
+                bounds = np.concatenate([[0], np.cumsum(bpe.width[ids])])[at]
+                columns = [part.column(id_col), pa.array(np.diff(at)), _sha256(ids.astype("<u4").view(np.uint8), 4 * at), _sha256(raw, bounds)]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     names.append("ids")
-                    flat, ends = np.frombuffer(b"".join(ids), "<u4").astype(np.int32), np.cumsum([0, *(len(x) // 4 for x in ids)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                    columns.append(_lists(ids, at))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(id_col, text_col)

@@ -1,79 +1,115 @@
-"""Splitting texts into tokenizer pieces, with bounded memos of what was encoded before."""
+"""Splitting texts into chunks that tokenizers never join, with a bounded memo of what was encoded before."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 
-_TWO_SPACES = re.compile(r"\s\s")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
+def _flags(values: list[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[values] = True
+    return out
 
-def chunks(text: str) -> list[str]:
-    """Cut before every lone space: the pattern of byte-level BPE never matches across such a place.
 
-    A space between two characters that are no white space ends the run before it and opens the match
-    after it, so each chunk can be matched by itself.
-    """
-    parts = text.split(" ") if not _TWO_SPACES.search(text) else _LONE_SPACE.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+#: Bytes that are white space, that open, close, or come second last in a character of white space (or in others too).
+_SPACE, _OPEN = _flags([*range(9, 14), *range(28, 33)]), _flags([*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+_LAST, _BEFORE_LAST = _flags([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]), _flags([0xC2, 0x9A, 0x80, 0x81])
+
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of the texts, one after the other, and where each text begins and the last ends; null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) and at[-1] else np.empty(0, np.uint8)
+    return raw, at - at[0]
 
-class _Memo(dict):
-    """A dict that notes which keys were asked for in vain."""
 
-    def __init__(self):
-        super().__init__()
-        self.todo = set()
+def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of lone spaces inside texts: the pattern of byte-level BPE never matches across such a place.
 
-    def __missing__(self, key):
-        self.todo.add(key)
+    A space between two characters that are no white space ends the match before it and opens the one
+    after it. Where bytes cannot tell a neighbour from white space beyond ASCII, no cut is made.
+    """
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[at] = True
+    space = np.flatnonzero(raw == 32)
+    space = space[~begin[space] & ~begin[space + 1]]
+    last, then = raw[space - 1], raw[np.minimum(space + 1, max(len(raw) - 1, 0))]
+    return space[~(_SPACE[last] | _OPEN[then] | (_LAST[last] & _BEFORE_LAST[raw[space - 2]]))]
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of many texts at once.
 
-    encode_pieces turns a list of distinct pieces into their ids' bytes; it sees a piece again only after
-    a memo has reached `entries` and was emptied, so memory stays bounded whatever the vocabulary.
+    encode turns texts into id arrays; width holds the bytes that each id stands for. Texts are cut into
+    chunks, equal chunks of a call are found by Arrow, and only chunks not met before are encoded: joined
+    to long texts, which the tokenizer cuts at the same places, so a call costs no more than its ids. The
+    memo is emptied when it holds `entries` chunks, so memory stays bounded whatever the vocabulary.
     """
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[bytes]], entries: int = 600_000):
-        self.find, self.encode_pieces, self.entries = regex.compile(pattern).findall, encode_pieces, entries
-        self.of_chunk, self.of_piece = _Memo(), _Memo()
-
-    def _learn(self) -> None:
-        todo = list(self.of_chunk.todo)
-        self.of_chunk.todo = set()
-        split = [self.find(c) for c in todo]
-        for known in split:
-            for p in known:
-                self.of_piece[p]
-        new = list(self.of_piece.todo)
-        self.of_piece.todo = set()
-        self.of_piece.update(zip(new, self.encode_pieces(new), strict=True))
-        get = self.of_piece.__getitem__
-        self.of_chunk.update((c, b"".join(map(get, s))) for c, s in zip(todo, split, strict=True))
-
-    def __call__(self, texts: Iterable[str]) -> list[bytes]:
-        for memo in (self.of_chunk, self.of_piece):
-            if len(memo) > self.entries:
-                memo.clear()
-        get = self.of_chunk.__getitem__
-        cut = [chunks(t) for t in texts]
-        found = [list(map(get, c)) for c in cut]
-        if self.of_chunk.todo:
-            self._learn()
-            found = [list(map(get, c)) if None in f else f for c, f in zip(cut, found, strict=True)]
-        return [b"".join(f) for f in found]
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], width: np.ndarray, entries: int = 800_000):
+        self.encode, self.width, self.entries = encode, width, entries
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Append the ids of new chunks, in their order, to the memo."""
+        alike = [c[:1] == b" " and len(c) > 1 and not _OPEN[c[1]] and not _SPACE[c[-1]] and not _LAST[c[-1]] for c in new]
+        joined = [c for c, a in zip(new, alike, strict=True) if a]
+        parts = [joined[k : k + 4096] for k in range(0, len(joined), 4096)]
+        single = [[c] for c, a in zip(new, alike, strict=True) if not a]
+        found = self.encode([b"".join(p).decode() for p in [*parts, *single]])
+        counts = []
+        for part, ids in zip([*parts, *single], found, strict=True):
+            ends = np.cumsum(self.width[ids])
+            counts.append(np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, part)]), "right")))
+        counts, flat = np.concatenate(counts), np.concatenate(found)
+        # back from (joined, single) to the order of new
+        order = np.concatenate([np.flatnonzero(alike), np.flatnonzero(~np.array(alike))]).astype(np.int64)
+        begins = np.empty(len(new), np.int64)
+        sizes = np.empty(len(new), np.int64)
+        begins[order], sizes[order] = np.cumsum(counts) - counts, counts
+        ends = np.cumsum(sizes)
+        at = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])
+        base = self.ends[-1]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.ids, self.ends = np.concatenate([self.ids, flat[at].astype(np.uint32)]), np.concatenate([self.ends, base + ends])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, at): text i has ids[at[i]:at[i + 1]]."""
+        raw, at = text_bytes(texts)
+        if not len(raw):
+            return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
+        if len(self.index) > self.entries:
+            self._forget()
+        cut = cuts(raw, at)
+        place = np.arange(len(at)) + np.searchsorted(cut, at)
+        bounds = np.empty(len(at) + len(cut), np.int64)
+        inner = np.ones(len(bounds), bool)
+        inner[place] = False
+        bounds[place], bounds[inner] = at, cut
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        words, get = chunks.dictionary.to_pylist(), self.index.get
+        own = [get(w, -1) for w in words]
+        if new := [w for w, k in zip(words, own, strict=True) if k < 0]:
+            self._learn(new)
+            own = [self.index[w] for w in words]
+        code = np.array(own, np.int64)[chunks.indices.to_numpy()]
+        begin, size = self.ends[code], self.ends[code + 1] - self.ends[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[place]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each, and one row at least."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):

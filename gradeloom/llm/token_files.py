@@ -4,9 +4,10 @@ A block holds whole texts and stands by itself: the model starts afresh, and a c
 checked on reading. Its ids are laid out in lanes of equal length that are coded side by side, one id of
 every lane a step, with one model that all lanes share and that learns after each step.
 
-Block layout, little-endian: magic "GLB1", ids (u32), lanes (u32), crc32 of the ids as u32 (u32), words of
-each lane (u32 each), then the lanes' 16-bit words one after the other. Block rows (shard, block, text ids
-and lengths, data) are kept in Parquet files, so Spark's committers place them on any file system.
+Block layout, little-endian: magic "GLB2", ids (u32), lanes (u32), crc32 of the ids as u32 (u32), bytes of
+a length (u8: 2 or 4), words of each lane, then the lanes' 16-bit words one after the other. Block rows
+(shard, block, text ids and lengths, data) are kept in Parquet files, so Spark's committers place them on
+any file system.
 """
 
 from __future__ import annotations
@@ -19,123 +20,179 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import shared_dir, table
 from gradeloom.llm.pieces import PieceEncoder, slices
 
-MAGIC = b"GLB1"
+MAGIC = b"GLB2"
 #: Ids of a block (it ends with the text that reaches them), its most lanes, steps between two counts.
 BLOCK_IDS, LANES, REFRESH = 1 << 20, 4096, 8
-#: log2 of the total of a choice's and of an id's frequencies; slots of the order-2 table.
-CHOICE_BITS, ID_BITS, SLOTS = 16, 22, 1 << 18
+#: log2 of the total of the mixed predictions' shares and of an id's frequencies; slots of the order-2 table.
+MIX_BITS, ID_BITS, SLOTS = 12, 22, 1 << 18
+#: Followers that a context of order 2 and 1 counts; the most that one counts before all are halved.
+FOLLOWERS, MOST = (2, 3), 100
+#: Frequencies are looked up by their upper bits first, where one id fills all of the lower ones.
+COARSE_BITS = 10
 
 _U = np.uint64
-_MASK, _TOP, _BOT = _U((1 << 48) - 1), _U(1 << 32), _U(1 << 30)
+_LEAST, _ALL = _U(1 << 48), _U(2**64 - 1)
+_PARTS = np.array([0, *((1 << 16) // np.arange(1, 1024))], np.int32)
 
 
 class _Model:
-    """Predictions of order 2 and 1, mixed by how well each did at this confidence, over order-0 counts.
+    """Mixes the followers counted by contexts of order 2 and 1 with order-0 counts of all ids.
 
-    Each context remembers the id that it expects and how sure it is of it. The first symbol tells whether
-    the order-2 expectation, else the order-1 expectation, else neither holds; its probabilities depend on
-    both confidences. In the last case the id follows with its order-0 probability. No count is ever zero.
+    A context of order 1 or 2 counts a few followers, about in the order of their counts; one that is new
+    takes the place of the last when that has been missed as often as met. Each order gets a weight that
+    follows from how often, at these two totals, the id was among its followers; within it, followers
+    share by their counts, and one that both orders know gets both shares. What is left goes to order 0,
+    whose counts are never zero. All is integer arithmetic, so encoder and decoder agree on any machine.
     """
 
     def __init__(self, alphabet: int):
-        self.expect = [np.zeros(alphabet, np.int64), np.zeros(SLOTS, np.int64)]
-        self.sure = [np.zeros(alphabet, np.int64), np.zeros(SLOTS, np.int64)]
-        self.hits = np.tile(np.array([2.0, 1.0, 4.0]), (128, 1))
+        if alphabet >= 1 << 21:
+            raise ValueError("ids of at most 21 bits are coded")
+        self.kept = [np.zeros((k, n), np.int32) for k, n in zip(FOLLOWERS, (SLOTS, alphabet), strict=True)]  # (id + 1) * 128 + count, by rank
+        self.hits = np.tile(np.array([1, 1, 6]), (256, 1))  # by both totals: found by order 2, else by order 1, else neither
         self.seen = np.zeros(alphabet, np.int64)
+        self.ids: list[np.ndarray] = []
         self.refresh()
 
     def refresh(self) -> None:
-        total = 1 << CHOICE_BITS
-        share = 1 + (self.hits / self.hits.sum(1, keepdims=True) * (total - 4)).astype(np.int64)
-        self.choice_start = np.concatenate([np.zeros((len(share), 1), np.int64), np.cumsum(share, 1)[:, :2]], 1).ravel()
-        self.choice_size = share.ravel()
+        """Take the ids since the last time into the order-0 frequencies."""
         n = len(self.seen)
-        self.id_size = 1 + self.seen * ((1 << ID_BITS) - n) // max(self.seen.sum(), 1)
+        if self.ids:
+            self.seen += np.bincount(np.concatenate(self.ids), minlength=n)
+            self.ids = []
+        self.id_size = 1 + self.seen * ((1 << ID_BITS) - n) // max(int(self.seen.sum()), 1)
         self.id_start = np.concatenate([[0], np.cumsum(self.id_size)])
-
-    def look(self, one: np.ndarray, two: np.ndarray):
-        """(slots, expectations, bucket) for the last id and the one before it."""
-        slot = ((two * 50_021 + one) * 0x9E3779B1 >> 8) & (SLOTS - 1)
-        q1, q2 = self.expect[0][one], self.expect[1][slot]
-        bucket = (self.sure[1][slot] * 8 + self.sure[0][one]) * 2 + (q1 == q2)
-        return slot, q1, q2, bucket
-
-    def learn(self, one, slot, q1, q2, bucket, choice, ids) -> None:
-        self.hits += np.bincount(bucket * 3 + choice, minlength=384).reshape(128, 3)
-        for order, at, expected in ((0, one, q1), (1, slot, q2)):
-            sure = self.sure[order][at]
-            right = expected == ids
-            new = np.where(right, np.minimum(sure + 1, 7), sure >> 1)
-            change = ~right & (sure == 0)
-            new[change] = 1
-            self.sure[order][at] = new
-            self.expect[order][at[change]] = ids[change]
+        self.coarse = np.searchsorted(self.id_start, np.arange((1 << ID_BITS - COARSE_BITS) + 1) << COARSE_BITS, "right") - 1
+
+    def look(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Set the predictions after the last id, one, and that before it: followers with starts and sizes of their shares."""
+        self.at = ((two * 50_021 + one) * 0x9E3779B1 >> 8) & (SLOTS - 1), one
+        packed = np.concatenate([kept.take(at, 1) for kept, at in zip(self.kept, self.at, strict=True)])
+        self.known, self.count = (packed >> 7) - 1, packed & 127
+        parts = slice(0, FOLLOWERS[0]), slice(FOLLOWERS[0], None)
+        total = [self.count[p].sum(0, dtype=np.int32) for p in parts]
+        self.bucket = np.minimum(total[0], 15) * 16 + np.minimum(total[1], 15)
+        weight = (self.hits[:, :2] * ((1 << MIX_BITS) - 1) // self.hits.sum(1, keepdims=True)).astype(np.int32)
+        share = self.count.copy()
+        for o in (0, 1):
+            share[parts[o]] *= weight[:, o].take(self.bucket) * _PARTS.take(total[o])
+        share >>= 16
+        low = share[parts[1]]
+        for j in range(FOLLOWERS[0]):  # a follower that both orders know is kept once, by order 2
+            moved = low * (self.known[parts[1]] == self.known[j])
+            share[j] += moved.sum(0, dtype=np.int32)
+            low -= moved
+        self.share, self.start = share, np.empty_like(share)
+        self.rest = (1 << MIX_BITS) - share.sum(0, dtype=np.int32)
+        begin = self.rest
+        for j in range(len(share)):
+            self.start[j] = begin
+            begin = begin + share[j]
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's share of 2 ** (MIX_BITS + ID_BITS)."""
+        self.hit = self.known == ids.astype(np.int32)
+        size = (self.share * self.hit).sum(0, dtype=np.int32)
+        start = (self.start * (self.hit & (self.share > 0))).sum(0, dtype=np.int32)
+        new, rest = size == 0, self.rest.astype(np.int64)
+        return np.where(new, rest * self.id_start.take(ids), start.astype(np.int64) << ID_BITS), np.where(new, rest * self.id_size.take(ids), size.astype(np.int64) << ID_BITS)
+
+    def identify(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose shares the values are."""
+        place = (self.start <= (value >> ID_BITS).astype(np.int32)).sum(0) - 1
+        ids = self.known[place, np.arange(len(place))].astype(np.int64)
+        rest = np.flatnonzero(place < 0)
+        value = value[rest] // self.rest[rest]
+        cell = value >> COARSE_BITS
+        found = self.coarse[cell]
+        open_ = np.flatnonzero(self.coarse[cell + 1] != found)
+        found[open_] = np.searchsorted(self.id_start, value[open_], "right") - 1
+        ids[rest] = np.minimum(found, len(self.seen) - 1)
+        return ids
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Count the ids; interval() has been asked for them."""
+        self.ids.append(ids)
+        self.count += self.hit * np.int32(2)
+        own, begin, found = ids.astype(np.int32), 0, []
+        for kept, at, k in zip(self.kept, self.at, FOLLOWERS, strict=True):
+            known, count = self.known[begin : begin + k], self.count[begin : begin + k]
+            met = self.hit[begin : begin + k].any(0)
+            found.append(met)
+            count[-1] -= ~met
+            gone = ~met & (count[-1] <= 0)
+            count[-1][gone], known[-1][gone] = 2, own[gone]
+            for j in range(k - 1, 0, -1):
+                up = count[j] > count[j - 1]
+                for x in (count, known):
+                    x[j - 1], x[j] = np.where(up, x[j], x[j - 1]), np.where(up, x[j - 1], x[j])
+            count >>= count[0] > MOST
+            kept[:, at] = (known + 1) << 7 | count  # of lanes in one context the last stays
+            begin += k
+        self.hits += np.bincount(self.bucket * 3 + np.where(found[0], 0, np.where(found[1], 1, 2)), minlength=768).reshape(256, 3)
 
 
 class _Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _MASK, _U)
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _ALL, _U)
         self.out, self.used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
 
-    def put(self, lane: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, rng = self.low[lane], self.range[lane]
-        r = rng >> _U(bits)
-        low, rng = low + r * start.astype(_U), r * size.astype(_U)
-        todo = np.arange(len(lane))
-        while len(todo):
-            a, b = low[todo], rng[todo]
-            settled = (a ^ (a + b)) < _TOP
-            go = settled | (b < _BOT)
-            todo, a, b, settled = todo[go], a[go], b[go], settled[go]
-            b = np.where(settled, b, (_U(0) - a) & (_BOT - _U(1)))
-            at = lane[todo]
-            self.out[at, self.used[at]] = a >> _U(32)
-            self.used[at] += 1
-            low[todo], rng[todo] = (a << _U(16)) & _MASK, b << _U(16)
-        self.low[lane], self.range[lane] = low, rng
+    def _carry(self, lane: np.ndarray) -> None:
+        at = self.used[lane] - 1
+        while len(lane):
+            self.out[lane, at] += 1
+            on = self.out[lane, at] == 0
+            lane, at = lane[on], at[on] - 1
+
+    def put(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        r = self.range >> _U(bits)
+        low = self.low + r * start.astype(_U)
+        if len(over := np.flatnonzero(low < self.low)):
+            self._carry(over)
+        self.low, self.range = low, r * size.astype(_U)
+        while len(lane := np.flatnonzero(self.range < _LEAST)):
+            a = low[lane]
+            self.out[lane, self.used[lane]] = a >> _U(48)
+            self.used[lane] += 1
+            low[lane], self.range[lane] = a << _U(16), self.range[lane] << _U(16)
 
     def finish(self) -> None:
-        lane = np.arange(len(self.low))
-        for k in (32, 16, 0):
-            self.out[lane, self.used] = (self.low >> _U(k)) & _U(0xFFFF)
-            self.used += 1
+        """One more word for each lane: a value in its interval, with zeros after it."""
+        low = self.low + (_LEAST - _U(1))
+        self._carry(np.flatnonzero(low < self.low))
+        self.out[np.arange(len(low)), self.used] = low >> _U(48)
+        self.used += 1
 
 
 class _Decoder:
     def __init__(self, words: np.ndarray, used: np.ndarray):
-        self.words = np.concatenate([words.astype(_U), np.zeros(4, _U)])
-        self.at = np.cumsum(used) - used
-        lanes = len(used)
-        self.low, self.range, self.code = np.zeros(lanes, _U), np.full(lanes, _MASK, _U), np.zeros(lanes, _U)
-        for _ in range(3):
+        room = int(used.max()) + 4  # zeros follow the words of a lane
+        table = np.zeros((len(used), room), _U)
+        table[np.arange(room) < used[:, None]] = words
+        self.words, self.at = table.ravel(), np.arange(len(used)) * room
+        self.code, self.range = np.zeros(len(used), _U), np.full(len(used), _ALL, _U)
+        for _ in range(4):
             self.code = self.code << _U(16) | self.words[self.at]
             self.at += 1
 
-    def value(self, lane: np.ndarray, bits: int) -> np.ndarray:
-        return ((self.code[lane] - self.low[lane]) // (self.range[lane] >> _U(bits))).astype(np.int64)
-
-    def take(self, lane: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, rng, code = self.low[lane], self.range[lane], self.code[lane]
-        r = rng >> _U(bits)
-        low, rng = low + r * start.astype(_U), r * size.astype(_U)
-        todo = np.arange(len(lane))
-        while len(todo):
-            a, b = low[todo], rng[todo]
-            settled = (a ^ (a + b)) < _TOP
-            go = settled | (b < _BOT)
-            todo, a, b, settled = todo[go], a[go], b[go], settled[go]
-            b = np.where(settled, b, (_U(0) - a) & (_BOT - _U(1)))
-            at = lane[todo]
-            code[todo] = (code[todo] << _U(16)) & _MASK | self.words[np.minimum(self.at[at], len(self.words) - 1)]
-            self.at[at] += 1
-            low[todo], rng[todo] = (a << _U(16)) & _MASK, b << _U(16)
-        self.low[lane], self.range[lane], self.code[lane] = low, rng, code
+    def value(self, bits: int) -> np.ndarray:
+        self.unit = self.range >> _U(bits)
+        return np.minimum(self.code // self.unit, _U((1 << bits) - 1)).astype(np.int64)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        code, rng = self.code - self.unit * start.astype(_U), self.unit * size.astype(_U)
+        while len(lane := np.flatnonzero(rng < _LEAST)):
+            code[lane] = code[lane] << _U(16) | self.words[np.minimum(self.at[lane], len(self.words) - 1)]
+            self.at[lane] += 1
+            rng[lane] <<= _U(16)
+        self.code, self.range = code, rng
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -143,6 +200,11 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _counts(step: int) -> bool:
+    """Whether the model counts before this step: often at first, then every REFRESH steps."""
+    return step in (1, 2, 4) or step > 0 and step % REFRESH == 0
+
+
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """One block of ids below alphabet."""
     ids = ids.astype("<u4")
@@ -151,24 +213,18 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     x = np.zeros(lanes * steps, np.int64)
     x[:n] = ids
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
-    model, coder, every = _Model(alphabet), _Encoder(lanes, 4 * steps + 8), np.arange(lanes)
+    model, coder = _Model(alphabet), _Encoder(lanes, 3 * steps + 8)
     one = two = np.zeros(lanes, np.int64)
     for t in range(steps):
-        if t and t % REFRESH == 0:
-            model.seen += np.bincount(x[t - REFRESH : t].ravel(), minlength=alphabet)
+        if _counts(t):
             model.refresh()
-        own = x[t]
-        slot, q1, q2, bucket = model.look(one, two)
-        choice = np.where(own == q2, 0, np.where(own == q1, 1, 2))
-        at = bucket * 3 + choice
-        coder.put(every, model.choice_start[at], model.choice_size[at], CHOICE_BITS)
-        rest = np.flatnonzero(choice == 2)
-        if len(rest):
-            coder.put(rest, model.id_start[own[rest]], model.id_size[own[rest]], ID_BITS)
-        model.learn(one, slot, q1, q2, bucket, choice, own)
-        one, two = own, one
+        model.look(one, two)
+        coder.put(*model.interval(x[t]), MIX_BITS + ID_BITS)
+        model.learn(x[t])
+        one, two = x[t], one
     coder.finish()
-    head = MAGIC + struct.pack("<III", n, lanes, zlib.crc32(ids.tobytes())) + coder.used.astype("<u4").tobytes()
+    width = 2 if coder.used.max() < 65536 else 4
+    head = MAGIC + struct.pack("<IIIB", n, lanes, zlib.crc32(ids.tobytes()), width) + coder.used.astype(f"<u{width}").tobytes()
     return head + coder.out[np.arange(coder.out.shape[1]) < coder.used[:, None]].tobytes()
 
 
@@ -176,33 +232,23 @@ def decode_block(data: bytes, alphabet: int) -> np.ndarray:
     """The ids of a block; ValueError where it is damaged."""
     if data[:4] != MAGIC:
         raise ValueError("not a token block")
-    n, lanes, crc = struct.unpack_from("<III", data, 4)
-    used = np.frombuffer(data, "<u4", lanes, 16).astype(np.int64)
-    words = np.frombuffer(data, "<u2", -1, 16 + 4 * lanes)
+    n, lanes, crc, width = struct.unpack_from("<IIIB", data, 4)
+    used = np.frombuffer(data, f"<u{width}", lanes, 17).astype(np.int64)
+    words = np.frombuffer(data[17 + width * lanes :], "<u2")
     if used.sum() != len(words):
         raise ValueError("a token block is cut short")
     steps = -(-n // lanes)
     x = np.zeros((steps, lanes), np.int64)
-    model, coder, every = _Model(alphabet), _Decoder(words, used), np.arange(lanes)
+    model, coder = _Model(alphabet), _Decoder(words, used)
     one = two = np.zeros(lanes, np.int64)
     for t in range(steps):
-        if t and t % REFRESH == 0:
-            model.seen += np.bincount(x[t - REFRESH : t].ravel(), minlength=alphabet)
+        if _counts(t):
             model.refresh()
-        slot, q1, q2, bucket = model.look(one, two)
-        value, first = coder.value(every, CHOICE_BITS), bucket * 3
-        choice = (value >= model.choice_start[first + 1]).astype(np.int64) + (value >= model.choice_start[first + 2])
-        at = first + choice
-        coder.take(every, model.choice_start[at], model.choice_size[at], CHOICE_BITS)
-        own = np.where(choice == 0, q2, q1)
-        rest = np.flatnonzero(choice == 2)
-        if len(rest):
-            got = np.minimum(np.searchsorted(model.id_start, coder.value(rest, ID_BITS), "right") - 1, alphabet - 1)
-            coder.take(rest, model.id_start[got], model.id_size[got], ID_BITS)
-            own[rest] = got
-        model.learn(one, slot, q1, q2, bucket, choice, own)
-        x[t] = own
-        one, two = own, one
+        model.look(one, two)
+        x[t] = model.identify(coder.value(MIX_BITS + ID_BITS))
+        coder.take(*model.interval(x[t]))
+        model.learn(x[t])
+        one, two = x[t], one
     ids = x.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a token block has the wrong checksum")
@@ -210,61 +256,80 @@ def decode_block(data: bytes, alphabet: int) -> np.ndarray:
 
 
 @lru_cache(2)
-def tokenizer(path: str, pattern: str):
-    """ids of texts as little-endian u32 bytes, and the size of the vocabulary."""
+def tokenizer(path: str):
+    """Ids of texts, as from PieceEncoder, and the size of the vocabulary."""
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     own = Tokenizer.from_file(path)
     added = [t.content for t in own.get_added_tokens_decoder().values()]
-    pieces = PieceEncoder(pattern, lambda new: [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(new, add_special_tokens=False)])
+    alphabet = own.get_vocab_size(with_added_tokens=True)
+    width = np.zeros(alphabet, np.int64)
+    for token, i in own.get_vocab(with_added_tokens=True).items():
+        width[i] = len(token)  # a character for each byte
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    pieces = PieceEncoder(encode, width)
 
-    def ids(texts: list[str]) -> list[bytes]:
-        out = pieces(texts)
-        for i, text in enumerate(texts):
-            if any(a in text for a in added):  # the library takes these out before it looks for pieces
-                out[i] = np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+    def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = pieces(texts)
+        whole = np.zeros(len(texts), bool)  # the library takes added tokens out before it looks for pieces
+        for token in added:
+            whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if whole.any():
+            parts = [ids[a:b] for a, b in zip(at, at[1:])]
+            for i in np.flatnonzero(whole):
+                parts[i] = encode([texts[i].as_py()])[0]
+            ids, at = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return ids, at
 
-    return ids, own.get_vocab_size(with_added_tokens=True)
+    return ids_of, alphabet
 
 
-def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Write every whole text's ids and end_id, in ascending id order, as block files under out.
 
     Rows are dealt into ranges of ids and sorted there (then by text; null ids first), so a shard is a
-    range and shard after shard is the whole order. pattern must cut as the tokenizer's own pre-tokenizer.
-    Null text counts as empty: its end alone.
+    range and shard after shard is the whole order. The tokenizer must be a byte-level one whose pattern never
+    matches across a lone space. Null text counts as empty: its end alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
-        ids_of, alphabet = tokenizer(path, pattern)
-        end = np.array([end_id], "<u4").tobytes()
+        shard, made = TaskContext.get().partitionId(), 0
+        ids_of, alphabet = tokenizer(path)
         keys, lengths, ids, total = [], [], [], 0
 
-        def block(key_type) -> pa.RecordBatch:
-            data = encode_block(np.frombuffer(b"".join(ids), "<u4"), alphabet)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "ids", "lengths", "n_ids", "data"])
+        def block() -> pa.RecordBatch:
+            data, row = encode_block(np.concatenate(ids), alphabet), pa.concat_arrays(keys)
+            sizes = np.concatenate(lengths)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (row, pa.array(sizes, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.int32()), *lists, pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "ids", "lengths", "n_ids", "data"])
 
-        key_type = None
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for rows in slices(batch, text_col):
-                found = ids_of([t or "" for t in rows.column(1).to_pylist()])
-                for key, x in zip(rows.column(0).to_pylist(), found, strict=True):
-                    keys.append(key)
-                    ids.append(x + end)
-                    lengths.append(len(x) // 4 + 1)
-                    total += lengths[-1]
+            for rows in slices(batch, text_col, 4_000_000):
+                found, at = ids_of(rows.column(1))
+                found, at = np.insert(found, at[1:], end_id), at + np.arange(len(at))
+                begin = 0
+                while begin < len(at) - 1:
+                    end = min(int(np.searchsorted(at, at[begin] + BLOCK_IDS - total)), len(at) - 1)  # the text that fills the block, or the last
+                    keys.append(rows.column(0).slice(begin, end - begin))
+                    lengths.append(np.diff(at[begin : end + 1]))
+                    ids.append(found[at[begin] : at[end]])
+                    total += int(at[end] - at[begin])
+                    begin = end
                     if total >= BLOCK_IDS:
-                        yield block(key_type)
+                        yield block()
                         made += 1
                         keys, lengths, ids, total = [], [], [], 0
         if keys:
-            yield block(key_type)
+            yield block()
 
     rows = docs.select(id_col, text_col)
     rows = rows.repartitionByRange(partitions, id_col) if partitions else rows.repartitionByRange(id_col)
@@ -283,12 +348,10 @@ def read(spark: SparkSession, path: str, alphabet: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                lengths = batch.column(2)[r].as_py()
-                raw = decode_block(batch.column(3)[r].as_py(), alphabet).tobytes()
-                ends = np.cumsum([0, *lengths]).tolist()
-                first = np.array(ends[:-1], np.int64) + batch.column(0)[r].as_py()
-                tokens = [raw[4 * s : 4 * e] for s, e in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[r].values, pa.array(first), pa.array(tokens, pa.binary())], names=["id", "start", "tokens"])
+                at = np.concatenate([[0], np.cumsum(batch.column(2)[r].values.to_numpy())])
+                raw = decode_block(batch.column(3)[r].as_py(), alphabet)
+                tokens = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[r].values, pa.array(at[:-1] + batch.column(0)[r].as_py()), tokens], names=["id", "start", "tokens"])
 
     sizes = files.select("shard", "block", "n_ids")
     blocks = sizes.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -305,7 +368,7 @@ def op9_token_files(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = f"{shared_dir(spark)}/tables/tokens-{uuid.uuid4().hex}"
-    write(table(spark, sf_dir, "documents"), out, path, public_tokenizers.PATTERN)
-    _, alphabet = tokenizer(path, public_tokenizers.PATTERN)
+    write(table(spark, sf_dir, "documents"), out, path)
+    _, alphabet = tokenizer(path)
     n = (F.octet_length("tokens") / 4).cast("long")
     return read(spark, out, alphabet).select(F.col("id").alias("doc_id"), "start", n.alias("n_tokens"), F.crc32("tokens").alias("ids_crc32"))

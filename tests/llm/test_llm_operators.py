@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,10 +44,12 @@ def test_bpe_equals_tiktoken(spark, docs, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     tree, ids_of = bpe.coder(path, P.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=tree.ranks, special_tokens={})
-    texts = random_texts(3000, 2)
-    for t, ids in zip(texts, ids_of(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == lib.encode_ordinary(t)
-        assert tree.decode(ids) == t.encode()
+    texts = [*random_texts(3000, 2), None, "a b", " a", "a ", "a  b", "c\u00a0 d \u2003e", "x \u3000 y z"]
+    for _ in range(2):  # the second time from the memo
+        ids, at = ids_of(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == lib.encode_ordinary(t or ""), t
+            assert tree.decode(ids[at[i] : at[i + 1]]).tobytes() == (t or "").encode()
     want = Counter((r.doc_id, r.text or "") for r in docs.collect())
     got = bpe.digests(docs, path, P.PATTERN).collect()
     digest = lambda t: (hashlib.sha256(np.array(lib.encode_ordinary(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
@@ -323,10 +326,11 @@ def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    ids_of, alphabet = token_files.tokenizer(path, P.PATTERN)
+    ids_of, alphabet = token_files.tokenizer(path)
     lib = Tokenizer.from_file(path)
-    texts = [*random_texts(2000, 7), "a <|endoftext|> b"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids_of(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    texts = [*random_texts(2000, 7), "a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>x y"]
+    ids, at = ids_of(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     rng = np.random.default_rng(0)
     for n in (1, 63, 64, 65, 3000):
         for x in (rng.integers(0, alphabet, n), np.zeros(n, int), rng.zipf(1.3, n) % alphabet):
@@ -339,7 +343,7 @@ def test_token_files(spark, docs, empty, tmp_path):
     with pytest.raises(ValueError):
         token_files.decode_block(bytes(bad), alphabet)
     out = f"file://{tmp_path}/tokens"
-    token_files.write(docs, out, path, P.PATTERN)
+    token_files.write(docs, out, path)
     got = sorted(token_files.read(spark, out, alphabet).collect(), key=lambda r: r.start)
     order = sorted(((r.doc_id, r.text or "", r.text is not None) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
     at = 0
@@ -347,10 +351,44 @@ def test_token_files(spark, docs, empty, tmp_path):
         want = np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert (r.id, r.start, bytes(r.tokens)) == (i, at, want)
         at += len(want) // 4
-    token_files.write(empty, f"{out}-none", path, P.PATTERN)
+    token_files.write(empty, f"{out}-none", path)
     assert token_files.read(spark, f"{out}-none", alphabet).count() == 0
 
 
+def test_small_blocks(spark, docs, monkeypatch):
+    path, size = P.path("byte_bpe_50k.json"), token_files.BLOCK_IDS
+    out = f"file://{__import__('tempfile').mkdtemp()}/tokens"
+    want = None
+    for n in (size, 50):
+        monkeypatch.setattr(token_files, "BLOCK_IDS", n)
+        token_files.write(docs, f"{out}-{n}", path)
+        got = sorted((r.start, bytes(r.tokens)) for r in token_files.read(spark, f"{out}-{n}", token_files.tokenizer(path)[1]).collect())
+        want = want or got
+        assert got == want
+    assert spark.read.parquet(f"{out}-50").count() > 3
+
+
+def test_blocks_use_what_came_before(spark):
+    """Ids that follow from one or two before them cost less than by their own frequencies; evenly random ones hardly more."""
+    rng = np.random.default_rng(5)
+    n, a = 1 << 18, 256
+
+    def bits(x):
+        data = token_files.encode_block(x, 1000)
+        assert (token_files.decode_block(data, 1000) == x).all()
+        return 8 * len(data) / len(x)
+
+    one, two, picks = rng.integers(0, a, (a, 3)), rng.integers(0, 32, (32, 32, 2)), rng.integers(0, 6, n)
+    first, second = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(2, n):
+        first[i] = one[first[i - 1], picks[i] % 3]
+        second[i] = two[second[i - 1], second[i - 2], picks[i] % 2]
+    for x, most in ((first, 0.5), (second, 0.6)):
+        share = np.bincount(x) / n
+        assert bits(x) < most * -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert bits(rng.integers(0, a, 4 * n)) < 8.3
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(8)
     rows = []
