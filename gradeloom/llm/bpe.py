@@ -9,10 +9,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from gradeloom.llm.pieces import PieceEncoder, slices
+from gradeloom.llm.pieces import PieceEncoder, Pieces, slices
 
 NONE = 1 << 62
 #: Bytes of text that are encoded at once, one row at least.
@@ -28,9 +27,8 @@ class SegmentTreeBpe:
     pieces are merged many at once, a row of a numpy array for each; long ones singly.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = r"(?s).+", most: int = 64, entries: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 64):
         self.ranks, self.most = ranks, most
-        self.find, self.memo, self.entries = regex.compile(pattern).findall, {}, entries
         vocab = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             vocab[rank] = token
@@ -187,15 +185,6 @@ class SegmentTreeBpe:
                     out[i] = ids
         return out
 
-    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts; each match of the pattern is merged by itself, equal pieces once."""
-        split = [self.find(t) for t in texts]
-        if len(self.memo) > self.entries:
-            self.memo.clear()
-        new = list({p for s in split for p in s} - self.memo.keys())
-        self.memo.update(zip(new, self.encode_pieces(new), strict=True))
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, s)), "<u4") for s in split]
-
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, one after the other."""
         width = self.width[ids]
@@ -208,8 +197,8 @@ class SegmentTreeBpe:
 def coder(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceEncoder]:
     """One coder for each vocabulary and Python worker."""
     with open(path, "rb") as f:
-        bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
-    return bpe, PieceEncoder(bpe.encode_texts, bpe.width)
+        bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces), bpe.width)
 
 
 def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 
 def _flags(values: list[int]) -> np.ndarray:
@@ -43,45 +44,70 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return space[~(_SPACE[last] | _OPEN[then] | (_LAST[last] & _BEFORE_LAST[raw[space - 2]]))]
 
 
+class Pieces:
+    """Ids of texts from those of their pieces, the matches of the pattern; each new piece is encoded once.
+
+    encode_pieces turns pieces into their ids as little-endian unsigned 32-bit numbers. The memo is emptied
+    when it holds `entries` pieces, so memory stays bounded whatever the vocabulary.
+    """
+
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[bytes]], entries: int = 400_000):
+        self.find, self.encode_pieces, self.entries = regex.compile(pattern).findall, encode_pieces, entries
+        self.memo: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.find(t) for t in texts]
+        if len(self.memo) > self.entries:
+            self.memo.clear()
+        new = list({p for s in split for p in s} - self.memo.keys())
+        self.memo.update(zip(new, self.encode_pieces(new), strict=True))
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, s)), "<u4") for s in split]
+
+
 class PieceEncoder:
     """Token ids of many texts at once.
 
     encode turns texts into id arrays; width holds the bytes that each id stands for. Texts are cut into
-    chunks, equal chunks of a call are found by Arrow, and only chunks not met before are encoded: joined
-    to long texts, which the tokenizer cuts at the same places, so a call costs no more than its ids. The
-    memo is emptied when it holds `entries` chunks, so memory stays bounded whatever the vocabulary.
+    chunks, equal chunks of a call are found by Arrow, and only chunks not met before are encoded, joined
+    to long texts, which a tokenizer cuts at the same places. A memo that has come to `entries` chunks
+    keeps those that were asked for again, if they are half of it at most, so memory stays bounded
+    whatever the vocabulary.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], width: np.ndarray, entries: int = 800_000):
         self.encode, self.width, self.entries = encode, width, entries
-        self._forget()
+        self._keep({}, np.empty(0, np.int64))
+
+    def _keep(self, index: dict[bytes, int], kept: np.ndarray) -> None:
+        """Start anew with these chunks, whose old numbers are kept."""
+        size = self.ends[kept + 1] - self.ends[kept] if len(kept) else kept
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.ids = self.ids[np.repeat(self.ends[kept] - ends[:-1], size) + np.arange(ends[-1])] if len(kept) else np.empty(0, np.uint32)
+        self.index, self.ends, self.again = index, ends, np.zeros(len(kept), bool)
 
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ends, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > self.entries:
+            kept = kept[:0]
+        words = np.array(list(self.index), object)[kept]
+        self._keep(dict(zip(words.tolist(), range(len(kept)))), kept)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Append the ids of new chunks, in their order, to the memo."""
+        """Append the ids of new chunks to the memo."""
         alike = [c[:1] == b" " and len(c) > 1 and not _OPEN[c[1]] and not _SPACE[c[-1]] and not _LAST[c[-1]] for c in new]
         joined = [c for c, a in zip(new, alike, strict=True) if a]
         parts = [joined[k : k + 4096] for k in range(0, len(joined), 4096)]
-        single = [[c] for c, a in zip(new, alike, strict=True) if not a]
-        found = self.encode([b"".join(p).decode() for p in [*parts, *single]])
-        counts = []
-        for part, ids in zip([*parts, *single], found, strict=True):
+        single = [c for c, a in zip(new, alike, strict=True) if not a]
+        found = self.encode([*(b"".join(p).decode() for p in parts), *map(bytes.decode, single)])
+        counts = [np.array([len(x) for x in found[len(parts) :]], np.int64)]
+        for part, ids in zip(parts, found, strict=False):
             ends = np.cumsum(self.width[ids])
-            counts.append(np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, part)]), "right")))
-        counts, flat = np.concatenate(counts), np.concatenate(found)
-        # back from (joined, single) to the order of new
-        order = np.concatenate([np.flatnonzero(alike), np.flatnonzero(~np.array(alike))]).astype(np.int64)
-        begins = np.empty(len(new), np.int64)
-        sizes = np.empty(len(new), np.int64)
-        begins[order], sizes[order] = np.cumsum(counts) - counts, counts
-        ends = np.cumsum(sizes)
-        at = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])
-        base = self.ends[-1]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.ids, self.ends = np.concatenate([self.ids, flat[at].astype(np.uint32)]), np.concatenate([self.ends, base + ends])
+            counts.insert(-1, np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, part)]), "right")))
+        base = len(self.index)
+        self.index.update(zip([*joined, *single], range(base, base + len(new))))
+        self.ids = np.concatenate([self.ids, *found]).astype(np.uint32, copy=False)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): text i has ids[at[i]:at[i + 1]]."""
@@ -89,7 +115,7 @@ class PieceEncoder:
         if not len(raw):
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
         if len(self.index) > self.entries:
-            self._forget()
+            self._shrink()
         cut = cuts(raw, at)
         place = np.arange(len(at)) + np.searchsorted(cut, at)
         bounds = np.empty(len(at) + len(cut), np.int64)
@@ -97,15 +123,17 @@ class PieceEncoder:
         inner[place] = False
         bounds[place], bounds[inner] = at, cut
         chunks = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-        words, get = chunks.dictionary.to_pylist(), self.index.get
-        own = [get(w, -1) for w in words]
-        if new := [w for w, k in zip(words, own, strict=True) if k < 0]:
-            self._learn(new)
-            own = [self.index[w] for w in words]
-        code = np.array(own, np.int64)[chunks.indices.to_numpy()]
-        begin, size = self.ends[code], self.ends[code + 1] - self.ends[code]
+        words, get = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self.index.get
+        own = np.array([get(w, -1) for w in words])
+        self.again[own[own >= 0]] = True
+        if len(lost := np.flatnonzero(own < 0)):
+            self._learn([words[i] for i in lost])
+            own = np.array([get(w) for w in words])
+        code = chunks.indices.to_numpy()
+        begin, size = self.ends[own], np.diff(self.ends)[own]
+        size = size[code]
         ends = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[place]
+        return self.ids[np.repeat(begin[code] - ends[:-1], size) + np.arange(ends[-1])], ends[place]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

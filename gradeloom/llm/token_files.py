@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import shared_dir, table
-from gradeloom.llm.pieces import PieceEncoder, slices
+from gradeloom.llm.pieces import PieceEncoder, Pieces, slices
 
 MAGIC = b"GLB2"
 #: Ids of a block (it ends with the text that reaches them), its most lanes, steps between two counts.
@@ -39,13 +39,14 @@ COARSE_BITS = 10
 
 _U = np.uint64
 _LEAST, _ALL = _U(1 << 48), _U(2**64 - 1)
+_ONCE, _ID = np.int32(1 << 21), np.int32((1 << 21) - 1)
 _PARTS = np.array([0, *((1 << 16) // np.arange(1, 1024))], np.int32)
 
 
 class _Model:
     """Mixes the followers counted by contexts of order 2 and 1 with order-0 counts of all ids.
 
-    A context of order 1 or 2 counts a few followers, about in the order of their counts; one that is new
+    A context of order 1 or 2 counts a few followers, in the order of their counts; one that is new
     takes the place of the last when that has been missed as often as met. Each order gets a weight that
     follows from how often, at these two totals, the id was among its followers; within it, followers
     share by their counts, and one that both orders know gets both shares. What is left goes to order 0,
@@ -55,7 +56,7 @@ class _Model:
     def __init__(self, alphabet: int):
         if alphabet >= 1 << 21:
             raise ValueError("ids of at most 21 bits are coded")
-        self.kept = [np.zeros((k, n), np.int32) for k, n in zip(FOLLOWERS, (SLOTS, alphabet), strict=True)]  # (id + 1) * 128 + count, by rank
+        self.kept = [[np.zeros(n, np.int32) for _ in range(k)] for k, n in zip(FOLLOWERS, (SLOTS, alphabet), strict=True)]  # count * 2 ** 21 + id, by rank
         self.hits = np.tile(np.array([1, 1, 6]), (256, 1))  # by both totals: found by order 2, else by order 1, else neither
         self.seen = np.zeros(alphabet, np.int64)
         self.ids: list[np.ndarray] = []
@@ -74,8 +75,10 @@ class _Model:
     def look(self, one: np.ndarray, two: np.ndarray) -> None:
         """Set the predictions after the last id, one, and that before it: followers with starts and sizes of their shares."""
         self.at = ((two * 50_021 + one) * 0x9E3779B1 >> 8) & (SLOTS - 1), one
-        packed = np.concatenate([kept.take(at, 1) for kept, at in zip(self.kept, self.at, strict=True)])
-        self.known, self.count = (packed >> 7) - 1, packed & 127
+        packed = self.packed = np.empty((sum(FOLLOWERS), len(one)), np.int32)
+        for own, (kept, at) in zip(packed, ((kept, at) for each, at in zip(self.kept, self.at, strict=True) for kept in each), strict=True):
+            np.take(kept, at, out=own, mode="clip")
+        self.known, self.count = packed & _ID, packed >> 21
         parts = slice(0, FOLLOWERS[0]), slice(FOLLOWERS[0], None)
         total = [self.count[p].sum(0, dtype=np.int32) for p in parts]
         self.bucket = np.minimum(total[0], 15) * 16 + np.minimum(total[1], 15)
@@ -98,7 +101,7 @@ class _Model:
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's share of 2 ** (MIX_BITS + ID_BITS)."""
-        self.hit = self.known == ids.astype(np.int32)
+        self.hit = (self.known == ids.astype(np.int32)) & (self.count > 0)
         size = (self.share * self.hit).sum(0, dtype=np.int32)
         start = (self.start * (self.hit & (self.share > 0))).sum(0, dtype=np.int32)
         new, rest = size == 0, self.rest.astype(np.int64)
@@ -120,21 +123,22 @@ class _Model:
     def learn(self, ids: np.ndarray) -> None:
         """Count the ids; interval() has been asked for them."""
         self.ids.append(ids)
-        self.count += self.hit * np.int32(2)
-        own, begin, found = ids.astype(np.int32), 0, []
+        packed, hit, begin, found = self.packed, self.hit, 0, []
+        packed += hit * _ONCE * np.int32(2)
+        new = 2 * _ONCE + ids.astype(np.int32)
         for kept, at, k in zip(self.kept, self.at, FOLLOWERS, strict=True):
-            known, count = self.known[begin : begin + k], self.count[begin : begin + k]
-            met = self.hit[begin : begin + k].any(0)
+            own = packed[begin : begin + k]
+            met = np.logical_or.reduce(hit[begin : begin + k])
             found.append(met)
-            count[-1] -= ~met
-            gone = ~met & (count[-1] <= 0)
-            count[-1][gone], known[-1][gone] = 2, own[gone]
+            missed = ~met
+            own[-1] -= missed * _ONCE
+            np.copyto(own[-1], new, where=missed & (own[-1] < _ONCE))
             for j in range(k - 1, 0, -1):
-                up = count[j] > count[j - 1]
-                for x in (count, known):
-                    x[j - 1], x[j] = np.where(up, x[j], x[j - 1]), np.where(up, x[j - 1], x[j])
-            count >>= count[0] > MOST
-            kept[:, at] = (known + 1) << 7 | count  # of lanes in one context the last stays
+                own[j - 1], own[j] = np.maximum(own[j - 1], own[j]), np.minimum(own[j - 1], own[j])
+            if len(full := np.flatnonzero(own[0] > MOST * _ONCE)):
+                own[:, full] = (own[:, full] >> 22 << 21) | (own[:, full] & _ID)
+            for rank, to in zip(own, kept, strict=True):
+                to[at] = rank  # of lanes in one context the last stays
             begin += k
         self.hits += np.bincount(self.bucket * 3 + np.where(found[0], 0, np.where(found[1], 1, 2)), minlength=768).reshape(256, 3)
 
@@ -256,8 +260,8 @@ def decode_block(data: bytes, alphabet: int) -> np.ndarray:
 
 
 @lru_cache(2)
-def tokenizer(path: str):
-    """Ids of texts, as from PieceEncoder, and the size of the vocabulary."""
+def tokenizer(path: str, pattern: str):
+    """Ids of texts, as from PieceEncoder, and the size of the vocabulary; pattern cuts as the tokenizer itself does."""
     import os
 
     from tokenizers import Tokenizer
@@ -273,7 +277,23 @@ def tokenizer(path: str):
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    pieces = PieceEncoder(encode, width)
+    def encode_pieces(new: list[str]) -> list[bytes]:
+        """A call costs more than its ids, so words that open with a space are joined; the library cuts there."""
+        words = [i for i, p in enumerate(new) if p[0] == " " and p[-1].isalpha()]
+        rest = [i for i, p in enumerate(new) if not (p[0] == " " and p[-1].isalpha())]
+        out: list = [None] * len(new)
+        parts = [words[k : k + 4096] for k in range(0, len(words), 4096)]
+        found = encode(["".join(map(new.__getitem__, p)) for p in parts] + [new[i] for i in rest])
+        for part, ids in zip(parts, found, strict=False):
+            at = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(new[i].encode()) for i in part])) + 1
+            raw, ends = ids.astype("<u4").tobytes(), [0, *(4 * at).tolist()]
+            for i, a, b in zip(part, ends, ends[1:]):
+                out[i] = raw[a:b]
+        for i, ids in zip(rest, found[len(parts) :], strict=True):
+            out[i] = ids.astype("<u4").tobytes()
+        return out
+
+    pieces = PieceEncoder(Pieces(pattern, encode_pieces), width)
 
     def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids, at = pieces(texts)
@@ -290,12 +310,12 @@ def tokenizer(path: str):
     return ids_of, alphabet
 
 
-def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Write every whole text's ids and end_id, in ascending id order, as block files under out.
 
     Rows are dealt into ranges of ids and sorted there (then by text; null ids first), so a shard is a
-    range and shard after shard is the whole order. The tokenizer must be a byte-level one whose pattern never
-    matches across a lone space. Null text counts as empty: its end alone.
+    range and shard after shard is the whole order. pattern must cut as the tokenizer's own pre-tokenizer, and
+    never match across a lone space. Null text counts as empty: its end alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -303,7 +323,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "
         from pyspark import TaskContext
 
         shard, made = TaskContext.get().partitionId(), 0
-        ids_of, alphabet = tokenizer(path)
+        ids_of, alphabet = tokenizer(path, pattern)
         keys, lengths, ids, total = [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -368,7 +388,7 @@ def op9_token_files(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = f"{shared_dir(spark)}/tables/tokens-{uuid.uuid4().hex}"
-    write(table(spark, sf_dir, "documents"), out, path)
-    _, alphabet = tokenizer(path)
+    write(table(spark, sf_dir, "documents"), out, path, public_tokenizers.PATTERN)
+    _, alphabet = tokenizer(path, public_tokenizers.PATTERN)
     n = (F.octet_length("tokens") / 4).cast("long")
     return read(spark, out, alphabet).select(F.col("id").alias("doc_id"), "start", n.alias("n_tokens"), F.crc32("tokens").alias("ids_crc32"))
