@@ -26,8 +26,8 @@ BASE = {
 }
 #: High-recall generators; their spans may overlap each other and the base spans.
 GENERATORS = {
-    "mail_like": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+",
-    "mail_tight": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]++)+",
+    "mail_like": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
+    "mail_tight": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]++)++",
     "number_like": r"[+(]?[0-9](?:[0-9() ./-]{5,38}[0-9])",
 }
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -245,7 +245,9 @@ def find_pii(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Da
     """Add base spans (email, ip, card, phone) and added: array<struct<start, end, match>>.
 
     added holds candidates that touch no base span and whose probability reaches the threshold. Null text
-    counts as empty; repeated rows keep their rows; no row looks at another, so there is no shuffle.
+    counts as empty; repeated rows keep their rows; other columns stay, but for those of the names above,
+    which are replaced; an empty table gives no rows. No row looks at another, so there is no shuffle, and
+    patterns run in time linear in the text without recursion, whatever its length.
     """
     if trees is None or trees.threshold is None:
         return with_base_spans(docs, text_col).withColumn("added", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
@@ -255,9 +257,15 @@ def find_pii(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Da
 
 
 def redact(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
-    """The rows with every span of personal data replaced by its kind in brackets; overlapping spans as one."""
-    columns = docs.columns
-    out = find_pii(docs, trees, text_col)
+    """The rows with every span of personal data replaced by its kind in brackets; overlapping spans as one.
+
+    Null texts stay null and empty ones empty; other columns stay as they are, whatever their names; repeated
+    rows keep their rows; texts of any length are taken whole; an empty table gives no rows.
+    """
+    columns = {f"_{i}_": c for i, c in enumerate(docs.columns)}
+    out = docs.toDF(*columns)  # so that no column bears the name of a kind
+    text_col = next(own for own, c in columns.items() if c == text_col)
+    out = find_pii(out, trees, text_col)
     out = out.withColumn("_spans", labelled({k: F.col(k) for k in [*BASE, "added"]}))
     merged = F.expr("""aggregate(_spans, cast(array() as array<struct<start:int,end:int,kind:string>>), (a, s) ->
         if(size(a) > 0 and element_at(a, -1).end > s.start,
@@ -266,7 +274,7 @@ def redact(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Data
     out = out.withColumn("_spans", merged)
     parts = f"""transform(_spans, (s, i) -> concat(substring(`{text_col}`, 1 + if(i = 0, 0, get(_spans, i - 1).end), s.start - if(i = 0, 0, get(_spans, i - 1).end)), '[', upper(if(s.kind = 'added', 'private', s.kind)), ']'))"""
     new = F.expr(f"if(size(_spans) > 0, concat(array_join({parts}, ''), substring(`{text_col}`, element_at(_spans, -1).end + 1)), `{text_col}`)")
-    return out.withColumn(text_col, new).select(columns)
+    return out.withColumn(text_col, new).select(*(F.col(own).alias(c) for own, c in columns.items()))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
