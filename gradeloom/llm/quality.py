@@ -179,7 +179,8 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 400) -> Ne
 
 
 def held_out(id_col: str) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
+    """crc32 of the id as text is divisible by 5; a null id is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
