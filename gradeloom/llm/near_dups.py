@@ -17,6 +17,10 @@ from gradeloom.llm.words import words
 
 #: Words of a shingle, least similarity; a pair of that similarity shares no band with probability 7e-5.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Members of a group that are compared in full.
+SMALL = 32
+#: Rounds in which large groups are split by what their members have beyond the head.
+PRUNED = 2
 
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 13)]))
 
@@ -150,14 +154,41 @@ def features(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_co
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of (sorted hashes, counts)."""
-    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    both = b[0][at] == a[0]
-    shared = np.minimum(a[1][both], b[1][at[both]]).sum()
+    shared = _held(a, b).sum()
     return shared / (a[1].sum() + b[1].sum() - shared)
 
 
-def verified(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The (u, v) of pairs whose shingles are similar enough, by exact comparison."""
+def _held(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How much of each element of b is in a."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    return np.where(a[0][at] == b[0], np.minimum(b[1], a[1][at]), 0)
+
+
+def against_head(head: tuple, own: tuple, light: int, least: float) -> tuple[bool, bool, np.ndarray]:
+    """(linked, open, added): what the comparison of a set with the head of its group tells about the others.
+
+    Two sets of a group share at most the lesser of what each shares with the head, and what both have
+    beyond the head. `light` is the least weight in the group, so a set needs some amount of shared weight
+    to be similar to any other. If it has that much in common with the head, it stays open. Else its partners must
+    have some of its elements beyond the head, too: of those, as many in the order of hashes are returned
+    that a partner's cannot all be among the rest.
+    """
+    held = _held(head, own)
+    shared, weight = held.sum(), own[1].sum()
+    need = least / (1 + least) * (weight + max(light, least * weight)) - shared - 1e-9
+    more = own[1] - held
+    beyond = more > 0
+    left = more.sum() - np.concatenate([[0], np.cumsum(more[beyond])])
+    enough = left < need
+    return bool(shared / (head[1].sum() + weight - shared) >= least), bool(need <= 0), own[0][beyond][: int(enough.argmax()) if enough.any() else len(left) - 1]
+
+
+def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(u, v, linked, open, weight, keys) of pairs (u, v, light, prune), by exact comparison of all shingles.
+
+    weight is that of v. Where prune is set, keys name the groups in which v may meet partners that it
+    shares more with than the head u (see against_head); else they are empty and open is true.
+    """
 
     def weighted(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
         h = np.frombuffer(hashes, np.uint64)
@@ -165,68 +196,106 @@ def verified(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [similarity(weighted(a, ac), weighted(b, bc)) >= least for a, ac, b, bc in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
+            linked, opened, weights, keys = [], [], [], []
+            for i in range(batch.num_rows):
+                u, light, prune, *sets = (batch.column(k)[i].as_py() for k in (0, 2, 3, 4, 5, 6, 7))
+                head, own = weighted(*sets[:2]), weighted(*sets[2:])
+                link, stays, added = against_head(head, own, light, least)
+                linked.append(link)
+                opened.append(stays or not prune)
+                weights.append(int(own[1].sum()))
+                keys.append(_mix(added ^ np.uint64(int.from_bytes(u[:8], "little"))).view(np.int64) if prune else ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(opened, pa.bool_()), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["u", "v", "linked", "open", "weight", "keys"])
 
     one = feature.withColumnsRenamed({"node": "u", "hashes": "uh", "counts": "uc"})
     two = feature.withColumnsRenamed({"node": "v", "hashes": "vh", "counts": "vc"})
-    rows = pairs.join(one, "u").join(two, "v").select("u", "v", "uh", "uc", "vh", "vc")
-    return rows.mapInArrow(work, "u binary, v binary").distinct()
+    rows = pairs.select("u", "v", "light", "prune").join(one, "u").join(two, "v").select("u", "v", "light", "prune", "uh", "uc", "vh", "vc")
+    return rows.mapInArrow(work, "u binary, v binary, linked boolean, open boolean, weight long, keys array<long>")
+
+
+def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (u, v) between similar nodes of groups (key, node, weight), and the classes (node, component) they make.
+
+    Every pair of one group that is similar enough is linked or of one class in the end, and all pairs are never listed. In
+    each round, the members of a group are compared with its head, the node that has most company. What a
+    member lacks in common with the head rules out most partners at once, and the rest meet in smaller
+    groups, named by what they have beyond the head (against_head). Groups whose members are of one class
+    are done. Groups of at most SMALL members are compared in full. What of a large group is left after
+    PRUNED rounds is compared with more heads, four times as many in each further round, where classes differ.
+    """
+
+    def close(a: str, b: str):
+        """No pair whose weights differ more can be similar enough."""
+        return F.least(a, b) >= least * F.greatest(a, b)
+
+    groups = groups.withColumn("class", F.col("node"))
+    links = label = None
+    turn = 0
+    while True:
+        if label is not None:
+            groups = groups.join(label, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("class"))
+        size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
+        groups = saved(groups.join(size, "key"), "near_groups")
+        if groups.isEmpty():
+            return links and links.distinct(), label
+        popular = groups.groupBy("node").agg(F.sum("n").alias("pop"))
+        groups = groups.join(popular, "node")
+        few = F.col("n") <= (SMALL if turn else 2)
+        head = groups.where(~few).groupBy("key").agg(F.max_by(F.struct("node", "class", "weight"), F.struct("pop", "node")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.class").alias("head_class"), F.col("h.weight").alias("head_weight"), F.lit(True).alias("first"))
+        if turn:
+            order = Window.partitionBy("key").orderBy(F.desc("pop"), F.desc("node"))
+            more = groups.where(~few).withColumn("place", F.row_number().over(order)).where(F.col("place").between(2, 4**turn))
+            head = head.unionByName(more.select("key", F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("weight").alias("head_weight"), F.lit(False).alias("first")))
+        head = saved(head, "near_heads")
+        rows = groups.where(~few).join(head, "key").where((F.col("node") != F.col("head")) & (F.col("first") & F.lit(turn < PRUNED) | ((F.col("class") != F.col("head_class")) & close("weight", "head_weight"))))
+        pairs = rows.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", (F.col("first") & (F.col("n") > SMALL) & F.lit(turn < PRUNED)).alias("prune"))
+        two = groups.where(few).select("key", F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("weight").alias("head_weight"))
+        both = groups.where(few).join(two, "key").where((F.col("head") < F.col("node")) & (F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
+        pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune")))
+        pairs = pairs.groupBy("u", "v").agg(F.min("light").alias("light"), F.max("prune").alias("prune"))
+        told = saved(compared(pairs, feature, least), "near_told")
+        fresh = told.where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        if links is None or not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            label = connected_components(links)
+        first = head.where("first").select("key", F.col("head").alias("u"))
+        rest = groups.where(~few)
+        if turn < PRUNED:
+            still = told.where("open").select("u", F.col("v").alias("node"), F.lit(True).alias("open"))
+            rest = rest.join(first, "key").join(still, ["u", "node"], "left").where((F.col("n") <= SMALL) | F.col("open"))
+        rest = rest.select("key", "node", "weight")
+        rest = rest.join(head.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
+        groups = rest.unionByName(told.select(F.explode("keys").alias("key"), F.col("v").alias("node"), "weight"))
+        turn += 1
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, class_id, links) for every row: near-duplicate classes.
 
     Texts with equal shingles are one node from the start, so copies never meet in pairs. Nodes that
-    share a band are candidates: each is compared exactly with the least node of its bucket; then, as long
-    as a bucket holds nodes of more than one class, with further heads, twice as many in each round, taken
-    from the smallest classes first. So a bucket of thousands of near copies costs one comparison for
-    each, no pair of different classes in a bucket stays untested, and all pairs are never listed. Classes
-    are the connected components of verified links, class_id the least id in it, links the number of
-    tested links of the row's node. Words and shingles are as in words() and shingles(); texts without
-    words are alike only if equal; null counts as empty; a class of null ids has a null class_id.
+    share a band are a group, and near_links finds the similar pairs in it. Classes are the connected
+    components of these links, class_id the least id in it, links the number of links found at the row's
+    node. Words and shingles are as in words() and shingles(); texts without words are alike only if
+    equal; null counts as empty; a class of null ids has a null class_id. Repeated rows and ids keep their
+    rows; texts of any length are taken whole; other columns are ignored; an empty table gives no rows.
     """
     rows = saved(sketch(docs, id_col, text_col), "sketches")
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bands = nodes.select("node", "weight", F.explode("bands").alias("key"))
-    heads = bands.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = saved(bands.join(heads, "key").select("key", "node", "weight", "n", F.col("head.node").alias("head"), F.col("head.weight").alias("head_weight")), "buckets")
-
-    def close(a: str, b: str):
-        """No pair whose weights differ more can be similar enough."""
-        return F.least(a, b) >= least * F.greatest(a, b)
-
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = saved(bands.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     feature = saved(features(docs, wanted, id_col, text_col), "features")
-    pairs = members.where((F.col("node") != F.col("head")) & close("weight", "head_weight")).select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    links = saved(verified(pairs, feature, least), "near_links")
-    label = saved(connected_components(links), "near_labels")
-    opened = members.where((F.col("n") > 2) & (F.col("node") != F.col("head"))).select("key", "node", "weight")
-    tested, many = pairs, 32
-    while True:
-        opened = opened.join(label, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("class"))
-        mixed = opened.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("key")
-        opened = saved(opened.join(mixed, "key", "left_semi"), "open_buckets")
-        if opened.isEmpty():
-            break
-        sizes = opened.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
-        order = Window.partitionBy("key").orderBy("size", "node")
-        front = saved(opened.join(sizes, ["key", "class"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= many).select("key", F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("weight").alias("head_weight")), "heads")
-        pairs = opened.join(front, "key").where((F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
-        pairs = pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = saved(pairs, "near_pairs")
-        fresh = saved(verified(pairs, feature, least), "near_links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            label = saved(connected_components(links), "near_labels")
-        tested = tested.unionByName(pairs)
-        opened = opened.join(front.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").drop("class")
-        many *= 2
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    known = nodes.select("node", "id").join(label, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links, label = near_links(members, feature, least)
+    known = nodes.select("node", "id")
+    if label is None:
+        known = known.select("node", "id", F.col("node").alias("component"), F.lit(0).cast("long").alias("links"))
+    else:
+        degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+        known = known.join(label, "node", "left").join(degree, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     known = saved(known, "near_nodes")
     least_id = known.groupBy("component").agg(F.min("id").alias("class_id"))
-    by_node = known.join(least_id, "component").select("node", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    by_node = known.join(least_id, "component").select("node", "class_id", "links")
     return rows.select("id", "node").join(by_node, "node").select("id", "class_id", "links")
 
 
