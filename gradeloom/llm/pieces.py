@@ -92,8 +92,8 @@ class PieceEncoder:
         words = np.array(list(self.index), object)[kept]
         self._keep(dict(zip(words.tolist(), range(len(kept)))), kept)
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Append the ids of new chunks to the memo."""
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Append the ids of new chunks to the memo; their numbers there."""
         alike = [c[:1] == b" " and len(c) > 1 and not _OPEN[c[1]] and not _SPACE[c[-1]] and not _LAST[c[-1]] for c in new]
         joined = [c for c, a in zip(new, alike, strict=True) if a]
         parts = [joined[k : k + 4096] for k in range(0, len(joined), 4096)]
@@ -108,6 +108,8 @@ class PieceEncoder:
         self.ids = np.concatenate([self.ids, *found]).astype(np.uint32, copy=False)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
         self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        rank = np.array(alike)
+        return base + np.where(rank, np.cumsum(rank) - 1, len(joined) + np.cumsum(~rank) - 1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): text i has ids[at[i]:at[i + 1]]."""
@@ -127,8 +129,7 @@ class PieceEncoder:
         own = np.array([get(w, -1) for w in words])
         self.again[own[own >= 0]] = True
         if len(lost := np.flatnonzero(own < 0)):
-            self._learn([words[i] for i in lost])
-            own = np.array([get(w) for w in words])
+            own[lost] = self._learn([words[i] for i in lost])
         code = chunks.indices.to_numpy()
         begin, size = self.ends[own], np.diff(self.ends)[own]
         size = size[code]

@@ -29,7 +29,7 @@ from gradeloom.llm.pieces import PieceEncoder, Pieces, slices
 
 MAGIC = b"GLB2"
 #: Ids of a block (it ends with the text that reaches them), its most lanes, steps between two counts.
-BLOCK_IDS, LANES, REFRESH = 1 << 20, 4096, 8
+BLOCK_IDS, LANES, REFRESH = 1 << 20, 8192, 8
 #: log2 of the total of the mixed predictions' shares and of an id's frequencies; slots of the order-2 table.
 MIX_BITS, ID_BITS, SLOTS = 12, 22, 1 << 18
 #: Followers that a context of order 2 and 1 counts; the most that one counts before all are halved.
@@ -333,7 +333,7 @@ def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, i
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.int32()), *lists, pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "ids", "lengths", "n_ids", "data"])
 
         for batch in batches:
-            for rows in slices(batch, text_col, 4_000_000):
+            for rows in slices(batch, text_col, 8_000_000):
                 found, at = ids_of(rows.column(1))
                 found, at = np.insert(found, at[1:], end_id), at + np.arange(len(at))
                 begin = 0
