@@ -24,6 +24,15 @@ TYPES = (
 )
 
 
+#: White space of any script, as a character class for Java and for DuckDB alike.
+SPACES = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+
+
+def trimmed(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, rf"^{SPACES}+|{SPACES}+\z", "")
+
+
 def stem_text(stem: Column) -> Column:
     """Paragraphs and table cells of array<struct<type, text, rows>>, joined by spaces."""
     cells = lambda b: F.when(b["type"] == "p", F.coalesce(b["text"], F.lit(""))).otherwise(F.array_join(F.flatten(b["rows"]), " "))
@@ -78,7 +87,7 @@ def devanagari_share(text: Column) -> Column:
 def title_from_file(name: Column) -> Column:
     """File name without .pdf, underscores and runs of spaces as one space; a default where nothing is left."""
     bare = F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf\z", ""), "_", " ")
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit("")), F.lit("Untitled test"))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, f"{SPACES}+", " ")), F.lit("")), F.lit("Untitled test"))
 
 
 def label_index(label: Column) -> Column:
@@ -89,5 +98,5 @@ def label_index(label: Column) -> Column:
 def squeeze(s: Column) -> Column:
     """Letter-spaced words closed up, '( a )' as '(a)', single spaces."""
     s = F.when(s.rlike(r"^(?:\S ){2,}\S$"), F.regexp_replace(s, " ", "")).otherwise(s)
-    s = F.regexp_replace(s, r"\(\s*([A-Za-z0-9])\s*\)", "($1)")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.regexp_replace(s, rf"\({SPACES}*([A-Za-z0-9]){SPACES}*\)", "($1)")
+    return F.trim(F.regexp_replace(s, f"{SPACES}+", " "))

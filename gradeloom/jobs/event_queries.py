@@ -24,9 +24,14 @@ def response_states_in_time(spark, sf_dir):
     return E.response_state(E.in_time(log, ends))
 
 
+def _shown(log):
+    """A log in which a view puts its question on screen."""
+    return log.withColumn("kind", F.when(F.col("kind") == "tick", "show").otherwise(F.col("kind")))
+
+
 def visited_questions(spark, sf_dir):
     """Questions seen and the current one of every attempt."""
-    return E.visited(T.attempt_events(spark, sf_dir))
+    return E.visited(_shown(T.attempt_events(spark, sf_dir)))
 
 
 def time_spent(spark, sf_dir):
@@ -88,7 +93,7 @@ SQL = {
     "response_states": _fold("SELECT * FROM log"),
     "response_states_in_time": _fold("SELECT * FROM log QUALIFY event_time <= min(event_time) OVER (PARTITION BY attempt_id) + INTERVAL 10 DAY"),
     "streamed_states": _fold("SELECT * FROM log"),
-    "visited_questions": with_tables("log") + " SELECT attempt_id, count(DISTINCT qid) AS visited, arg_max(qid, (event_time, seq)) AS current FROM log GROUP BY attempt_id",
+    "visited_questions": with_tables("log") + " SELECT attempt_id, count(DISTINCT qid) AS visited, arg_max(qid, (event_time, seq)) AS current FROM log WHERE kind = 'tick' GROUP BY attempt_id",
     "time_spent": with_tables("log") + """, t AS (SELECT attempt_id, qid, epoch_us(event_time) - lag(epoch_us(event_time)) OVER (PARTITION BY attempt_id ORDER BY event_time, seq) AS gap FROM log WHERE kind = 'tick')
   SELECT attempt_id, qid, sum(CASE WHEN gap IS NULL THEN 0 ELSE least(40000, gap / 1e6::DOUBLE) END) AS seconds FROM t GROUP BY ALL""",
     "expired_attempts": with_tables("attempts") + """, u AS (SELECT *, started_at + to_seconds(duration_sec) AS ends_at, status = 'in-progress' AND started_at + to_seconds(duration_sec) <= TIMESTAMP '1997-06-01' AS up FROM attempts)

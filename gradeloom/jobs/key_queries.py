@@ -73,8 +73,9 @@ def copy_answers_fill(spark, sf_dir):
 
 
 def toggle_answers(spark, sf_dir):
-    """Single answer edits; the same option twice clears it."""
-    edits = _copied(spark, sf_dir).withColumnRenamed("idx", "option")
+    """Single answer edits; the same option twice clears it. Every ninth question is edited twice."""
+    one = _copied(spark, sf_dir).select("qid", F.lit(1).alias("seq"), F.col("idx").alias("option"))
+    edits = one.unionByName(one.where("qid % 9 = 0").select("qid", F.lit(2).alias("seq"), ((F.col("option") + F.col("qid") % 2) % 4).cast("int").alias("option")))
     return K.toggle_answers(_questions(spark, sf_dir), edits).select("qid", "answer")
 
 
@@ -191,7 +192,8 @@ SQL = {
     "unknown_key_numbers": _KEY + " SELECT paper_id, num FROM k EXCEPT SELECT paper_id, num FROM questions",
     "copy_answers_overwrite": _COPIED + " SELECT qid, coalesce(idx, answer) AS answer FROM questions LEFT JOIN c USING (qid)",
     "copy_answers_fill": _COPIED + " SELECT qid, coalesce(answer, idx) AS answer FROM questions LEFT JOIN c USING (qid)",
-    "toggle_answers": _COPIED + " SELECT qid, CASE WHEN idx IS NULL THEN answer WHEN answer = idx THEN NULL ELSE idx END AS answer FROM questions LEFT JOIN c USING (qid)",
+    "toggle_answers": _COPIED + """, o AS (SELECT qid, idx, CASE WHEN idx IS NULL THEN answer WHEN answer = idx THEN NULL ELSE idx END AS answer, (idx + qid % 2) % 4 AS again FROM questions LEFT JOIN c USING (qid))
+  SELECT qid, CASE WHEN idx IS NULL OR qid % 9 <> 0 THEN answer WHEN answer = again THEN NULL ELSE again END AS answer FROM o""",
     "clear_paper_key": _Q + " SELECT qid, CASE WHEN paper_id % 2 <> 0 THEN answer END AS answer FROM questions WHERE NOT (paper_id % 2 = 0 AND num = 50)",
     "keyed_counts": _Q + " SELECT paper_id, count(*) AS questions, count(answer) AS keyed, count_if(answer IS NULL) AS no_key, count_if(length(text) > 60 OR answer IS NULL) AS flagged FROM questions GROUP BY paper_id",
     "range_selection": _Q + " SELECT paper_id, count(*) AS chosen, count_if(answer IS NULL) AS no_key FROM questions WHERE num >= 11 GROUP BY paper_id",

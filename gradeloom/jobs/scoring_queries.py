@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions.numbers import clock, half_up, minutes_text
-from gradeloom.functions.text import question_type, title_from_file
+from gradeloom.functions.text import numbered_paragraph, question_type, title_from_file
 from gradeloom.operators import scoring as S
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
@@ -22,7 +22,7 @@ typed AS (SELECT qid, answer, CASE
   WHEN regexp_matches(text, '(?i)match\\s+list|list\\s*[-–]?\\s*i\\b.*list\\s*[-–]?\\s*ii') THEN 'Match the lists'
   WHEN regexp_matches(text, '(?i)chronolog|arrange|correct\\s+order|sequence') THEN 'Order and chronology'
   WHEN regexp_matches(text, '(?i)pairs?\\b.*\\bmatched') THEN 'Matched pairs'
-  WHEN regexp_matches(text, '(?i)statements?\\b') THEN 'Statements' ELSE 'Direct question' END AS type FROM questions),
+  WHEN regexp_matches(text, '(?i)statements?\\b') OR len(list_filter(paragraphs, lambda p: regexp_matches(p, '^[0-9]\\.\\s'))) > 0 THEN 'Statements' ELSE 'Direct question' END AS type FROM questions),
 r AS (SELECT i.attempt_id, i.idx, i.qid, i.resp, i.marked, i.visited, CAST(floor(i.time_s + 0.5) AS BIGINT) AS time, i.changes, t.type,
   CASE WHEN t.answer IS NULL THEN 'unscored' WHEN i.resp IS NULL THEN 'skipped' WHEN i.resp = t.answer THEN 'correct' ELSE 'wrong' END AS status
   FROM items i JOIN typed t USING (qid))"""
@@ -92,7 +92,7 @@ def shuffled_order(spark, sf_dir):
 
 def question_types(spark, sf_dir):
     """Style of every question."""
-    return T.questions(spark, sf_dir).select("qid", question_type(F.col("text")).alias("type"))
+    return T.questions(spark, sf_dir).select("qid", question_type(F.col("text"), numbered_paragraph(F.col("stem"))).alias("type"))
 
 
 def scalar_formats(spark, sf_dir):
@@ -101,7 +101,7 @@ def scalar_formats(spark, sf_dir):
     sec = F.col("o_orderkey") % 20_000 + 0.5
     return o.select(
         "o_orderkey", half_up(F.col("o_totalprice") - 100_000).cast("double").alias("rounded"), clock(sec).alias("clock"), minutes_text(sec).alias("duration"),
-        title_from_file(F.concat(F.col("o_orderpriority"), F.lit("__paper  x.PDF"))).alias("title"), title_from_file(F.lit("_ .pdf")).alias("untitled"),
+        title_from_file(F.concat(F.col("o_orderpriority"), F.lit("__paper \u00a0\u2003 x.PDF"))).alias("title"), title_from_file(F.lit("_ .pdf")).alias("untitled"),
     )
 
 

@@ -44,8 +44,11 @@ def response_state(log: DataFrame) -> DataFrame:
 
 
 def visited(log: DataFrame) -> DataFrame:
-    """attempt_id, visited (number of questions ever on screen), current (question of the last event)."""
-    return log.groupBy("attempt_id").agg(F.count_distinct("qid").alias("visited"), F.max_by("qid", F.struct(*ORDER)).alias("current"))
+    """attempt_id, visited (number of questions ever on screen), current (the question shown last).
+
+    Only show events count: a submit, say, has no question. Attempts that never showed one have no row.
+    """
+    return log.where("kind = 'show' AND qid IS NOT NULL").groupBy("attempt_id").agg(F.count_distinct("qid").alias("visited"), F.max_by("qid", F.struct(*ORDER)).alias("current"))
 
 
 def time_spent(log: DataFrame, most: float = 5.0) -> DataFrame:

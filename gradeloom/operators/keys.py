@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import label_index
@@ -78,10 +78,13 @@ def format_key(questions: DataFrame) -> DataFrame:
 
 
 def apply_key(questions: DataFrame, key: DataFrame) -> DataFrame:
-    """Questions with the key's answers where it has their number; of a repeated number only the last gets one."""
+    """Questions with the key's answers where it has their number; of a repeated number only the last gets one.
+
+    Of several key rows for one number the least label counts.
+    """
     last = Window.partitionBy("paper_id", "num")
     rows = questions.withColumn("_last", F.max("pos").over(last) == F.col("pos"))
-    rows = rows.join(key.select("paper_id", "num", F.col("idx").alias("_idx")), ["paper_id", "num"], "left")
+    rows = rows.join(key.groupBy("paper_id", "num").agg(F.min("idx").alias("_idx")), ["paper_id", "num"], "left")
     return rows.withColumn("answer", F.when(F.col("_last"), F.coalesce("_idx", "answer")).otherwise(F.col("answer"))).drop("_last", "_idx")
 
 
@@ -91,14 +94,35 @@ def unknown_numbers(questions: DataFrame, key: DataFrame) -> DataFrame:
 
 
 def copy_answers(questions: DataFrame, copied: DataFrame, mode: str = "overwrite") -> DataFrame:
-    """Questions with copied (qid, idx): over their own answers, or with mode='fill' only where they have none."""
-    rows = questions.join(copied.select("qid", F.col("idx").alias("_idx")), "qid", "left")
+    """Questions with copied (qid, idx): over their own answers, or with mode='fill' only where they have none.
+
+    Of several copies for one question the least label counts.
+    """
+    rows = questions.join(copied.groupBy("qid").agg(F.min("idx").alias("_idx")), "qid", "left")
     pair = ("_idx", "answer") if mode == "overwrite" else ("answer", "_idx")
     return rows.withColumn("answer", F.coalesce(*pair)).drop("_idx")
 
 
 def toggle_answers(questions: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply edits (qid, option): the answer becomes the option, or none where it was that already."""
-    rows = questions.join(edits.select("qid", F.col("option").alias("_new")), "qid", "left")
-    new = F.when(F.col("_new").isNull(), F.col("answer")).when(F.col("answer").eqNullSafe(F.col("_new")), F.lit(None)).otherwise(F.col("_new"))
-    return rows.withColumn("answer", new).drop("_new")
+    """Apply edits (qid, seq, option) in turn: the answer becomes the option, or none where it was that already.
+
+    Edits of one question are folded in the order of seq; an edit without an option changes nothing.
+    """
+    own = edits.where("option IS NOT NULL").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("seq", "option"))).alias("_edits"))
+    rows = questions.join(own, "qid", "left")
+    new = F.aggregate("_edits", F.col("answer"), lambda a, e: F.when(a.eqNullSafe(e["option"].cast(questions.schema["answer"].dataType)), F.lit(None)).otherwise(e["option"]).cast(questions.schema["answer"].dataType))
+    return rows.withColumn("answer", F.when(F.col("_edits").isNull(), F.col("answer")).otherwise(new)).drop("_edits")
+
+
+def apply_printed_key(questions: DataFrame, key_texts: DataFrame) -> DataFrame:
+    """Questions of papers (doc_id, num, qplace, answer) with the key that their paper prints (doc_id, text) over inline answers."""
+    key = key_rows(key_texts, paper="doc_id").withColumnRenamed("doc_id", "paper_id")
+    rows = questions.withColumnsRenamed({"doc_id": "paper_id", "qplace": "pos"})
+    return apply_key(rows, key).withColumnsRenamed({"paper_id": "doc_id", "pos": "qplace"})
+
+
+def read_key_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of .txt and .csv key files, each read whole; in a .csv, quotes and empty fields fall away."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+    plain = F.regexp_replace(F.regexp_replace("text", "\\r\\n?", "\n"), '"', "")
+    return raw.where(F.lower("file").rlike(r"\.(?:txt|csv)\z")).select("file", plain.alias("text"))

@@ -36,8 +36,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("p_brand", "p_type", "p_name", F.concat("p_brand", F.lit(" "), "p_type")).alias("options"),
         F.when(F.col("p_size") % 5 != 4, F.col("p_size") % 5).alias("answer"),
     )
-    block = F.struct(F.lit("p").alias("type"), F.col("text").alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
-    return rows.withColumn("stem", F.array(block).cast(STEM))
+    numbered = F.when(F.col("qid") % 7 == 3, F.array("text", F.concat(F.lit("1. "), F.get("options", F.lit(2)))))  # every seventh question has a numbered paragraph, too
+    return rows.withColumn("stem", F.transform(F.coalesce(numbered, F.array("text")), lambda p: F.struct(F.lit("p").alias("type"), p.alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))).cast(STEM))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ SQL = {
     "questions": """questions AS (SELECT p_partkey // 50 AS paper_id, p_partkey AS qid, CAST(p_partkey % 50 + 1 AS INT) AS num, CAST(p_partkey % 50 AS INT) AS pos,
   CASE p_size % 6 """
     + " ".join(f"WHEN {i} THEN replace(replace('{t}', '{{n}}', p_name), '{{b}}', p_brand)" for i, t in enumerate(TEMPLATES))
-    + """ END AS text, [p_brand, p_type, p_name, p_brand || ' ' || p_type] AS options,
+    + """ END AS text, CASE WHEN p_partkey % 7 = 3 THEN [text, '1. ' || p_name] ELSE [text] END AS paragraphs, [p_brand, p_type, p_name, p_brand || ' ' || p_type] AS options,
   CASE WHEN p_size % 5 <> 4 THEN p_size % 5 END AS answer FROM part)""",
     "attempts": """attempts AS (SELECT o_orderkey AS attempt_id, o_custkey AS student_id,
   CASE o_orderstatus WHEN 'F' THEN 'submitted' WHEN 'O' THEN 'in-progress' ELSE 'scheduled' END AS status, o_orderdate AS started_at,
