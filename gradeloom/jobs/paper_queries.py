@@ -64,7 +64,7 @@ def squeezed_titles(spark, sf_dir):
     """Letter-spaced and bracketed spellings of part names closed up."""
     p = T.read(spark, sf_dir, "part")
     spaced = F.array_join(F.split(F.replace("p_name", F.lit(" "), F.lit("")), ""), " ")
-    return p.select("p_partkey", squeeze(F.trim(spaced)).alias("closed"), squeeze(F.concat(F.lit("( a )  "), "p_name")).alias("label"))
+    return p.select("p_partkey", squeeze(F.trim(spaced)).alias("closed"), squeeze(F.concat(F.lit("(\u00a0a ) \u3000"), "p_name")).alias("label"))
 
 
 def kept_items(spark, sf_dir):
@@ -105,7 +105,7 @@ def upright_items(spark, sf_dir):
     i = T.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag").distinct()
     size = F.col("l_quantity") / 2
     m = F.array(size, F.when(F.col("l_returnflag") == "R", F.lit(0.5)).otherwise(F.lit(0.0)), F.lit(0.0), F.when(F.col("l_linenumber") == 1, F.lit(0.0)).otherwise(size), (F.col("l_partkey") % 560).cast("double"), (F.col("l_orderkey") % 700).cast("double"))
-    raw = i.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", m.alias("transform"), F.when(F.col("l_discount") > 0.05, F.lit(33.0)).alias("width"), F.lit(792.0).alias("page_height"), F.when(F.col("l_partkey") % 10 == 0, " ").otherwise(F.col("l_returnflag")).alias("str"))
+    raw = i.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", m.alias("transform"), F.when(F.col("l_discount") > 0.05, F.lit(33.0)).alias("width"), F.lit(792.0).alias("page_height"), F.when(F.col("l_partkey") % 10 == 0, "\u00a0\u2003").otherwise(F.col("l_returnflag")).alias("str"))
     g = L.from_transform(raw)
     return g.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("w"), 6).alias("w"), F.round(F.sum("baseline"), 6).alias("baseline"), F.round(F.sum("size"), 6).alias("size"), F.round(F.sum("x"), 6).alias("x"))
 

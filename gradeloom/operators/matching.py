@@ -106,46 +106,57 @@ def assign_by_rounds(pairs: DataFrame, save=lambda df: df.checkpoint()) -> DataF
             return chosen
 
 
-def option_similarity(a: Column, b: Column) -> Column:
-    """Likeness of two option texts, 0 to 1; the first rule that fits decides.
+def option_parts(option: Column) -> Column:
+    """What option texts are compared by: normalised text, digits, whether it is a list code, qualifiers, tokens."""
+    x = norm(option)
+    digits = F.regexp_replace(x, r"\D", "")
+    qualifiers = F.array_join(F.filter(F.split(x, " "), lambda w: w.rlike(QUALIFIER)), " ")
+    coded = (F.length(digits) >= 3) & x.rlike(r"[a-d]\s*\d")
+    return F.struct(x.alias("x"), digits.alias("digits"), coded.alias("coded"), qualifiers.alias("qualifiers"), bag(option).alias("bag"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two options by their parts, 0 to 1; the first rule that fits decides.
 
     Nothing readable: 0. Equal after norm: 1. List codes must agree digit for digit. Short options with
     numbers must agree on numbers and qualifiers. Else the words' Dice, .9 at most.
     """
-    x, y = norm(a), norm(b)
-    dx, dy = F.regexp_replace(x, r"\D", ""), F.regexp_replace(y, r"\D", "")
-    coded = (F.length(dx) >= 3) & (F.length(dy) >= 3) & x.rlike(r"[a-d]\s*\d") & y.rlike(r"[a-d]\s*\d")
-
-    def qualifiers(t: Column) -> Column:
-        return F.array_join(F.filter(F.split(t, " "), lambda w: w.rlike(QUALIFIER)), " ")
-
-    short = (dx != "") & (dy != "") & (F.length(x) < 40) & (F.length(y) < 40)
+    same = a["digits"] == b["digits"]
+    short = (a["digits"] != "") & (b["digits"] != "") & (F.length(a["x"]) < 40) & (F.length(b["x"]) < 40)
     return (
-        F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0))
-        .when(coded, F.when(dx == dy, F.lit(0.95)).otherwise(F.lit(0.0)))
-        .when(short, F.when((dx == dy) & (qualifiers(x) == qualifiers(y)), F.lit(0.95)).otherwise(F.lit(0.2)))
-        .otherwise(F.least(F.lit(0.9), dice(bag(a), bag(b))))
+        F.when((a["x"] == "") | (b["x"] == ""), F.lit(0.0)).when(a["x"] == b["x"], F.lit(1.0))
+        .when(a["coded"] & b["coded"], F.when(same, F.lit(0.95)).otherwise(F.lit(0.0)))
+        .when(short, F.when(same & (a["qualifiers"] == b["qualifiers"]), F.lit(0.95)).otherwise(F.lit(0.2)))
+        .otherwise(F.least(F.lit(0.9), dice(a["bag"], b["bag"])))
     )
 
 
+def option_similarity(a: Column, b: Column) -> Column:
+    """Likeness of two option texts, 0 to 1."""
+    return likeness(option_parts(a), option_parts(b))
+
+
 def decide(chosen: DataFrame, target: DataFrame, source: DataFrame, min_question: float = MIN_QUESTION, min_option: float = MIN_OPTION) -> DataFrame:
     """t, s, papers, t_num, score, matched and the copied answer (null: unsure) of each chosen pair.
 
     The best option wins when it is good enough and clearly ahead; else the one unreadable option wins
     when none of the readable ones can be meant. A position is never copied.
     """
-    t = target.select(F.col("qid").alias("t"), F.col("options").alias("t_options"))
-    s = source.select(F.col("qid").alias("s"), F.col("options").alias("s_options"), F.coalesce(F.get("options", F.col("answer").cast("int")), F.lit("")).alias("want"))
+    t = target.select(F.col("qid").alias("t"), F.transform("options", option_parts).alias("t_options"))
+    want = option_parts(F.coalesce(F.get("options", F.col("answer").cast("int")), F.lit("")))
+    s = source.select(F.col("qid").alias("s"), F.size("options").alias("s_size"), want.alias("want"))
+    # options are taken apart once a question, on either side, before they meet
+    t, s = t.repartition("t"), s.repartition("s")
     rows = chosen.join(t, "t").join(s, "s").withColumn("matched", F.col("score") >= min_question)
-    sims = F.transform("t_options", lambda o: option_similarity(F.col("want"), o))
+    sims = F.transform("t_options", lambda o: likeness(F.col("want"), o))
     rows = rows.withColumn("sims", F.when(F.col("matched"), sims))
     ranked = F.array_sort(F.transform("sims", lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
     rows = rows.withColumn("ranked", ranked)
     best, runner = -F.get("ranked", F.lit(0))["v"], -F.get("ranked", F.lit(1))["v"]
     clear = runner.isNull() | (best - runner >= 0.1) | ((best == 1) & (runner < 1))
-    blank = F.filter(F.transform("t_options", lambda o, i: F.when(F.length(norm(o)) < 3, i)), lambda i: i.isNotNull())
-    others = F.transform(F.arrays_zip("t_options", "sims"), lambda z: (F.length(norm(z["t_options"])) < 3) | (z["sims"] < 0.5))
-    left = (F.size("t_options") == F.size("s_options")) & (F.size(blank) == 1) & F.forall(others, lambda ok: ok)
+    blank = F.filter(F.transform("t_options", lambda o, i: F.when(F.length(o["x"]) < 3, i)), lambda i: i.isNotNull())
+    others = F.transform(F.arrays_zip("t_options", "sims"), lambda z: (F.length(z["t_options"]["x"]) < 3) | (z["sims"] < 0.5))
+    left = (F.size("t_options") == F.col("s_size")) & (F.size(blank) == 1) & F.forall(others, lambda ok: ok)
     answer = F.when((best >= min_option) & clear, F.get("ranked", F.lit(0))["i"]).when(left, F.element_at(blank, 1))
     return rows.select("t", "s", "t_paper", "s_paper", "t_num", "score", "matched", F.when(F.col("matched"), answer).alias("answer"))
 
@@ -156,15 +167,23 @@ def transfer(target: DataFrame, source: DataFrame, paired: Column | None = None,
     return decide(assign(similar_pairs(t, s, paired, min_question)), t, s, min_question, min_option)
 
 
-def summary(decided: DataFrame, target: DataFrame) -> DataFrame:
-    """For each pair of papers: matched, copied, unsure and unmatched question numbers."""
+def summary(decided: DataFrame, target: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked pair of papers (t_paper, s_paper): matched, copied, unsure and unmatched question numbers.
+
+    Of papers without any pair of questions, nothing matches and all numbers are unmatched.
+    """
     each = decided.groupBy("t_paper", "s_paper").agg(
         F.count_if("matched").alias("matched"), F.count("answer").alias("copied"),
         F.array_sort(F.collect_set(F.when(F.col("answer").isNull(), F.col("t_num")))).alias("unsure"), F.collect_set("t").alias("_met"),
     )
     every = target.groupBy(F.col("paper_id").alias("t_paper")).agg(F.collect_list(F.struct("num", "qid")).alias("_all"))
-    unmatched = F.array_sort(F.transform(F.filter("_all", lambda q: ~F.array_contains("_met", q["qid"])), lambda q: q["num"]))
-    return each.join(every, "t_paper").withColumn("unmatched", unmatched).drop("_met", "_all")
+    lost = F.filter("_all", lambda q: ~F.coalesce(F.array_contains("_met", q["qid"]), F.lit(False)))
+    rows = asked.select("t_paper", "s_paper").distinct().join(each, ["t_paper", "s_paper"], "left").join(every, "t_paper")
+    none = F.array().cast("array<int>")
+    return rows.select(
+        "t_paper", "s_paper", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("matched", "copied")),
+        F.coalesce("unsure", none).alias("unsure"), F.array_sort(F.transform(lost, lambda q: q["num"])).alias("unmatched"),
+    )
 
 
 def best_source(decided: DataFrame, target: DataFrame, least: float = 0.3) -> DataFrame:

@@ -106,10 +106,15 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")
 
 
-def apply_feed(table: DataFrame, feed: DataFrame, key: str, removed: str = "removed") -> DataFrame:
-    """A record table after a batch of its change feed: rows replace, removed ones delete."""
-    changed = feed.select(key).distinct()
-    return table.join(changed, key, "left_anti").unionByName(feed.where(~F.col(removed)).drop(removed))
+def apply_feed(table: DataFrame, feed: DataFrame, key: str, version: str = "version", removed: str = "removed") -> DataFrame:
+    """A record table after a batch of its change feed: of each key's rows the latest version replaces or deletes.
+
+    A row without a version precedes all others; removed counts as false where it is null.
+    """
+    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.coalesce(removed, F.lit(False)).desc())
+    last = feed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    kept = last.where(~F.coalesce(removed, F.lit(False))).select(table.columns)
+    return table.join(last.select(key), key, "left_anti").unionByName(kept)
 
 
 def watch(stream: DataFrame, read_table, write_table, key: str, checkpoint: str):
