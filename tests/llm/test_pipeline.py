@@ -56,3 +56,12 @@ def test_repeated_ids_and_none(spark, folder):
     assert sorted((r.doc_id or 0) for r in C.near_duplicates(spark, docs, folder).collect()) == [0, 1, 2]
     assert C.near_duplicates(spark, docs.limit(0), folder).count() == 0
     assert C.private_data(spark, docs.limit(0).selectExpr("*", "0L AS n_chars"), folder).count() == 0
+
+
+def test_rows_of_one_id_are_judged_each(spark, folder):
+    a, b = "a b c d e f g", "h i j k l m n"
+    docs = spark.createDataFrame([(3, a, "x"), (5, a, "x"), (5, b, "x"), (9, b, "x"), (None, a, "x"), (None, "o p q", "x")], "doc_id long, text string, lang string")
+    assert sorted((str(r.doc_id), r.text) for r in C.near_duplicates(spark, docs, folder).collect()) == [("3", a), ("5", b), ("None", "o p q")]
+    leak = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, leak, "x"), (None, a, "x"), (4, leak, "x"), (4, a, "x")], "doc_id long, text string, lang string")
+    assert sorted((str(r.doc_id), r.text) for r in C.decontaminate(spark, docs, folder).collect()) == [("4", a), ("None", a)]
