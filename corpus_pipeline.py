@@ -16,31 +16,52 @@ from gradeloom.llm import quality as quality_model
 from gradeloom.llm.common import shared_dir, table
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, by which decisions on rows are joined back: the id and a hash of the text.
+
+    So rows that share an id, or have none, are judged one by one unless their texts are the same, too. In
+    the order of keys, rows without an id come last.
+    """
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, trained on the labelled rows among docs, does not reject."""
+    """Rows that the classifier, trained on the labelled rows among docs, does not reject.
+
+    A null text is judged as an empty one; repeated rows and ids are judged each; long texts are judged whole;
+    other columns stay as they are; an empty table gives no rows.
+    """
     return quality_model.keep_good(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of least doc_id.
+    """One row of each near-duplicate class: that of least doc_id, of several with it that of least text hash.
 
-    Rows that share a doc_id are one document and the one of least text stays; rows without id stay.
+    Rows with the same id and text are one. Null counts as the empty text, and texts without words are alike
+    only if equal; rows without an id are rows as any other, but stay only for classes in which no row has
+    one. Long texts are compared whole; other columns stay as they are; an empty table gives no rows.
     """
-    classes = near_dups.near_classes(docs)
-    gone = classes.where("id IS NOT NULL AND id != class_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    ids = docs.where("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if ids[0] == ids[1]:
-        return kept
-    first = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return first.unionByName(kept.where("doc_id IS NULL"))
+    rows = _keyed(docs)
+    classes = near_dups.near_classes(rows, "_key")
+    gone = classes.where("id != class_id").select(F.col("id").alias("_key")).distinct()
+    kept = rows.join(gone, "_key", "left_anti")
+    again = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(kept.join(again, "_key", "left_anti").select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any benchmark passage; rows without id go together."""
-    found = decontamination.occurrences(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where(F.size("hit") > 0).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+    """Rows without any benchmark passage.
+
+    Null texts and texts without words have none and stay; repeated rows and ids are judged each; long texts
+    are searched whole; other columns stay as they are; an empty table gives no rows.
+    """
+    rows = _keyed(docs)
+    found = decontamination.occurrences(rows, table(spark, sf_dir, "benchmark"), id_col="_key")
+    gone = found.where(F.size("hit") > 0).select(F.col("id").alias("_key")).distinct()
+    return rows.join(gone, "_key", "left_anti").select(docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +70,10 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row and the digests of ids and decoded bytes."""
+    """Token ids of every row and the digests of ids and decoded bytes; null and empty texts have no ids.
+
+    Repeated rows and ids keep their rows; long texts are encoded whole; an empty table gives no rows.
+    """
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
