@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,7 +185,7 @@ def against_head(head: tuple, own: tuple, light: int, least: float) -> tuple[boo
 
 
 def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(u, v, linked, open, weight, keys) of pairs (u, v, light, prune), by exact comparison of all shingles.
+    """(u, v, u_pop, pop, linked, open, weight, keys) of pairs (u, v, light, prune, u_pop, pop), by exact comparison of all shingles.
 
     weight is that of v. Where prune is set, keys name the groups in which v may meet partners that it
     shares more with than the head u (see against_head); else they are empty and open is true.
@@ -198,75 +199,86 @@ def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) ->
         for batch in batches:
             linked, opened, weights, keys = [], [], [], []
             for i in range(batch.num_rows):
-                u, light, prune, *sets = (batch.column(k)[i].as_py() for k in (0, 2, 3, 4, 5, 6, 7))
+                u, light, prune, *sets = (batch.column(k)[i].as_py() for k in (0, 4, 5, 6, 7, 8, 9))
                 head, own = weighted(*sets[:2]), weighted(*sets[2:])
                 link, stays, added = against_head(head, own, light, least)
                 linked.append(link)
                 opened.append(stays or not prune)
                 weights.append(int(own[1].sum()))
                 keys.append(_mix(added ^ np.uint64(int.from_bytes(u[:8], "little"))).view(np.int64) if prune else ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(opened, pa.bool_()), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["u", "v", "linked", "open", "weight", "keys"])
+            columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(opened, pa.bool_()), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "u_pop", "pop", "linked", "open", "weight", "keys"])
 
     one = feature.withColumnsRenamed({"node": "u", "hashes": "uh", "counts": "uc"})
     two = feature.withColumnsRenamed({"node": "v", "hashes": "vh", "counts": "vc"})
-    rows = pairs.select("u", "v", "light", "prune").join(one, "u").join(two, "v").select("u", "v", "light", "prune", "uh", "uc", "vh", "vc")
-    return rows.mapInArrow(work, "u binary, v binary, linked boolean, open boolean, weight long, keys array<long>")
+    rows = pairs.join(one, "u").join(two, "v").select("u", "v", "u_pop", "pop", "light", "prune", "uh", "uc", "vh", "vc")
+    return rows.mapInArrow(work, "u binary, v binary, u_pop long, pop long, linked boolean, open boolean, weight long, keys array<long>")
 
 
-def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links (u, v) between similar nodes of groups (key, node, weight), and the classes (node, component) they make.
+def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
+    """Links (u, v) between similar nodes of groups (key, node, weight); None without groups.
 
-    Every pair of one group that is similar enough is linked or of one class in the end, and all pairs are never listed. In
-    each round, the members of a group are compared with its head, the node that has most company. What a
-    member lacks in common with the head rules out most partners at once, and the rest meet in smaller
-    groups, named by what they have beyond the head (against_head). Groups whose members are of one class
-    are done. Groups of at most SMALL members are compared in full. What of a large group is left after
-    PRUNED rounds is compared with more heads, four times as many in each further round, where classes differ.
+    Every pair of one group that is similar enough is linked, directly or by others, and all pairs are never
+    listed. In each round, the members of a group are compared with its head, the node that has most company.
+    What a member lacks in common with the head rules out most partners at once, and the rest meet in smaller
+    groups, named by what they have beyond the head (against_head). Groups whose members hang together
+    already are done. Groups of at most SMALL members are compared in full. What of a large group is left
+    after PRUNED rounds is compared with many heads, sixteen times as many in each further round.
     """
 
     def close(a: str, b: str):
         """No pair whose weights differ more can be similar enough."""
         return F.least(a, b) >= least * F.greatest(a, b)
 
-    groups = groups.withColumn("class", F.col("node"))
-    links = label = None
-    turn = 0
+    def led(c: str) -> list:
+        return [F.col(f"h.{x}").alias("head" if x == "node" else f"head_{x}") for x in c.split()]
+
+    company = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    popular = groups.join(company, "key").groupBy("node").agg(F.sum("n").alias("pop"))
+    groups = groups.join(popular, "node").withColumn("class", F.col("node"))
+    member = F.struct("node", "class", "weight", "pop")
+    told, turn = [], 0
     while True:
-        if label is not None:
-            groups = groups.join(label, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("class"))
         size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
         groups = saved(groups.join(size, "key"), "near_groups")
         if groups.isEmpty():
-            return links and links.distinct(), label
-        popular = groups.groupBy("node").agg(F.sum("n").alias("pop"))
-        groups = groups.join(popular, "node")
+            break
         few = F.col("n") <= (SMALL if turn else 2)
-        head = groups.where(~few).groupBy("key").agg(F.max_by(F.struct("node", "class", "weight"), F.struct("pop", "node")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.class").alias("head_class"), F.col("h.weight").alias("head_weight"), F.lit(True).alias("first"))
-        if turn:
+        large, split = groups.where(~few), turn < PRUNED
+        if split:
+            head = large.groupBy("key").agg(F.max_by(member, F.struct("pop", "node")).alias("h"))
+        else:
             order = Window.partitionBy("key").orderBy(F.desc("pop"), F.desc("node"))
-            more = groups.where(~few).withColumn("place", F.row_number().over(order)).where(F.col("place").between(2, 4**turn))
-            head = head.unionByName(more.select("key", F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("weight").alias("head_weight"), F.lit(False).alias("first")))
-        head = saved(head, "near_heads")
-        rows = groups.where(~few).join(head, "key").where((F.col("node") != F.col("head")) & (F.col("first") & F.lit(turn < PRUNED) | ((F.col("class") != F.col("head_class")) & close("weight", "head_weight"))))
-        pairs = rows.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", (F.col("first") & (F.col("n") > SMALL) & F.lit(turn < PRUNED)).alias("prune"))
-        two = groups.where(few).select("key", F.col("node").alias("head"), F.col("class").alias("head_class"), F.col("weight").alias("head_weight"))
-        both = groups.where(few).join(two, "key").where((F.col("head") < F.col("node")) & (F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
-        pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune")))
-        pairs = pairs.groupBy("u", "v").agg(F.min("light").alias("light"), F.max("prune").alias("prune"))
-        told = saved(compared(pairs, feature, least), "near_told")
-        fresh = told.where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        if links is None or not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            label = connected_components(links)
-        first = head.where("first").select("key", F.col("head").alias("u"))
-        rest = groups.where(~few)
-        if turn < PRUNED:
-            still = told.where("open").select("u", F.col("v").alias("node"), F.lit(True).alias("open"))
-            rest = rest.join(first, "key").join(still, ["u", "node"], "left").where((F.col("n") <= SMALL) | F.col("open"))
-        rest = rest.select("key", "node", "weight")
-        rest = rest.join(head.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
-        groups = rest.unionByName(told.select(F.explode("keys").alias("key"), F.col("v").alias("node"), "weight"))
+            head = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 64 * 16 ** (turn - PRUNED)).select("key", member.alias("h"))
+        head = saved(head.select("key", *led("node class weight pop")), "near_heads")
+        rows = large.join(head, "key").where(F.col("node") != F.col("head"))
+        if not split:
+            rows = rows.where((F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
+        pairs = rows.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", (F.lit(split) & (F.col("n") > SMALL)).alias("prune"), F.col("head_pop").alias("u_pop"), "pop")
+        two = groups.where(few).select("key", member.alias("h")).select("key", *led("node class weight pop"))
+        both = groups.where(few).join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & (F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
+        pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune"), F.col("head_pop").alias("u_pop"), "pop"))
+        pairs = pairs.groupBy("u", "v").agg(F.min("light").alias("light"), F.max("prune").alias("prune"), F.max("u_pop").alias("u_pop"), F.max("pop").alias("pop"))
+        now = saved(compared(pairs, feature, least), "near_told")
+        told.append(now)
+        if split:
+            rest = large.join(head.select("key", "head"), "key").where(F.col("node") != F.col("head"))
+            still = now.where("open").select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("open"))
+            rest = rest.join(still, ["head", "node"], "left").where((F.col("n") <= SMALL) | F.col("open"))
+        else:
+            rest = large.join(head.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
+        # nodes with one leader hang together; which leader is theirs need not be settled before the end
+        linked = reduce(DataFrame.unionByName, told).where("linked")
+        leader = linked.groupBy("v").agg(F.max_by("u", F.struct("u_pop", "u")).alias("u"))
+        above = leader.select(F.col("v").alias("u"), F.col("u").alias("top"))
+        leader = saved(leader.join(above, "u", "left").select(F.col("v").alias("node"), F.coalesce("top", "u").alias("leader")), "near_leaders")
+        apart = now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys").join(leader, "node", "left").select(F.explode("keys").alias("key"), "node", "weight", "pop", "leader")
+        rest = rest.join(leader, "node", "left").select("key", "node", "weight", "pop", "leader").unionByName(apart)
+        groups = saved(rest.withColumn("class", F.coalesce("leader", "node")).drop("leader"), "near_rest")
         turn += 1
+    if not told:
+        return None
+    return reduce(DataFrame.unionByName, told).where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -286,11 +298,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = saved(bands.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     feature = saved(features(docs, wanted, id_col, text_col), "features")
-    links, label = near_links(members, feature, least)
+    links = near_links(members, feature, least)
     known = nodes.select("node", "id")
-    if label is None:
+    if links is None:
         known = known.select("node", "id", F.col("node").alias("component"), F.lit(0).cast("long").alias("links"))
     else:
+        links = saved(links, "near_links")
+        label = connected_components(links)
         degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
         known = known.join(label, "node", "left").join(degree, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     known = saved(known, "near_nodes")

@@ -135,8 +135,8 @@ def test_one_large_group_loses_no_link(spark):
     name = [near_dups._node(t, s) for t, s in zip(texts, sets, strict=True)]
     groups = spark.createDataFrame([(1, bytearray(k), int(s[1].sum())) for k, s in zip(name, sets, strict=True)], "key long, node binary, weight long")
     feature = spark.createDataFrame([(bytearray(k), bytearray(s[0].tobytes()), bytearray(s[1].astype("<u4").tobytes())) for k, s in zip(name, sets, strict=True)], "node binary, hashes binary, counts binary")
-    links, label = near_dups.near_links(groups, feature)
-    got = {bytes(r.node): bytes(r.component) for r in label.collect()}
+    links = near_dups.near_links(groups, feature)
+    got = {bytes(r.node): bytes(r.component) for r in connected_components(links).collect()}
     want: dict = {}
     for i, c in enumerate(brute_classes(texts)):
         want.setdefault(c, set()).add(name[i])
