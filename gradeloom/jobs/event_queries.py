@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from gradeloom.operators import events as E
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
+from gradeloom.sources.scratch import scratch
 from gradeloom.streaming import attempt_state as A
 
 
@@ -70,12 +69,7 @@ def streamed_states(spark, sf_dir):
         F.col("user_id").alias("attempt_id"), F.col("ts").alias("event_time"), F.col("event_id").alias("seq"), kind.alias("kind"),
         (F.get_json_object("props", "$.k").cast("int") % 10).alias("qid"), F.when(kind == "pick", (F.floor("value") % 4).cast("int")).alias("option"),
     )
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return A.run_available(A.attempt_states(log), f"{folder}/streams")
+    return A.run_available(A.attempt_states(log), f"{scratch(spark)}/streams")
 
 
 QUERIES = {f.__name__: f for f in (response_states, response_states_in_time, visited_questions, time_spent, expired_attempts, submitted_attempts, activity_windows, activity_sessions, streamed_states)}

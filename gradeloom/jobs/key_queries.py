@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.operators import keys as K
 from gradeloom.operators import library as L
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
+from gradeloom.sources.scratch import scratch
+from gradeloom.streaming.attempt_state import apply_feed
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +93,12 @@ def clear_paper_key(spark, sf_dir):
 def keyed_counts(spark, sf_dir):
     """Questions, keyed, without key and flagged ones of every paper."""
     q = _questions(spark, sf_dir).withColumn("warnings", F.filter(F.array(F.when(F.length("text") > 60, "long stem"), F.when(F.col("answer").isNull(), "no key")), lambda w: w.isNotNull()))
-    return q.groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.count("answer").alias("keyed"), F.count_if(F.col("answer").isNull()).alias("no_key"), F.count_if(F.size("warnings") > 0).alias("flagged"))
+    return L.keyed_counts(q)
 
 
 def range_selection(spark, sf_dir):
     """Questions 11 to the last of every paper, and how many have no key."""
-    q = _questions(spark, sf_dir)
-    last = Window.partitionBy("paper_id")
-    kept = q.withColumn("b", F.max("num").over(last)).where(F.col("num").between(11, F.col("b")))
-    return kept.groupBy("paper_id").agg(F.count(F.lit(1)).alias("chosen"), F.count_if(F.col("answer").isNull()).alias("no_key"))
+    return L.range_selection(_questions(spark, sf_dir), first=11)
 
 
 def missing_numbers(spark, sf_dir):
@@ -106,11 +107,9 @@ def missing_numbers(spark, sf_dir):
 
 
 def source_papers(spark, sf_dir):
-    """For every paper the others with a keyed question, papers ten apart at most."""
-    q = _questions(spark, sf_dir)
-    papers, keyed = q.select("paper_id").distinct(), q.where("answer IS NOT NULL").select("paper_id").distinct()
-    near = papers.select("paper_id", F.explode(F.sequence(F.col("paper_id") - 10, F.col("paper_id") + 10)).alias("source"))
-    return near.where("source != paper_id").join(keyed.withColumnRenamed("paper_id", "source"), "source", "left_semi").select("paper_id", "source")
+    """For every paper its keyed questions and how many others can give it answers; every third paper has no key."""
+    q = _questions(spark, sf_dir).withColumn("answer", F.when(F.col("paper_id") % 3 != 0, F.col("answer")))
+    return L.source_papers(q)
 
 
 def _paper_attempts(spark, sf_dir) -> DataFrame:
@@ -131,8 +130,8 @@ def cascade_delete(spark, sf_dir):
 def catalog_in_library(spark, sf_dir):
     """Catalog rows with the user's first paper of the same catalog id, if any."""
     catalog = T.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("catalog_id"), "c_name")
-    own = T.attempts(spark, sf_dir).groupBy("student_id").agg(F.min("attempt_id").alias("paper"))
-    return catalog.join(own, catalog["catalog_id"] == own["student_id"], "left").select("catalog_id", "c_name", "paper")
+    own = T.attempts(spark, sf_dir).select(F.col("student_id").alias("catalog_id"), F.col("attempt_id").alias("paper_id"))
+    return L.in_library(catalog, own)
 
 
 def upsert_records(spark, sf_dir):
@@ -145,13 +144,13 @@ def upsert_records(spark, sf_dir):
 def low_text_documents(spark, sf_dir):
     """Documents with less than 40 characters for each of their pages (one to ten, by id)."""
     d = T.read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), (F.col("doc_id") % 10 + 1).alias("pages"))
-    return d.where("chars < 40 * pages").select("doc_id", "chars")
+    return d.where(L.low_text(F.col("chars"), F.col("pages"))).select("doc_id", "chars")
 
 
 def scanned_flags(spark, sf_dir):
-    """Pages whose markup names a scanning or recognition program."""
+    """Pages whose address or markup names a scanning or recognition program, or that are marked as hardly readable."""
     p = T.read(spark, sf_dir, "pages")
-    return p.select("page_id", F.col("url").rlike("(?i)omnipage|abbyy|tesseract|finereader|scan|ocr").alias("scanned"))
+    return p.select("page_id", L.scanned(F.col("page_id") % 11 == 0, F.col("url"), F.col("html")).alias("scanned"))
 
 
 def question_lines(spark, sf_dir):
@@ -170,12 +169,44 @@ def _items(spark, sf_dir) -> DataFrame:
     )
 
 
+def read_key_files(spark, sf_dir):
+    """Keys written as text files, a folder for each paper, and read again."""
+    folder = f"{scratch(spark)}/keys-{uuid.uuid4().hex}"
+    format_keys(spark, sf_dir).repartition("paper_id").write.partitionBy("paper_id").text(folder)
+    files = K.read_key_files(spark, folder)
+    return K.key_rows(files.select(F.regexp_extract("path", "paper_id=([0-9]+)", 1).cast("long").alias("paper_id"), "text"))
+
+
+def edited_questions(spark, sf_dir):
+    """Questions with edited stems and options: a table of two rows, and options among blank lines."""
+    q = T.questions(spark, sf_dir).select("qid", "stem", "options", "answer").withColumn("warnings", F.array(F.lit("old")))
+    lines = F.concat(L.text_of_stem(F.col("stem")), F.lit("\n\u00a0\nA | "), F.get("options", F.lit(0)), F.lit("\nB | "), F.get("options", F.lit(1)), F.lit("\nlast"))
+    few = F.slice("options", 1, (F.col("qid") % 4 + 1).cast("int"))
+    edits = q.where("qid % 2 = 0").select("qid", lines.alias("stem_text"), F.concat(F.lit("\n "), F.array_join(few, " \u2003\n\n")).alias("options_text"))
+    e = L.edit_questions(q, edits)
+    return e.select("qid", L.text_of_stem(F.col("stem")).alias("lines"), F.size("stem").alias("blocks"), F.array_join("options", "|").alias("options"), "answer", F.array_join("warnings", "|").alias("warnings"))
+
+
+def paper_settings(spark, sf_dir):
+    """Minutes and marks of every paper, where some have minutes of their own."""
+    p = L.keyed_counts(_questions(spark, sf_dir).withColumn("warnings", F.array())).select("paper_id", "questions", F.when(F.col("paper_id") % 4 == 0, F.lit(90)).cast("long").alias("minutes"))
+    return L.with_settings(p)
+
+
+def change_feed(spark, sf_dir):
+    """Orders after a change feed in which some are changed twice, some removed, and some removed and put back."""
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    one = o.where("id % 3 = 0").select("id", (F.col("value") + 1).alias("value"), F.lit(1).alias("version"), (F.col("id") % 2 == 0).alias("removed"))
+    two = o.where("id % 5 = 0").select("id", (F.col("value") + 2).alias("value"), F.lit(2).alias("version"), F.when(F.col("id") % 7 == 0, True).alias("removed"))
+    return apply_feed(o, one.unionByName(two), "id").select("id", F.round("value", 2).alias("value"))
+
+
 def key_text_lines(spark, sf_dir):
     """Items put together as text, as for a key that is printed in a paper."""
     return L.key_text_from_items(_items(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (format_keys, read_pair_keys, read_tabular_keys, read_sequence_keys, apply_key, unknown_key_numbers, copy_answers_overwrite, copy_answers_fill, toggle_answers, clear_paper_key, keyed_counts, range_selection, missing_numbers, source_papers, library_cards, cascade_delete, catalog_in_library, upsert_records, low_text_documents, scanned_flags, question_lines, key_text_lines)}
+QUERIES = {f.__name__: f for f in (format_keys, read_pair_keys, read_tabular_keys, read_sequence_keys, apply_key, unknown_key_numbers, copy_answers_overwrite, copy_answers_fill, toggle_answers, clear_paper_key, keyed_counts, range_selection, missing_numbers, source_papers, library_cards, cascade_delete, catalog_in_library, upsert_records, low_text_documents, scanned_flags, question_lines, key_text_lines, read_key_files, edited_questions, paper_settings, change_feed)}
 
 _Q = with_tables("questions")
 _KEY = _Q + ", k AS (SELECT paper_id, n AS num, CAST((paper_id + n * 7) % 5 AS INT) AS idx FROM (SELECT DISTINCT paper_id FROM questions), (SELECT CAST(unnest(range(1, 61, 3)) AS INT) AS n))"
@@ -199,7 +230,8 @@ SQL = {
     "range_selection": _Q + " SELECT paper_id, count(*) AS chosen, count_if(answer IS NULL) AS no_key FROM questions WHERE num >= 11 GROUP BY paper_id",
     "missing_numbers": _Q + """, f AS (SELECT * FROM questions WHERE qid % 3 <> 0), s AS (SELECT paper_id, unnest(range(min(num), max(num) + 1)) AS num FROM f GROUP BY paper_id)
   SELECT paper_id, CAST(num AS INT) AS num FROM s EXCEPT SELECT paper_id, num FROM f""",
-    "source_papers": _Q + " SELECT DISTINCT a.paper_id, b.paper_id AS source FROM questions a JOIN (SELECT DISTINCT paper_id FROM questions WHERE answer IS NOT NULL) b ON a.paper_id <> b.paper_id AND abs(a.paper_id - b.paper_id) <= 10",
+    "source_papers": _Q + """, p AS (SELECT paper_id, count(CASE WHEN paper_id % 3 <> 0 THEN answer END) AS keyed FROM questions GROUP BY paper_id)
+  SELECT a.paper_id, any_value(a.keyed) AS keyed, count(b.paper_id) AS others FROM p a LEFT JOIN p b ON b.paper_id <> a.paper_id AND b.keyed > 0 GROUP BY a.paper_id""",
     "library_cards": with_tables("questions", "attempts") + """, q AS (SELECT paper_id, count(*) AS questions, count(answer) AS keyed FROM questions GROUP BY paper_id),
   a AS (SELECT attempt_id % 50 AS paper_id, count_if(status = 'submitted') AS submitted, count_if(status = 'in-progress') AS in_progress, count_if(status = 'scheduled') AS scheduled FROM attempts GROUP BY 1)
   SELECT paper_id, questions, keyed, coalesce(submitted, 0) AS submitted, coalesce(in_progress, 0) AS in_progress, coalesce(scheduled, 0) AS scheduled,
@@ -208,7 +240,14 @@ SQL = {
     "catalog_in_library": "SELECT c_custkey AS catalog_id, c_name, min(o_orderkey) AS paper FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
     "upsert_records": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS value, CAST(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN 2 ELSE 1 END AS INT) AS version FROM orders",
     "low_text_documents": "SELECT doc_id, CAST(length(text) AS INT) AS chars FROM documents WHERE length(text) < 40 * (doc_id % 10 + 1)",
-    "scanned_flags": "SELECT page_id, regexp_matches(url, '(?i)omnipage|abbyy|tesseract|finereader|scan|ocr') AS scanned FROM pages",
+    "scanned_flags": "SELECT page_id, page_id % 11 = 0 OR coalesce(regexp_matches(url, '(?i)omnipage|abbyy|tesseract|finereader|scan|ocr'), false) OR coalesce(regexp_matches(html, '(?i)omnipage|abbyy|tesseract|finereader|scan|ocr'), false) AS scanned FROM pages",
+    "read_key_files": _Q + " SELECT paper_id, num, CAST(answer AS INT) AS idx FROM questions WHERE answer IS NOT NULL",
+    "edited_questions": _Q + """, e AS (SELECT qid, array_to_string(paragraphs, chr(10)) AS p, len(paragraphs) AS n, options, answer, qid % 2 = 0 AS edited, CASE WHEN qid % 2 = 0 THEN options[1:qid % 4 + 1] ELSE options END AS o FROM questions)
+  SELECT qid, CASE WHEN edited THEN p || chr(10) || 'A | ' || options[1] || chr(10) || 'B | ' || options[2] || chr(10) || 'last' ELSE p END AS lines, CAST(CASE WHEN edited THEN n + 2 ELSE n END AS INT) AS blocks,
+  array_to_string(o, '|') AS options, CASE WHEN answer < len(o) THEN answer END AS answer, CASE WHEN NOT edited THEN 'old' WHEN len(o) < 2 THEN 'Fewer than two options.' ELSE '' END AS warnings FROM e""",
+    "paper_settings": _Q + """ SELECT paper_id, count(*) AS questions, CAST(CASE WHEN paper_id % 4 = 0 THEN 90 ELSE greatest(5, floor(count(*) * 0.8::DOUBLE + 0.5)) END AS BIGINT) AS minutes, 1.0::DOUBLE AS plus, 0.33::DOUBLE AS minus FROM questions GROUP BY paper_id""",
+    "change_feed": """SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS value FROM orders
+  WHERE NOT CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 7 = 0 WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 = 0 ELSE false END""",
     "question_lines": _Q + " SELECT qid, num || '. ' || text || chr(10) || '   (a) ' || options[1] || chr(10) || '   (b) ' || options[2] || chr(10) || '   (c) ' || options[3] || chr(10) || '   (d) ' || options[4] AS lines FROM questions",
     "key_text_lines": _ITEMS + """, l AS (SELECT doc_id, page, floor(baseline / 4 + 0.5) AS r, string_agg(str, ' ' ORDER BY x, item_no, str) AS line FROM i GROUP BY ALL),
   d AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY page, r) AS text FROM l GROUP BY doc_id) SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INT) AS chars FROM d""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import ENGLISH_WORDS, devanagari_share, english_score, squeeze
 from gradeloom.operators import extraction as X
 from gradeloom.operators import layout as L
+from gradeloom.operators.library import low_text
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
 
@@ -97,7 +98,7 @@ def page_boxes(spark, sf_dir):
 def low_text_papers(spark, sf_dir):
     """Papers with fewer than 40 characters for each page."""
     g = _items(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.length("str")).alias("chars"), F.count_distinct("page").alias("pages"))
-    return g.select("doc_id", "chars", "pages", (F.col("chars") < 40 * F.col("pages")).alias("rejected"))
+    return g.select("doc_id", "chars", "pages", low_text(F.col("chars"), F.col("pages")).alias("rejected"))
 
 
 def upright_items(spark, sf_dir):

@@ -122,7 +122,7 @@ def apply_printed_key(questions: DataFrame, key_texts: DataFrame) -> DataFrame:
 
 
 def read_key_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of .txt and .csv key files, each read whole; in a .csv, quotes and empty fields fall away."""
-    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+    """(path, text) of the .txt and .csv key files below a folder, each read whole; quotes fall away."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     plain = F.regexp_replace(F.regexp_replace("text", "\\r\\n?", "\n"), '"', "")
-    return raw.where(F.lower("file").rlike(r"\.(?:txt|csv)\z")).select("file", plain.alias("text"))
+    return raw.where(F.lower("path").rlike(r"\.(?:txt|csv)\z")).select("path", plain.alias("text"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.numbers import half_up
+from gradeloom.functions.text import trimmed
+from gradeloom.sources.exam_tables import STEM
 
 QUESTION = "id STRING, num INT, stem ARRAY<STRUCT<type: STRING, text: STRING, rows: ARRAY<ARRAY<STRING>>>>, options ARRAY<STRING>, answer INT, warnings ARRAY<STRING>"
 PAPER = f"id STRING, title STRING, note STRING, pageCount INT, keySource STRING, questions ARRAY<STRUCT<{QUESTION.replace('id STRING', 'id: STRING').replace('num INT', 'num: INT').replace('stem ARRAY', 'stem: ARRAY').replace('options ARRAY', 'options: ARRAY').replace('answer INT', 'answer: INT').replace('warnings ARRAY', 'warnings: ARRAY')}>>"
@@ -40,11 +44,102 @@ def question_text(num: Column, stem: Column, options: Column) -> Column:
     return F.concat_ws("\n", F.concat_ws(". ", num.cast("string"), stem), F.array_join(lines, "\n"))
 
 
+def keyed_counts(questions: DataFrame) -> DataFrame:
+    """For each paper: questions, keyed ones, those without a key, and those with warnings (array<string>)."""
+    return questions.groupBy("paper_id").agg(
+        F.count(F.lit(1)).alias("questions"), F.count("answer").alias("keyed"), F.count_if(F.col("answer").isNull()).alias("no_key"), F.count_if(F.size("warnings") > 0).alias("flagged"),
+    )
+
+
+def range_selection(questions: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """For each paper: questions numbered from first to last (by default its own), and how many of them have no key."""
+    kept = questions.where(F.lit(True) if first is None else F.col("num") >= first).where(F.lit(True) if last is None else F.col("num") <= last)
+    return kept.groupBy("paper_id").agg(F.count(F.lit(1)).alias("chosen"), F.count_if(F.col("answer").isNull()).alias("no_key"))
+
+
+def low_text(chars: Column, pages: Column, least: int = 40) -> Column:
+    """Whether a paper has fewer characters than `least` for each of its pages: nothing to read."""
+    return chars < least * pages
+
+
+# Fixed value: names of scanning and recognition programs.
+SCANNERS = "(?i)omnipage|abbyy|tesseract|finereader|scan|ocr"
+
+
+def scanned(low_quality: Column, *programs: Column) -> Column:
+    """Whether a paper is a scan: options that cannot be read, or a producer or creator that scans. Null names none."""
+    named = [F.coalesce(p.rlike(SCANNERS), F.lit(False)) for p in programs]
+    return reduce(Column.__or__, named, F.coalesce(low_quality, F.lit(False)))
+
+
+def source_papers(questions: DataFrame) -> DataFrame:
+    """For each paper: its keyed questions, and how many other papers have any and so can give it answers.
+
+    The other papers are the same for all but themselves, so they are counted, not listed for each paper.
+    """
+    own = questions.groupBy("paper_id").agg(F.count("answer").alias("keyed"))
+    able = own.where("keyed > 0").count()
+    return own.select("paper_id", "keyed", (F.lit(able) - (F.col("keyed") > 0).cast("int")).cast("long").alias("others"))
+
+
+def in_library(catalog: DataFrame, papers: DataFrame, key: str = "catalog_id") -> DataFrame:
+    """Catalog rows with the user's first paper of the same catalog id, null where there is none."""
+    return catalog.join(papers.groupBy(key).agg(F.min("paper_id").alias("paper")), key, "left")
+
+
+def text_of_stem(stem: Column) -> Column:
+    """A stem as lines to edit: a paragraph a line, a table row as cells between ' | '."""
+    rows = lambda b: F.when(b["type"] == "p", F.array(F.coalesce(b["text"], F.lit("")))).otherwise(F.transform(b["rows"], lambda r: F.array_join(r, " | ")))
+    return F.array_join(F.flatten(F.transform(stem, rows)), "\n")
+
+
+def stem_of_text(text: Column) -> Column:
+    """The stem that edited lines mean: rows with ' | ' one after another are a table, other lines paragraphs; blank lines go."""
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), trimmed), lambda x: x != "")
+    cells = lambda x: F.transform(F.split(x, r"\|"), trimmed)
+
+    def add(blocks: Column, line: Column) -> Column:
+        row, last = F.contains(line, F.lit(" | ")), F.try_element_at(blocks, F.lit(-1))
+        more = F.struct(F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(last["rows"], F.array(cells(line))).alias("rows"))
+        new = F.struct(F.when(row, "table").otherwise("p").alias("type"), F.when(~row, line).alias("text"), F.when(row, F.array(cells(line))).alias("rows"))
+        joined = row & F.coalesce(last["type"] == "table", F.lit(False))
+        return F.when(joined, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(more))).otherwise(F.concat(blocks, F.array(new)))
+
+    return F.aggregate(lines, F.array().cast(STEM), lambda a, x: add(a, x).cast(STEM))
+
+
+def edit_questions(questions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Questions with the edited stem and options of edits (qid, stem_text, options_text): one row a question.
+
+    Options are the lines that are not blank, five at most; an answer beyond them is lost; fewer than two
+    options are warned of, and other warnings of the question go.
+    """
+    rows = questions.join(edits, "qid", "left")
+    options = F.slice(F.filter(F.transform(F.split("options_text", "\r?\n"), trimmed), lambda o: o != ""), 1, 5)
+    edited = F.col("options_text").isNotNull()
+    rows = rows.withColumn("options", F.when(edited, options).otherwise(F.col("options")))
+    few = F.when(F.size("options") < 2, F.array(F.lit("Fewer than two options."))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({
+        "stem": F.when(F.col("stem_text").isNotNull(), stem_of_text(F.col("stem_text"))).otherwise(F.col("stem")), "warnings": F.when(edited, few).otherwise(F.col("warnings")),
+        "answer": F.when(F.col("answer") < F.size("options"), F.col("answer")),
+    }).drop("stem_text", "options_text")
+
+
 def default_minutes(questions: Column) -> Column:
     """Eight tenths of a minute a question, five at least."""
     return F.greatest(F.lit(5).cast("long"), half_up(questions * 0.8))
 
 
+#: Marks for a right answer and taken off for a wrong one where a paper says nothing else.
+PLUS, MINUS = 1.0, 0.33
+
+
+def with_settings(papers: DataFrame) -> DataFrame:
+    """Papers (paper_id, questions, and perhaps minutes, plus, minus) with defaults for settings that are null or absent."""
+    default = {"minutes": default_minutes(F.col("questions")), "plus": F.lit(PLUS), "minus": F.lit(MINUS)}
+    return papers.withColumns({name: F.coalesce(F.col(name), value) if name in papers.columns else value for name, value in default.items()})
+
+
 def cards(questions: DataFrame, attempts: DataFrame, paper: str = "paper_id") -> DataFrame:
     """For each paper: questions, keyed ones, default minutes, and attempts by status."""
     q = questions.groupBy(paper).agg(F.count(F.lit(1)).alias("questions"), F.count("answer").alias("keyed"))
