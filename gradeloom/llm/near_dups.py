@@ -165,14 +165,14 @@ def _held(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return np.where(a[0][at] == b[0], np.minimum(b[1], a[1][at]), 0)
 
 
-def against_head(head: tuple, own: tuple, light: int, least: float) -> tuple[bool, bool, np.ndarray]:
-    """(linked, open, added): what the comparison of a set with the head of its group tells about the others.
+def against_head(head: tuple, own: tuple, light: int, least: float) -> tuple[bool, bool, float, np.ndarray]:
+    """(linked, open, limit, added): what the comparison of a set with the head of its group tells about the others.
 
     Two sets of a group share at most the lesser of what each shares with the head, and what both have
     beyond the head. `light` is the least weight in the group, so a set needs some amount of shared weight
-    to be similar to any other. If it has that much in common with the head, it stays open. Else its partners must
-    have some of its elements beyond the head, too: of those, as many in the order of hashes are returned
-    that a partner's cannot all be among the rest.
+    to be similar to any other. If it has that much in common with the head, it stays open, for partners of at
+    most the weight `limit`. All other partners must have some of its elements beyond the head, too: of
+    those, as many in the order of hashes are returned that a partner's cannot all be among the rest.
     """
     held = _held(head, own)
     shared, weight = held.sum(), own[1].sum()
@@ -181,14 +181,15 @@ def against_head(head: tuple, own: tuple, light: int, least: float) -> tuple[boo
     beyond = more > 0
     left = more.sum() - np.concatenate([[0], np.cumsum(more[beyond])])
     enough = left < need
-    return bool(shared / (head[1].sum() + weight - shared) >= least), bool(need <= 0), own[0][beyond][: int(enough.argmax()) if enough.any() else len(left) - 1]
+    limit = shared * (1 + least) / least - weight + 1e-6
+    return bool(shared / (head[1].sum() + weight - shared) >= least), bool(need <= 0), float(limit), own[0][beyond][: int(enough.argmax()) if enough.any() else len(left) - 1]
 
 
 def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(u, v, u_pop, pop, linked, open, weight, keys) of pairs (u, v, light, prune, u_pop, pop), by exact comparison of all shingles.
+    """(u, v, u_pop, pop, linked, open, limit, weight, keys) of pairs (u, v, light, prune, u_pop, pop), by exact comparison of all shingles.
 
     weight is that of v. Where prune is set, keys name the groups in which v may meet partners that it
-    shares more with than the head u (see against_head); else they are empty and open is true.
+    shares more with than the head u (see against_head); else they are empty, open is true and limit infinite.
     """
 
     def weighted(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -197,22 +198,23 @@ def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, opened, weights, keys = [], [], [], []
+            linked, opened, limits, weights, keys = [], [], [], [], []
             for i in range(batch.num_rows):
                 u, light, prune, *sets = (batch.column(k)[i].as_py() for k in (0, 4, 5, 6, 7, 8, 9))
                 head, own = weighted(*sets[:2]), weighted(*sets[2:])
-                link, stays, added = against_head(head, own, light, least)
+                link, stays, limit, added = against_head(head, own, light, least)
                 linked.append(link)
                 opened.append(stays or not prune)
+                limits.append(limit if prune else np.inf)
                 weights.append(int(own[1].sum()))
                 keys.append(_mix(added ^ np.uint64(int.from_bytes(u[:8], "little"))).view(np.int64) if prune else ())
-            columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(opened, pa.bool_()), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "u_pop", "pop", "linked", "open", "weight", "keys"])
+            columns = [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(opened, pa.bool_()), pa.array(limits, pa.float64()), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "u_pop", "pop", "linked", "open", "limit", "weight", "keys"])
 
     one = feature.withColumnsRenamed({"node": "u", "hashes": "uh", "counts": "uc"})
     two = feature.withColumnsRenamed({"node": "v", "hashes": "vh", "counts": "vc"})
     rows = pairs.join(one, "u").join(two, "v").select("u", "v", "u_pop", "pop", "light", "prune", "uh", "uc", "vh", "vc")
-    return rows.mapInArrow(work, "u binary, v binary, u_pop long, pop long, linked boolean, open boolean, weight long, keys array<long>")
+    return rows.mapInArrow(work, "u binary, v binary, u_pop long, pop long, linked boolean, open boolean, limit double, weight long, keys array<long>")
 
 
 def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
@@ -226,17 +228,16 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
     after PRUNED rounds is compared with many heads, sixteen times as many in each further round.
     """
 
-    def close(a: str, b: str):
-        """No pair whose weights differ more can be similar enough."""
-        return F.least(a, b) >= least * F.greatest(a, b)
+    #: No pair whose weights differ more can be similar enough; limits come from heads that both were compared with.
+    close = (F.least("weight", "head_weight") >= least * F.greatest("weight", "head_weight")) & (F.col("weight") <= F.col("head_limit")) & (F.col("head_weight") <= F.col("limit"))
 
     def led(c: str) -> list:
         return [F.col(f"h.{x}").alias("head" if x == "node" else f"head_{x}") for x in c.split()]
 
     company = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     popular = groups.join(company, "key").groupBy("node").agg(F.sum("n").alias("pop"))
-    groups = groups.join(popular, "node").withColumn("class", F.col("node"))
-    member = F.struct("node", "class", "weight", "pop")
+    groups = groups.join(popular, "node").withColumn("class", F.col("node")).withColumn("limit", F.lit(float("inf")))
+    member = F.struct("node", "class", "weight", "pop", "limit")
     told, turn = [], 0
     while True:
         size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
@@ -250,30 +251,31 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
         else:
             order = Window.partitionBy("key").orderBy(F.desc("pop"), F.desc("node"))
             head = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 64 * 16 ** (turn - PRUNED)).select("key", member.alias("h"))
-        head = saved(head.select("key", *led("node class weight pop")), "near_heads")
+        head = saved(head.select("key", *led("node class weight pop limit")), "near_heads")
         rows = large.join(head, "key").where(F.col("node") != F.col("head"))
         if not split:
-            rows = rows.where((F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
+            rows = rows.where((F.col("class") != F.col("head_class")) & close)
         pairs = rows.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", (F.lit(split) & (F.col("n") > SMALL)).alias("prune"), F.col("head_pop").alias("u_pop"), "pop")
-        two = groups.where(few).select("key", member.alias("h")).select("key", *led("node class weight pop"))
-        both = groups.where(few).join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & (F.col("class") != F.col("head_class")) & close("weight", "head_weight"))
+        two = groups.where(few).select("key", member.alias("h")).select("key", *led("node class weight pop limit"))
+        both = groups.where(few).join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & (F.col("class") != F.col("head_class")) & close)
         pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune"), F.col("head_pop").alias("u_pop"), "pop"))
         pairs = pairs.groupBy("u", "v").agg(F.min("light").alias("light"), F.max("prune").alias("prune"), F.max("u_pop").alias("u_pop"), F.max("pop").alias("pop"))
         now = saved(compared(pairs, feature, least), "near_told")
         told.append(now)
         if split:
             rest = large.join(head.select("key", "head"), "key").where(F.col("node") != F.col("head"))
-            still = now.where("open").select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("open"))
+            still = now.where("open").select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("open"), F.col("limit").alias("new_limit"))
             rest = rest.join(still, ["head", "node"], "left").where((F.col("n") <= SMALL) | F.col("open"))
+            rest = rest.withColumn("limit", F.when(F.col("n") <= SMALL, F.col("limit")).otherwise(F.least("limit", "new_limit")))
         else:
             rest = large.join(head.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
-        # nodes with one leader hang together; which leader is theirs need not be settled before the end
         linked = reduce(DataFrame.unionByName, told).where("linked")
-        leader = linked.groupBy("v").agg(F.max_by("u", F.struct("u_pop", "u")).alias("u"))
-        above = leader.select(F.col("v").alias("u"), F.col("u").alias("top"))
-        leader = saved(leader.join(above, "u", "left").select(F.col("v").alias("node"), F.coalesce("top", "u").alias("leader")), "near_leaders")
-        apart = now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys").join(leader, "node", "left").select(F.explode("keys").alias("key"), "node", "weight", "pop", "leader")
-        rest = rest.join(leader, "node", "left").select("key", "node", "weight", "pop", "leader").unionByName(apart)
+        if turn:
+            leader = connected_components(linked).withColumnRenamed("component", "leader")
+        else:  # nodes with one leader hang together; that is enough for the second round
+            leader = saved(linked.groupBy("v").agg(F.max_by("u", F.struct("u_pop", "u")).alias("leader")).withColumnRenamed("v", "node"), "near_leaders")
+        apart = now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys").join(leader, "node", "left").select(F.explode("keys").alias("key"), "node", "weight", "pop", F.lit(float("inf")).alias("limit"), "leader")
+        rest = rest.join(leader, "node", "left").select("key", "node", "weight", "pop", "limit", "leader").unionByName(apart)
         groups = saved(rest.withColumn("class", F.coalesce("leader", "node")).drop("leader"), "near_rest")
         turn += 1
     if not told:
