@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import ENGLISH_WORDS, devanagari_share, english_score, squeeze
 from gradeloom.operators import extraction as X
 from gradeloom.operators import layout as L
+from gradeloom.operators.keys import apply_printed_key
 from gradeloom.operators.library import low_text
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
@@ -55,6 +56,28 @@ def _items(spark, sf_dir) -> DataFrame:
     )
 
 
+def printed_keys(spark, sf_dir):
+    """Papers that print a key of other answers on their last page: it overrules the answers beside the questions."""
+    q = T.questions(spark, sf_dir).where("answer IS NOT NULL")
+    pair = F.concat((F.col("pos") + 1).cast("string"), F.lit("-"), F.substring(F.lit("abcd"), ((F.col("answer") + 1) % 4 + 1).cast("int"), F.lit(1)))
+    lines = q.groupBy(F.col("paper_id").alias("doc_id"), (F.floor(F.col("pos") / 10) + 1).cast("int").alias("row")).agg(F.array_sort(F.collect_list(F.struct("pos", pair.alias("s")))).alias("e"))
+    lines = lines.select("doc_id", "row", F.array_join(F.col("e.s"), ", ").alias("str")).unionByName(q.select(F.col("paper_id").alias("doc_id"), F.lit(0).alias("row"), F.lit("Answer Key").alias("str")).distinct())
+    key = lines.select(
+        "doc_id", F.lit(50 // ON_PAGE + 2).alias("page"), F.lit(WIDTH).alias("page_width"), F.lit(HEIGHT).alias("page_height"), "row", F.col("row").alias("item_no"), "str",
+        F.lit(60.0).alias("x"), (F.length("str") * 5.0).alias("w"), (F.col("row") * 20.0 + 120).alias("baseline"), F.lit(11.0).alias("size"),
+    ).drop("row")
+    asked, keys = X.extract(printed(spark, sf_dir).unionByName(key))
+    made = apply_printed_key(asked, keys.withColumnRenamed("key_text", "text"))
+    return made.select(F.col("doc_id").alias("paper_id"), "num", "answer")
+
+
+def question_regions(spark, sf_dir):
+    """The box of every question on its printed page."""
+    asked, _ = X.extract(printed(spark, sf_dir), boxes=True)
+    rows = asked.select(F.col("doc_id").alias("paper_id"), "num", F.explode("regions").alias("r"))
+    return rows.select("paper_id", "num", "r.page", *(F.round(F.col(f"r.{c}"), 6).alias(c) for c in ("x0", "x1", "y0", "y1")))
+
+
 def english_scores(spark, sf_dir):
     """English score and Devanagari share of every document."""
     d = T.read(spark, sf_dir, "documents")
@@ -111,7 +134,7 @@ def upright_items(spark, sf_dir):
     return g.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("w"), 6).alias("w"), F.round(F.sum("baseline"), 6).alias("baseline"), F.round(F.sum("size"), 6).alias("size"), F.round(F.sum("x"), 6).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_questions, extracted_stats, english_scores, squeezed_titles, kept_items, order_statistics, line_gaps, page_boxes, low_text_papers, upright_items)}
+QUERIES = {f.__name__: f for f in (extracted_questions, extracted_stats, printed_keys, question_regions, english_scores, squeezed_titles, kept_items, order_statistics, line_gaps, page_boxes, low_text_papers, upright_items)}
 
 _I = """WITH i AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, CAST(l_partkey % 56 * 10 AS DOUBLE) AS x, l_quantity * 2 AS w, CAST(40 + 18 * (l_orderkey % 40) AS DOUBLE) AS baseline,
   l_orderkey * 100000 + l_partkey AS item_no, p_name AS str FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem) JOIN part ON p_partkey = l_partkey)"""
@@ -120,6 +143,13 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(set(ENGLISH_WORDS)))
 SQL = {
     "extracted_questions": with_tables("questions") + " SELECT paper_id, CAST(pos + 1 AS INT) AS num, text, array_to_string(options, '|') AS options, CAST(answer AS INT) AS answer FROM questions",
     "extracted_stats": with_tables("questions") + " SELECT paper_id, count(DISTINCT pos // 6) AS pages, count(*) AS found, 0 AS missing, 0::BIGINT AS with_warnings, false AS low_quality FROM questions GROUP BY paper_id",
+    "printed_keys": with_tables("questions") + " SELECT paper_id, CAST(pos + 1 AS INT) AS num, CAST((answer + 1) % 4 AS INT) AS answer FROM questions",
+    "question_regions": with_tables("questions") + """, q AS (SELECT paper_id, pos, 100 + pos / 50.0::DOUBLE * 40 + pos % 6 * 98 AS t, pos + 1 || '. ' || text AS s, options, answer FROM questions),
+  l AS (SELECT paper_id, pos, 60 + 5.0::DOUBLE * length(s) AS x2, true AS shown FROM q UNION ALL SELECT paper_id, pos, 82 + 5.0::DOUBLE * (4 + length(unnest(options))), true FROM q
+    UNION ALL SELECT paper_id, pos, 77 + 5.0::DOUBLE * length('Answer: (a)'), false FROM q WHERE answer IS NOT NULL),
+  g AS (SELECT paper_id, pos // 6 AS page, max(x2) AS r FROM l GROUP BY ALL), m AS (SELECT paper_id, list_sort(list(r))[len(list(r)) // 2 + 1] AS col_right FROM g GROUP BY paper_id), b AS (SELECT paper_id, pos, max(x2) AS x2 FROM l WHERE shown GROUP BY ALL)
+  SELECT paper_id, CAST(pos + 1 AS INT) AS num, CAST(pos // 6 + 1 AS INT) AS page, 56.0::DOUBLE AS x0, round(least(612, greatest(col_right, b.x2) + 4), 6) AS x1, round(t - 15, 6) AS y0, round(t + 64 + 0.3::DOUBLE * 11 + 4, 6) AS y1
+  FROM q JOIN b USING (paper_id, pos) JOIN m USING (paper_id)""",
     "english_scores": f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w, len(regexp_extract_all(text, '[A-Za-zऀ-ॿ]')) AS letters, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS dev, len(regexp_extract_all(text, '\\S')) AS seen FROM documents)
   SELECT doc_id, round(CASE WHEN letters = 0 THEN NULL WHEN dev::DOUBLE / letters > 0.3 THEN 0.0 WHEN len(w) > 0 THEN len(list_filter(w, lambda x: lower(x) IN ({_STOP})))::DOUBLE / len(w) END, 9) AS score, CASE WHEN seen > 0 THEN dev::DOUBLE / seen ELSE 0.0 END AS share FROM d""",
     "squeezed_titles": "SELECT p_partkey, replace(p_name, ' ', '') AS closed, '(a) ' || p_name AS label FROM part",

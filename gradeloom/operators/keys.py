@@ -115,10 +115,9 @@ def toggle_answers(questions: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_printed_key(questions: DataFrame, key_texts: DataFrame) -> DataFrame:
-    """Questions of papers (doc_id, num, qplace, answer) with the key that their paper prints (doc_id, text) over inline answers."""
+    """Questions of papers (doc_id, num, pos, answer) with the key that their paper prints (doc_id, text) over inline answers."""
     key = key_rows(key_texts, paper="doc_id").withColumnRenamed("doc_id", "paper_id")
-    rows = questions.withColumnsRenamed({"doc_id": "paper_id", "qplace": "pos"})
-    return apply_key(rows, key).withColumnsRenamed({"paper_id": "doc_id", "pos": "qplace"})
+    return apply_key(questions.withColumnRenamed("doc_id", "paper_id"), key).withColumnRenamed("paper_id", "doc_id")
 
 
 def read_key_files(spark: SparkSession, path: str) -> DataFrame:
