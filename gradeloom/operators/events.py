@@ -89,8 +89,11 @@ def submit(attempts: DataFrame, submits: DataFrame) -> DataFrame:
 
 
 def in_time(log: DataFrame, ends: DataFrame) -> DataFrame:
-    """Events of an attempt that are not after its end (attempt_id, ends_at); later ones have no effect."""
-    return log.join(ends, "attempt_id").where("event_time <= ends_at").drop("ends_at")
+    """Events of an attempt that are neither after its end (attempt_id, ends_at) nor after its first submit; later ones have no effect."""
+    at = F.struct(*ORDER)
+    submits = log.where("kind = 'submit'").groupBy("attempt_id").agg(F.min(at).alias("_submit"))
+    rows = log.join(ends, "attempt_id").join(submits, "attempt_id", "left")
+    return rows.where((F.col("event_time") <= F.col("ends_at")) & F.coalesce(at <= F.col("_submit"), F.lit(True))).drop("ends_at", "_submit")
 
 
 def activity(log: DataFrame, length: str = "5 minutes") -> DataFrame:

@@ -12,10 +12,12 @@ from gradeloom.functions.text import numbered_paragraph, question_type
 def score_rows(items: DataFrame, questions: DataFrame) -> DataFrame:
     """Items of questions that still exist, with their status, rounded time and question type.
 
-    questions needs qid, answer, text and stem; the type is found once for each question, before the join.
+    questions needs qid, answer and text; with stem, numbered paragraphs count for the type, too. The type is
+    found once for each question, before the join.
     unscored without a key, else skipped without a response, else correct or wrong. idx keeps its gaps.
     """
-    keyed = questions.select("qid", "answer", question_type(F.col("text"), numbered_paragraph(F.col("stem"))).alias("type"))
+    numbered = numbered_paragraph(F.col("stem")) if "stem" in questions.columns else None
+    keyed = questions.select("qid", "answer", question_type(F.col("text"), numbered).alias("type"))
     status = (
         F.when(F.col("answer").isNull(), "unscored").when(F.col("resp").isNull(), "skipped")
         .when(F.col("resp") == F.col("answer"), "correct").otherwise("wrong")

@@ -39,3 +39,11 @@ def test_time_stops_while_hidden(spark):
     rows = [(1, 0, "start", 1), (1, 1, "tick", 1), (1, 4, "tick", 1), (1, 20, "tick", 2), (1, 21, "hide", 2), (1, 90, "tick", 2), (1, 91, "tick", 2)]
     df = spark.createDataFrame(rows, "attempt_id long, seq long, kind string, qid int").withColumn("event_time", F.timestamp_seconds("seq"))
     assert {r.qid: r.seconds for r in E.time_spent(df).collect()} == {1: 3.0, 2: 6.0}
+
+
+def test_visits_and_events_after_the_end(spark):
+    rows = [(1, 0, "show", 4), (1, 1, "show", 5), (1, 2, "pick", 9), (1, 3, "submit", None), (1, 4, "show", 6), (2, 0, "pick", 1), (3, 1, "show", 1), (3, 50, "show", 2)]
+    df = spark.createDataFrame(rows, "attempt_id long, seq long, kind string, qid int").withColumn("event_time", F.timestamp_seconds("seq"))
+    assert {r.attempt_id: (r.visited, r.current) for r in E.visited(df).collect()} == {1: (3, 6), 3: (2, 2)}
+    ends = df.select("attempt_id", F.timestamp_seconds(F.lit(20)).alias("ends_at")).distinct()
+    assert {r.attempt_id: (r.visited, r.current) for r in E.visited(E.in_time(df, ends)).collect()} == {1: (2, 5), 3: (1, 1)}

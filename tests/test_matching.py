@@ -25,8 +25,9 @@ def test_versions_of_a_paper(spark):
     t, s = spark.createDataFrame(TARGET, SCHEMA), spark.createDataFrame(SOURCE, SCHEMA)
     decided = M.transfer(t, s).cache()
     assert {r.t: r.answer for r in decided.collect()} == {"b1": 2, "b2": 1, "b3": 1}
-    r = M.summary(decided, t).first()
-    assert (r.matched, r.copied, r.unsure, r.unmatched) == (3, 3, [], [4])
+    asked = spark.createDataFrame([("B", "A"), ("B", "A"), ("B", "nobody")], "t_paper string, s_paper string")
+    got = {r.s_paper: (r.matched, r.copied, r.unsure, r.unmatched) for r in M.summary(decided, t, asked).collect()}
+    assert got == {"A": (3, 3, [], [4]), "nobody": (0, 0, [], [1, 2, 3, 4])}
     assert M.best_source(decided, t).first().s_paper == "A"
 
 

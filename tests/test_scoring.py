@@ -56,3 +56,11 @@ def test_rounding_and_texts(spark):
     ).first()
     assert (r.a, r.b, r.c, r.d, r.g, r.h, r.i) == (-2, 1.34, "1:02:05", "1 h 30 min", "1 and 2", "My paper", None)
     assert r.e > 0.3 and r.f < 0.06
+
+
+def test_numbered_paragraphs_are_statements(spark):
+    stem = "array<struct<type:string,text:string,rows:array<array<string>>>>"
+    rows = [(1, 0, "Consider:", [("p", "Consider:", None), ("p", "1. It rained.", None)]), (2, 0, "Who?", [("p", "Who?", None), ("table", None, [["1. x"]])]), (3, 0, "Match List-I", [("p", "1. Match List-I", None)])]
+    q = spark.createDataFrame(rows, f"qid int, answer int, text string, stem {stem}")
+    items = spark.createDataFrame([(9, i, i, 0, 1.0, 0) for i in (1, 2, 3)], "attempt_id int, idx int, qid int, resp int, time_s double, changes int")
+    assert {r.qid: r.type for r in S.score_rows(items, q).collect()} == {1: "Statements", 2: "Direct question", 3: "Match the lists"}
