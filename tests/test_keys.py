@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+
 from gradeloom.operators import keys as K
 from gradeloom.operators import library as L
 
@@ -46,3 +48,21 @@ def test_papers_round_trip(spark, tmp_path):
     assert [(r.paper_id, r.pos, r.num, r.answer, r.options) for r in rows] == [("p1", 0, 1, 1, ["a", "b"])]
     L.write_papers(papers.withColumnRenamed("id", "paper_id"), f"file://{tmp_path}/out")
     assert spark.read.json(f"file://{tmp_path}/out").count() == 2
+
+
+def test_repeated_key_and_copy_rows_keep_questions_single(spark):
+    q = spark.createDataFrame([("p", 1, 0, "q1", 3), ("p", 2, 1, "q2", None), ("p", 2, 2, "q3", None)], "paper_id string, num int, pos int, qid string, answer int")
+    key = spark.createDataFrame([("p", 1, 2), ("p", 1, 1), ("p", 2, 0), ("p", 2, 0)], "paper_id string, num int, idx int")
+    assert {r.qid: r.answer for r in K.apply_key(q, key).collect()} == {"q1": 1, "q2": None, "q3": 0} and K.apply_key(q, key).count() == 3
+    copied = spark.createDataFrame([("q1", 2), ("q1", 0), ("q2", 1)], "qid string, idx int")
+    assert sorted((r.qid, r.answer) for r in K.copy_answers(q, copied).collect() if r.qid != "q3") == [("q1", 0), ("q2", 1)]
+    edits = spark.createDataFrame([("q1", 2, 3), ("q1", 1, 2), ("q2", 1, 1), ("q2", 2, 1), ("q3", 1, None)], "qid string, seq int, option int")
+    assert {r.qid: r.answer for r in K.toggle_answers(q, edits).collect()} == {"q1": 3, "q2": None, "q3": None}
+
+
+def test_stems_to_edit_and_back(spark):
+    text = "First.\n A | b \nC | d\n\n \nLast | not a table row?"
+    df = spark.createDataFrame([(text,)], "t string").select(L.stem_of_text(F.col("t")).alias("s")).withColumn("back", L.text_of_stem(F.col("s")))
+    r = df.first()
+    assert [(b.type, b.text, b.rows) for b in r.s] == [("p", "First.", None), ("table", None, [["A", "b"], ["C", "d"], ["Last", "not a table row?"]])]
+    assert r.back == "First.\nA | b\nC | d\nLast | not a table row?"
