@@ -125,7 +125,7 @@ def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     else:
         rank = F.row_number().over(Window.partitionBy("h").orderBy("c"))
         later = texts.join(crowded.select("h"), "h", "left_semi").withColumn("rank", rank).where("rank > 1").select("h", "c", "rank")
-        later = docs.withColumn("c", canonical(F.col("text"))).withColumn("h", wide_hash(F.col("c"))).join(F.broadcast(later), ["h", "c"]).select("doc_id", "h", "rank").distinct()
+        later = docs.withColumn("c", canonical(F.col("text"))).withColumn("h", wide_hash(F.col("c"))).join(later, ["h", "c"]).select("doc_id", "h", "rank").distinct()
         rows = rows.join(later, ["doc_id", "h"], "left")
     suffix = F.lit("") if later is None else F.coalesce(F.concat(F.lit("-"), "rank"), F.lit(""))
     return rows.select(

@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [pooled(t, sent.value).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["id", "label", "x"])
 
-    rows_ = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(id_col, text_col, "label")
+    rows_ = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
+    rows_ = rows_.groupBy(id_col, "label").agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col)).select(id_col, text_col, "label")  # one text of a repeated id
     kind = rows_.schema[id_col].dataType.simpleString()
     got = sorted(((r["id"], r["label"], bytes(r["x"])) for r in rows_.mapInArrow(work, f"id {kind}, label double, x binary").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     x = np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(len(got), 3 * SIZE + 3).astype(float)

@@ -107,7 +107,9 @@ def candidates(index: DataFrame, queries: Mapping[str, Query]) -> DataFrame:
     texts share makes no large task. Each list of rules is at most as long as the rule list.
     """
     terms = [(rule, c, a, t, len(alt)) for rule, clauses in queries.items() for c, clause in enumerate(clauses) for a, alt in enumerate(clause) for t in sorted(alt)]
-    terms = index.sparkSession.createDataFrame(terms, "rule string, clause int, alt int, trigram string, need int")
+    names = ("rule", "clause", "alt", "trigram", "need")
+    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, term, strict=True))) for term in terms))
+    terms = index.sparkSession.range(1).select(F.inline(rows))
     need = F.create_map(*(x for rule, clauses in queries.items() for x in (F.lit(rule), F.lit(len(clauses)))))
     met = index.join(F.broadcast(terms), "trigram").groupBy("id", "rule", "clause", "alt", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
     met = met.groupBy("id", "rule").agg(F.count_distinct("clause").alias("n")).where(F.col("n") == need[F.col("rule")])
@@ -119,15 +121,16 @@ def scan(docs: DataFrame, rules: Mapping[str, str], id_col: str = "doc_id", text
 
     A rule with mandatory trigrams is only matched against its candidates from the index; a rule without
     any is matched against every text. Null text counts as empty and null ids as one id; candidates of a
-    repeated id are candidates for each of its rows; an empty table gives no rows.
+    repeated id are candidates for each of its rows; columns named like a rule are replaced, others stay; an
+    empty table gives no rows.
     """
     queries = {rule: q for rule, pattern in rules.items() if (q := trigram_query(pattern))}
     trigrams = sorted({t for q in queries.values() for clause in q for alt in clause for t in alt})
     index = trigram_index(docs, trigrams, id_col, text_col)
-    found = candidates(index, queries).withColumnRenamed("id", "_id")
-    out = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left").drop("_id").withColumnRenamed("rules", "_rules")
-    gates = {rule: F.coalesce(F.array_contains("_rules", rule), F.lit(False)) for rule in queries}
-    return with_matches(out, text_col, rules, gates).drop("_rules")
+    found = candidates(index, queries).select(F.col("id").alias("_scan_id"), F.col("rules").alias("_scan_rules"))
+    out = docs.drop(*rules).join(found, docs[id_col].eqNullSafe(found["_scan_id"]), "left").drop("_scan_id")
+    gates = {rule: F.coalesce(F.array_contains("_scan_rules", rule), F.lit(False)) for rule in queries}
+    return with_matches(out, text_col, rules, gates).drop("_scan_rules")
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:

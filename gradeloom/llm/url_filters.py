@@ -24,17 +24,17 @@ TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 
 def _after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
-    return F.when(at > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url_"))).otherwise("")
+    return F.when(at > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url"))).otherwise("")
 
 
 def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
     """Add url_host and url_path: both empty for a null url or one without '://'."""
-    df = df.withColumn("url_", F.coalesce(F.col(url), F.lit("")))
-    rest = _after_scheme(F.col("url_"))
+    df = df.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
+    rest = _after_scheme(F.col("_url"))
     return df.withColumns({
         "url_host": ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)),
         "url_path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1),
-    }).drop("url_")
+    }).drop("_url")
 
 
 def canonical_key(url: Column) -> Column:
@@ -64,7 +64,7 @@ def alias_links(pages: DataFrame, html: str = "html") -> DataFrame:
     canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     tag = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     redirect = F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    links = pages.where(F.col("key").isNotNull()).select("key", "url_host", F.explode(F.filter(F.array(canonical, redirect), lambda x: F.length(x) > 0)).alias("to"))
+    links = pages.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), "url_host", F.explode(F.filter(F.array(canonical, redirect), lambda x: F.length(x) > 0)).alias("to"))
     to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), "url_host", "to")).otherwise(F.col("to"))
     return links.select(F.col("key").alias("u"), canonical_key(to).alias("v"))
 
@@ -76,21 +76,23 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     its aliases: pages with the same canonical address, and those joined to them by canonical links and
     redirects (connected components). There an explicit allow precedes a block; without either the page
     is allowed. rules is a list in the driver and small by contract; pages meet only summed decisions.
-    Null or odd urls have empty host and path, no rule and no alias. Repeated rows keep their rows.
+    Null or odd urls have empty host and path, no rule and no alias. Repeated rows keep their rows; columns
+    of the added names are replaced, others but html stay; long urls are taken whole; an empty table gives no rows.
     """
     page = with_host_path(pages, url)
-    page = page.withColumn("key", canonical_key(F.col(url)))
+    page = page.withColumn("_key", canonical_key(F.col(url)))
     rule, verdict = rule_columns(rules)
-    page = page.withColumns({"rule": rule, "own": verdict})
+    page = page.withColumns({"rule": rule, "_own": verdict})
     label = connected_components(alias_links(page, html))
-    keys = page.where(F.col("key").isNotNull()).groupBy("key").agg(F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own") == "allow").alias("allowed"))
+    keys = page.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("key")).agg(F.max(F.col("_own") == "block").alias("blocked"), F.max(F.col("_own") == "allow").alias("allowed"))
     keys = keys.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     keys = saved(keys, "url_keys")
     decided = keys.groupBy("component").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
     decided = decided.where("blocked and not coalesce(allowed, false)").select("component", F.lit("block").alias("alias_verdict"))
     by_key = keys.select("key", "component").join(decided, "component", "left").where("alias_verdict is not null or component != key")
-    out = page.drop(html).join(by_key, "key", "left")
-    return out.withColumn("verdict", F.coalesce("own", "alias_verdict", F.lit("allow"))).withColumn("component", F.coalesce("component", "key")).drop("own", "alias_verdict", "key")
+    by_key = by_key.select(F.col("key").alias("_key"), F.col("component").alias("_component"), F.col("alias_verdict").alias("_alias"))
+    out = page.drop(html).join(by_key, "_key", "left")
+    return out.withColumn("verdict", F.coalesce("_own", "_alias", F.lit("allow"))).withColumn("component", F.coalesce("_component", "_key")).drop("_own", "_alias", "_key", "_component")
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:

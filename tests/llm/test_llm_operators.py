@@ -338,12 +338,12 @@ def test_lm_scores_use_contexts_of_four_bytes(spark, docs):
 def test_url_filters(spark, empty):
     link = '<link href="http://bad.example.com/en/1" rel="canonical">'
     urls = [("http://x.example.com/en/a", None), ("https://www.example.com/en/a", None), ("http://example.com", None), ("ftp://A.NET/es/?q", None), ("http://notnet/es/", None), (None, None), ("nonsense", "<p>"), ("http://mirror.org/1", link), ("http://mirror2.org/1#x", '<meta http-equiv="refresh" content="0; url=http://mirror.org/1">'), ("https://mirror2.org/1/", None), ("http://free.org/", None), ("http://bad.example.com/en/1", None)]
-    df = spark.createDataFrame([(i, u, h, "k") for i, (u, h) in enumerate(urls)], "page_id long, url string, html string, label string")
+    df = spark.createDataFrame([(i, u, h, "k") for i, (u, h) in enumerate(urls)], "page_id long, url string, html string, key string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df).collect()}
     assert got[0] == ("example.com/en/", "block") and got[1] == ("www.example.com/en/", "allow") and got[2] == (None, "allow") and got[3] == ("net/es/", "block")
     assert got[4] == got[5] == got[6] == got[10] == (None, "allow")
     assert got[7] == got[8] == got[9] == (None, "block") and got[11] == ("example.com/en/", "block")
-    assert url_filters.filter_urls(df.limit(0)).count() == 0
+    assert url_filters.filter_urls(df.limit(0)).count() == 0 and {r.key for r in url_filters.filter_urls(df).collect()} == {"k"}
     import duckdb
 
     con = duckdb.connect()
