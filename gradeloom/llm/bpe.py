@@ -198,7 +198,7 @@ def coder(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceEncoder]:
     """One coder for each vocabulary and Python worker."""
     with open(path, "rb") as f:
         bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces), bpe.width)
+    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces, 150_000), bpe.width, 300_000)  # workers keep it between tasks
 
 
 def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
