@@ -12,6 +12,7 @@ from gradeloom.llm.near_dups import op3_near_dups
 from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.quality import op10_quality
 from gradeloom.llm.secrets import op6_secrets
+from gradeloom.llm.simhash import op13_simhash
 from gradeloom.llm.token_files import op9_token_files
 from gradeloom.llm.url_filters import op8_sql, op8_url_filters
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable]:
         "op8_url_filters": op8_url_filters,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
+        "op13_simhash": op13_simhash,
     }
 
 
