@@ -11,6 +11,7 @@ from gradeloom.llm.lm_scoring import op7_lm_scores
 from gradeloom.llm.near_dups import op3_near_dups
 from gradeloom.llm.pii import op5_pii
 from gradeloom.llm.quality import op10_quality
+from gradeloom.llm.ranked_search import OP11_SQL, op11_ranked_search
 from gradeloom.llm.secrets import op6_secrets
 from gradeloom.llm.simhash import op13_simhash
 from gradeloom.llm.token_files import op9_token_files
@@ -29,9 +30,10 @@ def queries() -> dict[str, Callable]:
         "op8_url_filters": op8_url_filters,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
+        "op11_ranked_search": op11_ranked_search,
         "op13_simhash": op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op8_url_filters": op8_sql()}
+    return {"op4_decontamination": OP4_SQL, "op8_url_filters": op8_sql(), "op11_ranked_search": OP11_SQL}
