@@ -14,6 +14,7 @@ from gradeloom.llm.quality import op10_quality
 from gradeloom.llm.ranked_search import OP11_SQL, op11_ranked_search
 from gradeloom.llm.secrets import op6_secrets
 from gradeloom.llm.simhash import op13_simhash
+from gradeloom.llm.spelling import op12_spelling
 from gradeloom.llm.token_files import op9_token_files
 from gradeloom.llm.url_filters import op8_sql, op8_url_filters
 
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable]:
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
         "op11_ranked_search": op11_ranked_search,
+        "op12_spelling": op12_spelling,
         "op13_simhash": op13_simhash,
     }
 
