@@ -70,9 +70,17 @@ def transfer_summary(spark, sf_dir):
     return rows.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("unsure", "unmatched")})
 
 
+def _versions(spark, sf_dir) -> DataFrame:
+    """The other versions as papers of their own, each with answers to a tenth of its questions."""
+    answers = _source(spark, sf_dir).where("qid % 10 = 0").select((F.col("qid") + 1_000_000_000).alias("qid"), F.pmod(F.col("answer") - F.col("qid") % 4, F.lit(4)).cast("int").alias("answer"))
+    other = _target(spark, sf_dir).drop("answer").join(answers, "qid", "left")
+    return other.select((F.col("paper_id") + 1_000_000).alias("paper_id"), "qid", "pos", "num", "text", "options", "answer")
+
+
 def best_sources(spark, sf_dir):
-    """The best key source of every paper among all papers."""
-    return M.best_source(M.transfer(_target(spark, sf_dir), _source(spark, sf_dir)), _target(spark, sf_dir))
+    """The best key source of every other version among all papers, versions with some answers included."""
+    versions = _versions(spark, sf_dir)
+    return M.best_sources(versions, _source(spark, sf_dir).unionByName(versions))
 
 
 QUERIES = {f.__name__: f for f in (norm_words, norm_texts, question_pairs, option_similarities, transferred_answers, transfer_summary, best_sources)}
@@ -94,8 +102,16 @@ _BOTH = with_tables("questions") + """, target AS (SELECT paper_id, qid + 100000
   [options[1 + qid % 4], options[1 + (qid + 1) % 4], options[1 + (qid + 2) % 4], options[1 + (qid + 3) % 4]] AS options FROM questions)"""
 
 
-def _dice(paired: str) -> str:
-    return f"""{_BOTH}, q AS (SELECT 't' AS side, paper_id, qid, text, array_to_string(options, ' ') AS o FROM target UNION ALL SELECT 's', paper_id, qid, text, array_to_string(options, ' ') FROM questions WHERE answer IS NOT NULL),
+#: Versions as papers of their own, and a library of all papers.
+_LIBRARY = with_tables("questions") + """, target AS (SELECT paper_id + 1000000 AS paper_id, qid + 1000000000 AS qid,
+  (pos * 7 + 3) % 50 AS pos, CASE qid % 3 WHEN 0 THEN 'Read this. ' || text WHEN 1 THEN upper(text) ELSE text END AS text,
+  [options[1 + qid % 4], options[1 + (qid + 1) % 4], options[1 + (qid + 2) % 4], options[1 + (qid + 3) % 4]] AS options,
+  CASE WHEN qid % 10 = 0 THEN (answer - qid % 4 + 4) % 4 END AS answer FROM questions),
+  library AS (SELECT paper_id, qid, pos, text, options, answer FROM questions UNION ALL SELECT paper_id, qid, pos, text, options, answer FROM target)"""
+
+
+def _dice(paired: str, tables: str = _BOTH, source: str = "questions") -> str:
+    return f"""{tables}, q AS (SELECT 't' AS side, paper_id, qid, text, array_to_string(options, ' ') AS o FROM target UNION ALL SELECT 's', paper_id, qid, text, array_to_string(options, ' ') FROM {source} WHERE answer IS NOT NULL),
   tok AS (SELECT side, paper_id, qid, kind, w, count(*) AS n FROM (
     SELECT side, paper_id, qid, 'stem' AS kind, unnest({_words("text")}) AS w FROM q UNION ALL SELECT side, paper_id, qid, 'all', unnest({_words("text || ' ' || o")}) FROM q) GROUP BY ALL),
   size AS (SELECT side, qid, kind, sum(n) AS n FROM tok GROUP BY ALL),
@@ -113,14 +129,14 @@ def _option(a: str, b: str) -> str:
       FROM (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS dx, regexp_replace(y, '[^0-9]', '', 'g') AS dy FROM (SELECT {_norm(a)} AS x, {_norm(b)} AS y)))"""
 
 
-def _decided_sql(paired: str) -> str:
+def _decided_sql(paired: str, tables: str = _BOTH, source: str = "questions") -> str:
     """Greedy choice in each pair of papers as a fold over its sorted pairs, then the options of each chosen pair."""
     opt = _option("want", "o")
-    return f"""{_dice(paired)}, p AS (SELECT sc.*, t.paper_id AS t_paper, s.paper_id AS s_paper, t.pos AS t_pos, s.pos AS s_pos FROM sc JOIN target t ON t.qid = sc.t JOIN questions s ON s.qid = sc.s WHERE score >= 0.55::DOUBLE * 0.8::DOUBLE),
+    return f"""{_dice(paired, tables, source)}, p AS (SELECT sc.*, t.paper_id AS t_paper, s.paper_id AS s_paper, t.pos AS t_pos, s.pos AS s_pos FROM sc JOIN target t ON t.qid = sc.t JOIN {source} s ON s.qid = sc.s WHERE score >= 0.55::DOUBLE * 0.8::DOUBLE),
   g AS (SELECT t_paper, s_paper, list_reduce(list([{{'t': t, 's': s, 'score': score}}] ORDER BY score DESC, t_pos, s_pos),
     lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.t), x[1].t) OR list_contains(list_transform(a, lambda y: y.s), x[1].s) THEN a ELSE list_concat(a, x) END) AS chosen FROM p GROUP BY ALL),
   c AS (SELECT t_paper, s_paper, u.t, u.s, u.score, u.score >= 0.55::DOUBLE AS matched FROM (SELECT t_paper, s_paper, unnest(chosen) AS u FROM g)),
-  o AS (SELECT c.*, len(t.options) = len(s.options) AS as_many, coalesce(s.options[s.answer + 1], '') AS want, unnest(range(len(t.options))) AS i, unnest(t.options) AS o FROM c JOIN target t ON t.qid = c.t JOIN questions s ON s.qid = c.s),
+  o AS (SELECT c.*, len(t.options) = len(s.options) AS as_many, coalesce(s.options[s.answer + 1], '') AS want, unnest(range(len(t.options))) AS i, unnest(t.options) AS o FROM c JOIN target t ON t.qid = c.t JOIN {source} s ON s.qid = c.s),
   v AS (SELECT *, length({_norm("o")}) < 3 AS blank, {opt} AS sim FROM o),
   r AS (SELECT *, row_number() OVER w AS place, lead(sim) OVER w AS runner FROM v WINDOW w AS (PARTITION BY t, s ORDER BY sim DESC, i)),
   b AS (SELECT t, s, t_paper, s_paper, any_value(score) AS score, any_value(matched) AS matched, any_value(as_many) AS as_many, max(sim) FILTER (place = 1) AS best, max(runner) FILTER (place = 1) AS runner, max(i) FILTER (place = 1) AS best_i,
@@ -139,7 +155,7 @@ SQL = {
   e AS (SELECT t_paper, s_paper, count_if(matched) AS matched, count(answer) AS copied, string_agg(CASE WHEN answer IS NULL THEN num END, ',' ORDER BY num) AS unsure FROM n GROUP BY ALL),
   l AS (SELECT a.t_paper, a.s_paper, string_agg(t.pos + 1, ',' ORDER BY t.pos) AS unmatched FROM a JOIN target t ON t.paper_id = a.t_paper AND NOT EXISTS (SELECT 1 FROM n WHERE n.t = t.qid AND n.s_paper = a.s_paper) GROUP BY ALL)
   SELECT t_paper, s_paper, coalesce(matched, 0) AS matched, coalesce(copied, 0) AS copied, coalesce(unsure, '') AS unsure, coalesce(unmatched, '') AS unmatched FROM a LEFT JOIN e USING (t_paper, s_paper) LEFT JOIN l USING (t_paper, s_paper)""",
-    "best_sources": _decided_sql("true") + """, n AS (SELECT t_paper, s_paper, count(answer) AS copied FROM made GROUP BY ALL), z AS (SELECT paper_id AS t_paper, count(*) AS questions FROM target GROUP BY 1)
+    "best_sources": _decided_sql("a.paper_id <> b.paper_id", _LIBRARY, "library") + """, n AS (SELECT t_paper, s_paper, count(answer) AS copied FROM made GROUP BY ALL), z AS (SELECT paper_id AS t_paper, count(*) AS questions FROM target GROUP BY 1)
   SELECT t_paper, s_paper, copied, questions FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY t_paper ORDER BY copied DESC, s_paper) = 1) JOIN z USING (t_paper) WHERE copied >= 0.3::DOUBLE * questions""",
     "question_pairs": _dice(_SAME) + " SELECT t, s, round(score, 9) AS score FROM sc WHERE score >= 0.55::DOUBLE * 0.8::DOUBLE",
     "option_similarities": _BOTH + f""", z AS (SELECT q.qid, CAST(unnest([0, 1, 2, 3]) AS INT) AS i, unnest(q.options) AS a, unnest(t.options) AS b FROM questions q JOIN target t ON t.qid = q.qid + 1000000000)

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import norm, words
+from gradeloom.sources.scratch import stored
 
 MIN_QUESTION, MIN_OPTION = 0.55, 0.6
+#: Candidate pairs of two papers that one task sorts.
+MOST_PAIRS = 200_000
 # Fixed value: words that must agree in short code options.
 QUALIFIER = "^(?:only|both|neither|nor|all|none|and|or)$"
 
@@ -33,46 +36,73 @@ def prepare(questions: DataFrame) -> DataFrame:
     return questions.select("paper_id", "qid", "pos", "num", "answer", "options", bag(F.col("text")).alias("stem"), bag(both).alias("all"))
 
 
-def similar_pairs(target: DataFrame, source: DataFrame, paired: Column | None = None, min_question: float = MIN_QUESTION) -> DataFrame:
+def _score() -> Column:
+    """The score of a pair of questions with t_stem, t_all, s_stem and s_all."""
+    return F.lit(0.7) * dice(F.col("t_stem"), F.col("s_stem")) + F.lit(0.3) * dice(F.col("t_all"), F.col("s_all"))
+
+
+def _share(d: float) -> float:
+    """The share of a set that a set of Dice d to it must have in common with it, whatever their sizes."""
+    return d / (2 - d)
+
+
+def rare_tokens(rows: DataFrame, key: list[str], tokens: str, d: float, counts: DataFrame) -> DataFrame:
+    """key, size and token, a row for each of the rarest tokens of which a set of Dice d must share one.
+
+    Of n tokens in one order for all sets, those are the first n - ceil(n d / (2 - d)) + 1.
+    """
+    each = rows.select(*key, F.size(tokens).alias("size"), F.explode(tokens).alias("token")).join(counts, "token")
+    need = F.ceil(F.lit(_share(d)) * F.col("size") - 1e-9)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("n", "token"))
+    return each.withColumn("place", place).where(F.col("place") <= F.col("size") - F.greatest(need, F.lit(1)) + 1).select(*key, "size", "token")
+
+
+def similar_pairs(target: DataFrame, source: DataFrame, paired: Column | None = None, min_question: float = MIN_QUESTION, asked: DataFrame | None = None) -> DataFrame:
     """t, s and score of question pairs with .7 dice(stem) + .3 dice(stem and options) >= .8 min_question.
 
     target and source come from prepare(), source with keyed questions only; paired is a condition on
-    t_paper and s_paper. A pair's stems must reach Dice d = (.8 min_question - .3) / .7, so of a stem with
-    n tokens, put in order from rare to frequent, one of the first n - ceil(d n / (2 - d)) + 1 must be
-    shared: only these are joined, which leaves out the words that every question has, and loses nothing.
-    What is joined are ids; token sets meet for the candidate pairs alone.
+    t_paper and s_paper, asked a table of the pairs of papers in question. A pair's stems must reach Dice
+    (.8 min_question - .3) / .7, so only the rarest tokens of a stem are joined, which leaves out the words
+    that every question has, and loses nothing. For min_question up to .375 that bound is nought: any common
+    stem token counts, and pairs without one must be alike in stem and options together, which has an index
+    of its own. What is joined are ids; token sets meet for the candidate pairs alone.
     """
     floor = min_question * 0.8
-    least = (floor - 0.3) / 0.7
-    if least <= 0:
-        raise ValueError("min_question must be above .375: else questions without a common word could match")
-    stems = target.select("qid", "stem").unionByName(source.select("qid", "stem"))
-    counts = stems.select(F.explode("stem").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-    def prefix(rows: DataFrame, side: str) -> DataFrame:
-        size = F.size("stem")
-        tokens = rows.select(F.col("qid"), F.col("paper_id"), size.alias("size"), F.explode("stem").alias("token")).join(counts, "token")
-        order = Window.partitionBy("qid").orderBy("n", "token")
-        need = F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9)
-        kept = tokens.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("size") - need + 1)
-        return kept.select("token", F.col("qid").alias(side), F.col("size").alias(f"{side}_size"), F.col("paper_id").alias(f"{side}_paper"))
-
-    met = prefix(target, "t").join(prefix(source, "s"), "token")
-    near = F.lit(least / (2 - least) - 1e-9)
-    met = met.where((F.least("t_size", "s_size") >= near * F.greatest("t_size", "s_size")) & (F.lit(True) if paired is None else paired))
-    pairs = met.select("t", "s").distinct()
+    if floor <= 0:
+        raise ValueError("min_question must be above 0: else all pairs match")
+
+    def met(tokens: str, d: float) -> DataFrame:
+        counts = target.select(tokens).unionByName(source.select(tokens)).select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        one, two = (rare_tokens(x, ["qid", "paper_id"], tokens, d, counts).withColumnsRenamed({"qid": side, "paper_id": f"{side}_paper", "size": f"{side}_size"}) for x, side in ((target, "t"), (source, "s")))
+        both = one.join(two, "token") if asked is None else one.join(asked.select("t_paper", "s_paper").distinct(), "t_paper").join(two, ["s_paper", "token"])
+        close = F.least("t_size", "s_size") >= F.lit(_share(d) - 1e-9) * F.greatest("t_size", "s_size")
+        return both.where(close & (F.lit(True) if paired is None else paired)).select("t", "s")
+
+    pairs = met("stem", max(0.0, (floor - 0.3) / 0.7))
+    if floor <= 0.3:
+        pairs = pairs.union(met("all", floor / 0.3))
+    pairs = pairs.distinct()
     one = target.select(F.col("qid").alias("t"), F.col("paper_id").alias("t_paper"), F.col("pos").alias("t_pos"), F.col("num").alias("t_num"), F.col("stem").alias("t_stem"), F.col("all").alias("t_all"))
     two = source.select(F.col("qid").alias("s"), F.col("paper_id").alias("s_paper"), F.col("pos").alias("s_pos"), F.col("stem").alias("s_stem"), F.col("all").alias("s_all"))
     full = pairs.join(one, "t").join(two, "s")
-    score = F.lit(0.7) * dice(F.col("t_stem"), F.col("s_stem")) + F.lit(0.3) * dice(F.col("t_all"), F.col("s_all"))
-    return full.withColumn("score", score).where(F.col("score") >= floor).select("t", "s", "t_paper", "s_paper", "t_pos", "s_pos", "t_num", "score")
+    return full.withColumn("score", _score()).where(F.col("score") >= floor).select("t", "s", "t_paper", "s_paper", "t_pos", "s_pos", "t_num", "score")
 
 
-def assign(pairs: DataFrame) -> DataFrame:
+def assign(pairs: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     """Greedy one-to-one choice within each pair of papers: best score first, then target, then source order.
 
-    A group is the candidate pairs of two papers, bounded by their questions.
+    The candidate pairs of two papers are counted first. Up to `most` are one group of one task; pairs of
+    papers with more are dealt with by assign_by_rounds(), which chooses the same.
     """
+    papers = ["t_paper", "s_paper"]
+    large = stored(pairs.groupBy(*papers).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*papers), "large_pairs")
+    if large.isEmpty():
+        return _assign_small(pairs)
+    return _assign_small(pairs.join(large, papers, "left_anti")).unionByName(assign_by_rounds(pairs.join(large, papers, "left_semi")))
+
+
+def _assign_small(pairs: DataFrame) -> DataFrame:
+    """The choice for pairs of papers that one task can hold."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["score", "t_pos", "s_pos"], ascending=[False, True, True], kind="stable")
@@ -88,7 +118,7 @@ def assign(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("t_paper", "s_paper").applyInPandas(work, pairs.schema)
 
 
-def assign_by_rounds(pairs: DataFrame, save=lambda df: df.checkpoint()) -> DataFrame:
+def assign_by_rounds(pairs: DataFrame, save=lambda df: stored(df, "rounds")) -> DataFrame:
     """The same choice for pairs of papers too large for one task.
 
     Each round takes the pairs that are first for both of their questions and drops what they use.
@@ -161,10 +191,14 @@ def decide(chosen: DataFrame, target: DataFrame, source: DataFrame, min_question
     return rows.select("t", "s", "t_paper", "s_paper", "t_num", "score", "matched", F.when(F.col("matched"), answer).alias("answer"))
 
 
-def transfer(target: DataFrame, source: DataFrame, paired: Column | None = None, min_question: float = MIN_QUESTION, min_option: float = MIN_OPTION) -> DataFrame:
+def transfer(target: DataFrame, source: DataFrame, paired: Column | None = None, min_question: float = MIN_QUESTION, min_option: float = MIN_OPTION, asked: DataFrame | None = None) -> DataFrame:
     """decide() for every pair of papers in question; tables as for similar_pairs(), before prepare()."""
-    t, s = prepare(target), prepare(source.where("answer IS NOT NULL"))
-    return decide(assign(similar_pairs(t, s, paired, min_question)), t, s, min_question, min_option)
+    return _transfer(prepare(target), prepare(source.where("answer IS NOT NULL")), paired, min_question, min_option, asked)
+
+
+def _transfer(t: DataFrame, s: DataFrame, paired: Column | None, min_question: float, min_option: float, asked: DataFrame | None) -> DataFrame:
+    pairs = stored(similar_pairs(t, s, paired, min_question, asked), "similar_pairs")
+    return decide(assign(pairs), t, s, min_question, min_option)
 
 
 def summary(decided: DataFrame, target: DataFrame, asked: DataFrame) -> DataFrame:
@@ -186,10 +220,92 @@ def summary(decided: DataFrame, target: DataFrame, asked: DataFrame) -> DataFram
     )
 
 
-def best_source(decided: DataFrame, target: DataFrame, least: float = 0.3) -> DataFrame:
-    """For each target paper the source paper that gives most answers, at least this share of its questions."""
-    copied = decided.groupBy("t_paper", "s_paper").agg(F.count("answer").alias("copied"))
+def copied(decided: DataFrame) -> DataFrame:
+    """t_paper, s_paper and how many answers the one gets from the other."""
+    return decided.groupBy("t_paper", "s_paper").agg(F.count("answer").alias("copied"))
+
+
+def best_source(copies: DataFrame, target: DataFrame, least: float = 0.3) -> DataFrame:
+    """For each target paper the other paper that gives most answers (of copied()), at least this share of its questions."""
     size = target.groupBy(F.col("paper_id").alias("t_paper")).agg(F.count(F.lit(1)).alias("questions"))
     order = Window.partitionBy("t_paper").orderBy(F.desc("copied"), "s_paper")
-    best = copied.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    best = copies.where("t_paper != s_paper").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return best.join(size, "t_paper").where(F.col("copied") >= least * F.col("questions"))
+
+
+def option_keys(parts: DataFrame, key: list[str], counts: DataFrame, min_option: float) -> DataFrame:
+    """key, part and option_key, of which two options share one if their likeness is min_option or more; part comes from option_parts().
+
+    Equal texts share the text; list codes and short options with numbers the digits; all others one of the
+    rarest words, as in rare_tokens().
+    """
+    known = parts.where("part.x != ''")
+    kept = known.select(*key, F.explode(F.array(F.concat(F.lit("="), "part.x"), F.when(F.col("part.digits") != "", F.concat(F.lit("#"), "part.digits")))).alias("option_key")).where("option_key IS NOT NULL")
+    rare = rare_tokens(known.select(*key, "part.bag"), key, "bag", min_option, counts)
+    return kept.unionByName(rare.select(*key, F.concat(F.lit("~"), "token").alias("option_key")))
+
+
+def _possible(t: DataFrame, s: DataFrame, need: DataFrame, min_question: float, min_option: float) -> DataFrame:
+    """t_paper, s_paper of all pairs of papers that could give as many answers as need (t_paper, need) says.
+
+    An answer is copied only from a question worded alike whose right option is like one of the target's, or if
+    one option of the target is unreadable. Each source question gives one answer at most, so a source with k keyed questions
+    that is to give n of them must have one that fits among its k - n + 1 rarest right options: these look
+    for papers by option keys. Of the papers found so, the questions that fit are counted.
+    """
+    options = t.select(F.col("paper_id").alias("t_paper"), F.col("qid").alias("t"), F.posexplode(F.transform("options", option_parts)).alias("i", "part"))
+    wants = s.select(F.col("paper_id").alias("s_paper"), F.col("qid").alias("s"), option_parts(F.coalesce(F.get("options", F.col("answer").cast("int")), F.lit(""))).alias("part"))
+    options, wants = stored(options, "options"), stored(wants, "wants")
+    blanks = options.groupBy("t_paper", "t").agg(F.count_if(F.length("part.x") < 3).alias("n")).groupBy("t_paper").agg(F.count_if(F.col("n") == 1).alias("blank"))
+    due = stored(need.join(blanks, "t_paper", "left").select("t_paper", "need", (F.col("need") - F.coalesce("blank", F.lit(0))).alias("due")), "due")
+    other = F.col("t_paper") != F.col("s_paper")
+    any_source = due.where("due < 1") if min_option > 0.2 else due  # nothing tells their sources apart but the questions
+    loose = similar_pairs(t.join(any_source.select(F.col("t_paper").alias("paper_id")), "paper_id", "left_semi"), s, other, min_question)
+    loose = loose.groupBy("t_paper", "s_paper").agg(F.count_distinct("t").alias("n")).join(any_source, "t_paper").where("n >= need").select("t_paper", "s_paper")
+    if min_option <= 0.2:
+        return loose
+    counts = options.select("part.bag").unionByName(wants.select("part.bag")).select(F.explode("bag").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    o = stored(option_keys(options, ["t_paper", "t", "i"], counts, min_option), "option_keys")
+    w = stored(option_keys(wants, ["s_paper", "s"], counts, min_option), "want_keys")
+    common = w.join(o.groupBy("option_key").agg(F.count(F.lit(1)).alias("n")), "option_key", "left").groupBy("s").agg(F.sum("n").alias("company"))
+    size = Window.partitionBy("s_paper")
+    placed = wants.select("s_paper", "s").join(common, "s", "left").withColumns({"place": F.row_number().over(size.orderBy(F.coalesce("company", F.lit(0)), "s")), "keyed": F.count(F.lit(1)).over(size)})
+    lowest = due.where("due > 0").agg(F.min("due")).first()[0] or 1
+    first = placed.where((F.col("place") <= F.col("keyed") - lowest + 1)).join(w, ["s_paper", "s"])
+    alike = likeness(F.col("want"), F.col("part")) >= min_option
+
+    def fitting(met: DataFrame) -> DataFrame:
+        """Of questions whose option keys met, those with options and wording alike."""
+        met = met.select("t_paper", "t", "i", "s_paper", "s").distinct()
+        met = met.join(options, ["t_paper", "t", "i"]).join(wants.select("s", F.col("part").alias("want")), "s").where(alike)
+        one, two = (x.select(F.col("qid").alias(c), F.col("stem").alias(f"{c}_stem"), F.col("all").alias(f"{c}_all")) for x, c in ((t, "t"), (s, "s")))
+        return met.select("t_paper", "t", "s_paper", "s").distinct().join(one, "t").join(two, "s").where(_score() >= min_question).select("t_paper", "s_paper", "s")
+
+    met = first.join(o.join(due.where("due > 0"), "t_paper"), "option_key").where(other & (F.col("place") <= F.col("keyed") - F.col("due") + 1))
+    found = stored(fitting(met).select("t_paper", "s_paper").distinct(), "found_papers")
+    full = found.join(w, "s_paper").join(o, ["t_paper", "option_key"])
+    enough = fitting(full).groupBy("t_paper", "s_paper").agg(F.count_distinct("s").alias("n")).join(due, "t_paper").where("n >= due")
+    return enough.select("t_paper", "s_paper").unionByName(loose)
+
+
+def best_sources(target: DataFrame, source: DataFrame, least: float = 0.3, min_question: float = MIN_QUESTION, min_option: float = MIN_OPTION, tries: int = 2) -> DataFrame:
+    """t_paper, s_paper, copied and questions: the best key source of every target paper among all other papers.
+
+    Tables as for transfer(), least above 0. First each paper is compared with the `tries` papers that share most
+    nearly equal questions with it. What the best of them gives is what any other must give at least, and
+    only papers that could (see _possible) are compared as well. So the result is that of comparing all pairs of
+    papers, while papers that have nothing rare in common never meet.
+    """
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    t, s = stored(prepare(target), "targets"), stored(prepare(source.where("answer IS NOT NULL")), "sources")
+    papers = ["t_paper", "s_paper"]
+    sure = similar_pairs(t, s, F.col("t_paper") != F.col("s_paper"), max(0.9, min_question)).groupBy(*papers).agg(F.count_distinct("t").alias("n"))
+    order = Window.partitionBy("t_paper").orderBy(F.desc("n"), "s_paper")
+    asked = stored(sure.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tries).select(*papers), "asked")
+    tried = stored(copied(_transfer(t, s, None, min_question, min_option, asked)), "tried")
+    size = t.groupBy(F.col("paper_id").alias("t_paper")).agg(F.ceil(least * F.count(F.lit(1)) - 1e-9).alias("need"))
+    need = size.join(tried.groupBy("t_paper").agg(F.max("copied").alias("most")), "t_paper", "left").select("t_paper", F.greatest("need", F.coalesce("most", F.lit(0))).alias("need"))
+    rest = stored(_possible(t, s, need, min_question, min_option).distinct().join(asked, papers, "left_anti"), "possible")
+    copies = tried if rest.isEmpty() else tried.unionByName(copied(_transfer(t, s, None, min_question, min_option, rest)))
+    return best_source(copies, target, least)
