@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ TYPES = (
 SPACES = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once: inside lambdas, Spark evaluates an expression wherever it is named."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def trimmed(s: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(s, rf"^{SPACES}+|{SPACES}+\z", "")
@@ -66,7 +73,12 @@ def norm(s: Column) -> Column:
 
 def words(s: Column) -> Column:
     """Words of norm(s) of two characters or with a digit."""
-    return F.filter(F.split(norm(s), " "), lambda w: (F.length(w) > 1) | w.rlike(r"\d"))
+    return normed_words(norm(s))
+
+
+def normed_words(x: Column) -> Column:
+    """words() of a text that is normalised already."""
+    return F.filter(F.split(x, " "), lambda w: (F.length(w) > 1) | w.rlike(r"\d"))
 
 
 def english_score(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import norm, words
+from gradeloom.functions.text import let, norm, normed_words, words
 from gradeloom.sources.scratch import stored
 
 MIN_QUESTION, MIN_OPTION = 0.55, 0.6
@@ -18,10 +18,9 @@ MOST_PAIRS = 200_000
 QUALIFIER = "^(?:only|both|neither|nor|all|none|and|or)$"
 
 
-def bag(text: Column) -> Column:
-    """Words of a text as distinct tokens (word, occurrence number), so that bags are plain sets."""
-    w = F.array_sort(words(text))
-    return F.transform(w, lambda x, i: F.concat_ws("#", x, (i - F.array_position(w, x) + 1).cast("string")))
+def bag(found: Column) -> Column:
+    """Words as distinct tokens (word, occurrence number), so that bags are plain sets."""
+    return let(F.array_sort(found), lambda w: F.transform(w, lambda x, i: F.concat_ws("#", x, (i - F.array_position(w, x) + 1).cast("string"))))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -33,7 +32,7 @@ def dice(a: Column, b: Column) -> Column:
 def prepare(questions: DataFrame) -> DataFrame:
     """paper_id, qid, pos, num, answer, options and the token sets of stem and of stem with options."""
     both = F.concat_ws(" ", "text", F.array_join("options", " "))
-    return questions.select("paper_id", "qid", "pos", "num", "answer", "options", bag(F.col("text")).alias("stem"), bag(both).alias("all"))
+    return questions.select("paper_id", "qid", "pos", "num", "answer", "options", bag(words(F.col("text"))).alias("stem"), bag(words(both)).alias("all"))
 
 
 def _score() -> Column:
@@ -138,11 +137,13 @@ def assign_by_rounds(pairs: DataFrame, save=lambda df: stored(df, "rounds")) ->
 
 def option_parts(option: Column) -> Column:
     """What option texts are compared by: normalised text, digits, whether it is a list code, qualifiers, tokens."""
-    x = norm(option)
-    digits = F.regexp_replace(x, r"\D", "")
-    qualifiers = F.array_join(F.filter(F.split(x, " "), lambda w: w.rlike(QUALIFIER)), " ")
-    coded = (F.length(digits) >= 3) & x.rlike(r"[a-d]\s*\d")
-    return F.struct(x.alias("x"), digits.alias("digits"), coded.alias("coded"), qualifiers.alias("qualifiers"), bag(option).alias("bag"))
+    def parts(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"\D", "")
+        qualifiers = F.array_join(F.filter(F.split(x, " "), lambda w: w.rlike(QUALIFIER)), " ")
+        coded = (F.length(digits) >= 3) & x.rlike(r"[a-d]\s*\d")
+        return F.struct(x.alias("x"), digits.alias("digits"), coded.alias("coded"), qualifiers.alias("qualifiers"), bag(normed_words(x)).alias("bag"))
+
+    return let(norm(option), parts)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -245,13 +246,13 @@ def option_keys(parts: DataFrame, key: list[str], counts: DataFrame, min_option:
     return kept.unionByName(rare.select(*key, F.concat(F.lit("~"), "token").alias("option_key")))
 
 
-def _possible(t: DataFrame, s: DataFrame, need: DataFrame, min_question: float, min_option: float) -> DataFrame:
-    """t_paper, s_paper of all pairs of papers that could give as many answers as need (t_paper, need) says.
+def _possible(t: DataFrame, s: DataFrame, need: DataFrame, known: DataFrame, min_question: float, min_option: float) -> DataFrame:
+    """t_paper, s_paper of all pairs of papers, but known ones, that could give as many answers as need (t_paper, need) says.
 
     An answer is copied only from a question worded alike whose right option is like one of the target's, or if
     one option of the target is unreadable. Each source question gives one answer at most, so a source with k keyed questions
-    that is to give n of them must have one that fits among its k - n + 1 rarest right options: these look
-    for papers by option keys. Of the papers found so, the questions that fit are counted.
+    that is to give n of them must have one that fits among its k - n + 1 rarest right options, and j among the
+    k - n + j rarest. The first look for papers by option keys; of the papers found so, more are counted.
     """
     options = t.select(F.col("paper_id").alias("t_paper"), F.col("qid").alias("t"), F.posexplode(F.transform("options", option_parts)).alias("i", "part"))
     wants = s.select(F.col("paper_id").alias("s_paper"), F.col("qid").alias("s"), option_parts(F.coalesce(F.get("options", F.col("answer").cast("int")), F.lit(""))).alias("part"))
@@ -271,7 +272,8 @@ def _possible(t: DataFrame, s: DataFrame, need: DataFrame, min_question: float,
     size = Window.partitionBy("s_paper")
     placed = wants.select("s_paper", "s").join(common, "s", "left").withColumns({"place": F.row_number().over(size.orderBy(F.coalesce("company", F.lit(0)), "s")), "keyed": F.count(F.lit(1)).over(size)})
     lowest = due.where("due > 0").agg(F.min("due")).first()[0] or 1
-    first = placed.where((F.col("place") <= F.col("keyed") - lowest + 1)).join(w, ["s_paper", "s"])
+    w = stored(w.join(placed.select("s", "place", "keyed"), "s"), "want_keys")
+    due = due.where("due > 0")
     alike = likeness(F.col("want"), F.col("part")) >= min_option
 
     def fitting(met: DataFrame) -> DataFrame:
@@ -281,18 +283,41 @@ def _possible(t: DataFrame, s: DataFrame, need: DataFrame, min_question: float,
         one, two = (x.select(F.col("qid").alias(c), F.col("stem").alias(f"{c}_stem"), F.col("all").alias(f"{c}_all")) for x, c in ((t, "t"), (s, "s")))
         return met.select("t_paper", "t", "s_paper", "s").distinct().join(one, "t").join(two, "s").where(_score() >= min_question).select("t_paper", "s_paper", "s")
 
-    met = first.join(o.join(due.where("due > 0"), "t_paper"), "option_key").where(other & (F.col("place") <= F.col("keyed") - F.col("due") + 1))
-    found = stored(fitting(met).select("t_paper", "s_paper").distinct(), "found_papers")
-    full = found.join(w, "s_paper").join(o, ["t_paper", "option_key"])
-    enough = fitting(full).groupBy("t_paper", "s_paper").agg(F.count_distinct("s").alias("n")).join(due, "t_paper").where("n >= due")
-    return enough.select("t_paper", "s_paper").unionByName(loose)
+    met = w.where(F.col("place") <= F.col("keyed") - lowest + 1).join(o.join(due, "t_paper"), "option_key")
+    found = stored(fitting(met.where(other & (F.col("place") <= F.col("keyed") - F.col("due") + 1))).select("t_paper", "s_paper").distinct().join(known, ["t_paper", "s_paper"], "left_anti"), "found_papers")
+    for more in (6, None):  # of the k - n + 6 rarest, six must fit, and in the end n of all
+        rows = found.join(due, "t_paper").join(w, "s_paper")
+        rows = rows if more is None else rows.where(F.col("place") <= F.col("keyed") - F.col("due") + more)
+        enough = F.col("due") if more is None else F.least("due", F.lit(more))
+        counted = fitting(rows.join(o, ["t_paper", "option_key"])).groupBy("t_paper", "s_paper").agg(F.count_distinct("s").alias("n"))
+        found = stored(counted.join(due, "t_paper").where(F.col("n") >= enough).select("t_paper", "s_paper"), "found_papers")
+    return found.unionByName(loose)
+
+
+def _guesses(t: DataFrame, s: DataFrame, tries: int, most: int = 100) -> DataFrame:
+    """t_paper, s_paper: for each paper the `tries` others that share most questions with the same three rarest words.
+
+    What very many source questions share tells nothing and is left out: guesses save work and decide nothing.
+    """
+    counts = t.select("stem").unionByName(s.select("stem")).select(F.explode("stem").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        tokens = rows.select("qid", "paper_id", F.explode("stem").alias("token")).join(counts, "token")
+        rare = tokens.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "paper_id").orderBy("n", "token"))).where(F.col("_n") <= 3)
+        return rare.groupBy(F.col("qid").alias(side), F.col("paper_id").alias(f"{side}_paper")).agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("name"))
+
+    source = named(s, "s")
+    telling = source.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("name")
+    shared = named(t, "t").join(source.join(telling, "name", "left_semi"), "name").where("t_paper != s_paper").groupBy("t_paper", "s_paper").agg(F.count_distinct("t").alias("n"))
+    order = Window.partitionBy("t_paper").orderBy(F.desc("n"), "s_paper")
+    return shared.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tries).select("t_paper", "s_paper")
 
 
 def best_sources(target: DataFrame, source: DataFrame, least: float = 0.3, min_question: float = MIN_QUESTION, min_option: float = MIN_OPTION, tries: int = 2) -> DataFrame:
     """t_paper, s_paper, copied and questions: the best key source of every target paper among all other papers.
 
-    Tables as for transfer(), least above 0. First each paper is compared with the `tries` papers that share most
-    nearly equal questions with it. What the best of them gives is what any other must give at least, and
+    Tables as for transfer(), least above 0. First each paper is compared with the `tries` papers that seem most
+    alike (see _guesses). What the best of them gives is what any other must give at least, and
     only papers that could (see _possible) are compared as well. So the result is that of comparing all pairs of
     papers, while papers that have nothing rare in common never meet.
     """
@@ -300,12 +325,10 @@ def best_sources(target: DataFrame, source: DataFrame, least: float = 0.3, min_q
         raise ValueError("least must be above 0")
     t, s = stored(prepare(target), "targets"), stored(prepare(source.where("answer IS NOT NULL")), "sources")
     papers = ["t_paper", "s_paper"]
-    sure = similar_pairs(t, s, F.col("t_paper") != F.col("s_paper"), max(0.9, min_question)).groupBy(*papers).agg(F.count_distinct("t").alias("n"))
-    order = Window.partitionBy("t_paper").orderBy(F.desc("n"), "s_paper")
-    asked = stored(sure.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tries).select(*papers), "asked")
+    asked = stored(_guesses(t, s, tries), "asked")
     tried = stored(copied(_transfer(t, s, None, min_question, min_option, asked)), "tried")
     size = t.groupBy(F.col("paper_id").alias("t_paper")).agg(F.ceil(least * F.count(F.lit(1)) - 1e-9).alias("need"))
     need = size.join(tried.groupBy("t_paper").agg(F.max("copied").alias("most")), "t_paper", "left").select("t_paper", F.greatest("need", F.coalesce("most", F.lit(0))).alias("need"))
-    rest = stored(_possible(t, s, need, min_question, min_option).distinct().join(asked, papers, "left_anti"), "possible")
+    rest = stored(_possible(t, s, need, asked, min_question, min_option).distinct().join(asked, papers, "left_anti"), "possible")
     copies = tried if rest.isEmpty() else tried.unionByName(copied(_transfer(t, s, None, min_question, min_option, rest)))
     return best_source(copies, target, least)
