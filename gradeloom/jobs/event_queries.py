@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradeloom.operators import events as E
@@ -9,6 +11,7 @@ from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
 from gradeloom.sources.scratch import scratch
 from gradeloom.streaming import attempt_state as A
+from gradeloom.streaming import live_tests as L
 
 
 def response_states(spark, sf_dir):
@@ -72,7 +75,58 @@ def streamed_states(spark, sf_dir):
     return A.run_available(A.attempt_states(log), f"{scratch(spark)}/streams")
 
 
-QUERIES = {f.__name__: f for f in (response_states, response_states_in_time, visited_questions, time_spent, expired_attempts, submitted_attempts, activity_windows, activity_sessions, streamed_states)}
+LIVE = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING, event_time TIMESTAMP"
+
+
+def _live(e):
+    """Events as logs of live tests: sign-ups start a test of eight days, some purchases submit it."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    third = F.pmod(n, F.lit(3))
+    kind = (
+        F.when(kind == "click", "pick").when(kind == "signup", "start").when(kind == "view", F.when(third == 0, "show").otherwise("tick"))
+        .when(kind == "error", F.when(third == 0, "clear").when(third == 1, "mark").otherwise("hide")).otherwise(F.when(n % 9 == 0, "submit").when(n % 4 == 1, "unmark").otherwise("save"))
+    )
+    return e.select(
+        F.col("user_id").alias("attempt_id"), F.col("ts").alias("event_time"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.get_json_object("props", "$.k").cast("int") % 10).alias("qid"),
+        F.when(kind == "pick", (F.floor("value") % 4).cast("int")).alias("option"), F.when(kind == "start", F.lit(8 * 86_400)).alias("duration_sec"),
+    )
+
+
+def _arrivals(spark, sf_dir, folder: str, delay_sec: float):
+    """The event files as they arrive, ten days at a time but up to a day late; each is dealt into rows in time and late ones."""
+    e = T.read(spark, sf_dir, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    e = e.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in LIVE.split(", "))).withColumn("part", F.floor((F.unix_seconds("event_time") + F.col("event_id") * 7919 % 86_400) / 864_000))
+    for part in sorted(r["part"] for r in e.select("part").distinct().collect()):
+        e.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/arrived")
+        L.split_late(spark.readStream.schema(LIVE).parquet(f"{folder}/arrived"), folder, delay_sec, f"{folder}/dealt")
+        yield part
+
+
+def late_events(spark, sf_dir):
+    """Every event with the batch it came in, and whether it came too late for a watermark of twenty minutes."""
+    folder = f"{scratch(spark)}/late/{uuid.uuid4().hex}"
+    for _ in _arrivals(spark, sf_dir, folder, 1200):
+        pass
+    return L.dealt(spark, folder, LIVE).select("event_id", "batch", "late")
+
+
+def live_questions(spark, sf_dir):
+    """State, time and visits of every question of a live test, from whole logs."""
+    rows = E.live_questions(_live(T.read(spark, sf_dir, "events")), 40_000.0)
+    return rows.withColumn("seconds", F.round("seconds", 3))
+
+
+def live_tests_streamed(spark, sf_dir):
+    """The same and the ends of attempts by one stateful stream, run each time that events arrive; late ones are left out."""
+    folder = f"{scratch(spark)}/live/{uuid.uuid4().hex}"
+    for _ in _arrivals(spark, sf_dir, folder, 1200):
+        stream = L.live_tests(_live(L.in_time(spark, folder, LIVE)), "20 minutes", 40_000.0, linger=60 * 86_400.0)
+        rows = A.run_available(stream, folder, last=("submitted_at", "events"), work=f"{folder}/state")
+    rows = rows.where("events > 0 OR qid IS NULL").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ends_at", "submitted_at")})
+    return rows.withColumn("seconds", F.round("seconds", 3))
+
+
+QUERIES = {f.__name__: f for f in (response_states, response_states_in_time, visited_questions, time_spent, expired_attempts, submitted_attempts, activity_windows, activity_sessions, streamed_states, late_events, live_questions, live_tests_streamed)}
 
 _FOLD = """, o AS (SELECT *, row_number() OVER (PARTITION BY attempt_id, qid ORDER BY event_time, seq) AS n FROM l),
   f AS (SELECT attempt_id, qid, 0::BIGINT AS n, NULL::INT AS response, 0::BIGINT AS changes, false AS marked FROM o WHERE n = 1
@@ -87,7 +141,38 @@ def _fold(l: str) -> str:
     return "WITH RECURSIVE" + with_tables("log").removeprefix("WITH") + f", l AS ({l})" + _FOLD
 
 
+#: Events with the batch they come in and whether they are late, then those of live tests that count.
+_BATCHES = """e AS (SELECT *, dense_rank() OVER (ORDER BY CAST(floor((floor(epoch(ts)) + event_id * 7919 % 86_400) / 864000) AS BIGINT)) - 1 AS batch FROM events),
+  tops AS (SELECT a.batch, max(b.ts) AS top FROM (SELECT DISTINCT batch FROM e) a LEFT JOIN e b ON b.batch < a.batch GROUP BY 1),
+  dealt AS (SELECT e.*, coalesce(ts <= top - INTERVAL 20 MINUTE, false) AS late FROM e JOIN tops USING (batch))"""
+
+
+def _live_sql(table: str) -> str:
+    return f"""log AS (SELECT user_id AS attempt_id, ts AS event_time, event_id AS seq, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS qid,
+    CASE event_type WHEN 'click' THEN 'pick' WHEN 'signup' THEN 'start' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'show' ELSE 'tick' END
+      WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'clear' WHEN 1 THEN 'mark' ELSE 'hide' END ELSE CASE WHEN event_id % 9 = 0 THEN 'submit' WHEN event_id % 4 = 1 THEN 'unmark' ELSE 'save' END END AS kind,
+    CASE WHEN event_type = 'click' THEN CAST(floor(value) AS INT) % 4 END AS option FROM {table}),
+  st AS (SELECT attempt_id, min((event_time, seq)) AS at FROM log WHERE kind = 'start' GROUP BY 1),
+  a AS (SELECT log.*, st.at[1] AS started_at, st.at[1] + INTERVAL 8 DAY AS ends_at FROM log JOIN st ON st.attempt_id = log.attempt_id AND (event_time, seq) >= st.at),
+  en AS (SELECT attempt_id, min((event_time, seq)) AS at FROM a WHERE kind = 'submit' AND event_time <= ends_at GROUP BY 1),
+  live AS (SELECT a.* FROM a LEFT JOIN en ON en.attempt_id = a.attempt_id WHERE event_time <= ends_at AND (en.at IS NULL OR (event_time, seq) < en.at)),
+  gaps AS (SELECT attempt_id, qid, kind, lag(kind) OVER w AS last, (epoch_us(event_time) - lag(epoch_us(event_time)) OVER w) / 1e6::DOUBLE AS gap FROM live WHERE kind IN ('tick', 'start', 'hide') WINDOW w AS (PARTITION BY attempt_id ORDER BY event_time, seq)),
+  spent AS (SELECT attempt_id, qid, sum(CASE WHEN last = 'tick' THEN least(40000, gap) ELSE 0 END) AS seconds FROM gaps WHERE kind = 'tick' GROUP BY ALL),
+  seen AS (SELECT attempt_id, qid, bool_or(kind = 'show') AS visited FROM live WHERE kind NOT IN ('start', 'hide') GROUP BY ALL),
+  l AS (SELECT * FROM live WHERE kind NOT IN ('start', 'hide'))""" + _FOLD.replace("SELECT attempt_id, qid, response, changes, marked, n AS events FROM f", ", q AS (SELECT attempt_id, qid, response, changes, marked, n AS events FROM f") + """),
+  questions AS (SELECT q.*, round(coalesce(seconds, 0), 3) AS seconds, visited FROM q LEFT JOIN spent USING (attempt_id, qid) JOIN seen USING (attempt_id, qid))"""
+
+
 SQL = {
+    "late_events": f"WITH {_BATCHES} SELECT event_id, CAST(batch AS INT) AS batch, late FROM dealt",
+    "live_questions": f"WITH RECURSIVE {_live_sql('events')} SELECT attempt_id, qid, response, changes, marked, events, seconds, visited FROM questions",
+    "live_tests_streamed": f"""WITH RECURSIVE {_BATCHES}, kept AS (SELECT * FROM dealt WHERE NOT late), {_live_sql('kept')},
+  passed AS (SELECT max(event_time) - INTERVAL 20 MINUTE AS at FROM log), after AS (SELECT attempt_id, bool_or(event_time > ends_at) AS up, min(started_at) AS started_at, min(ends_at) AS ends_at FROM a GROUP BY 1),
+  shown AS (SELECT attempt_id, arg_max(qid, (event_time, seq)) AS current FROM live WHERE kind = 'show' GROUP BY 1),
+  att AS (SELECT attempt_id, started_at, ends_at, CASE WHEN en.at IS NOT NULL THEN en.at[1] WHEN up OR ends_at <= passed.at THEN ends_at END AS submitted_at, en.at IS NULL AND (up OR ends_at <= passed.at) AS auto_submitted, current
+    FROM after LEFT JOIN en USING (attempt_id) LEFT JOIN shown USING (attempt_id), passed)
+  SELECT attempt_id, qid, response, changes, marked, events, seconds, visited, NULL AS status, NULL::TIMESTAMP AS started_at, NULL::TIMESTAMP AS ends_at, NULL::TIMESTAMP AS submitted_at, NULL::INT AS time_used_sec, NULL::BOOLEAN AS auto_submitted, NULL::INT AS current FROM questions
+  UNION ALL SELECT attempt_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN submitted_at IS NULL THEN 'in-progress' ELSE 'submitted' END, started_at, ends_at, submitted_at, CAST(floor((epoch_us(submitted_at) - epoch_us(started_at)) / 1e6::DOUBLE + 0.5) AS INT), auto_submitted, current FROM att""",
     "response_states": _fold("SELECT * FROM log"),
     "response_states_in_time": _fold("SELECT * FROM log QUALIFY event_time <= min(event_time) OVER (PARTITION BY attempt_id) + INTERVAL 10 DAY"),
     "streamed_states": _fold("SELECT * FROM log"),

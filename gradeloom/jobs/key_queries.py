@@ -12,7 +12,7 @@ from gradeloom.operators import library as L
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
 from gradeloom.sources.scratch import scratch
-from gradeloom.streaming.attempt_state import apply_feed
+from gradeloom.streaming.attempt_state import apply_feed, present
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,8 @@ def change_feed(spark, sf_dir):
     o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
     one = o.where("id % 3 = 0").select("id", (F.col("value") + 1).alias("value"), F.lit(1).alias("version"), (F.col("id") % 2 == 0).alias("removed"))
     two = o.where("id % 5 = 0").select("id", (F.col("value") + 2).alias("value"), F.lit(2).alias("version"), F.when(F.col("id") % 7 == 0, True).alias("removed"))
-    return apply_feed(o, one.unionByName(two), "id").select("id", F.round("value", 2).alias("value"))
+    late_first = apply_feed(apply_feed(o, two, "id"), one, "id")  # the second batch comes first, and the older versions change nothing then
+    return present(late_first).select("id", F.round("value", 2).alias("value"))
 
 
 def key_text_lines(spark, sf_dir):

@@ -65,13 +65,16 @@ def time_spent(log: DataFrame, most: float = 5.0) -> DataFrame:
 
 
 def expire(attempts: DataFrame, as_of) -> DataFrame:
-    """Attempts with ends_at; those in progress whose time is up by as_of are submitted at their end."""
+    """Attempts with ends_at; those in progress whose time is up by as_of are submitted at their end.
+
+    An attempt that an earlier run has ended stays marked as such (auto_submitted).
+    """
     ends = F.timestamp_add("SECOND", F.col("duration_sec"), F.col("started_at"))
     rows = attempts.withColumn("ends_at", ends)
     up = (F.col("status") == "in-progress") & (F.col("ends_at") <= as_of)
     return rows.withColumns({
         "time_used_sec": F.when(up, F.col("duration_sec")).otherwise(F.col("time_used_sec")), "submitted_at": F.when(up, F.col("ends_at")).otherwise(F.col("submitted_at")),
-        "auto_submitted": up, "status": F.when(up, "submitted").otherwise(F.col("status")),
+        "auto_submitted": (up | F.coalesce(F.col("auto_submitted"), F.lit(False))) if "auto_submitted" in attempts.columns else up, "status": F.when(up, "submitted").otherwise(F.col("status")),
     })
 
 
@@ -96,6 +99,30 @@ def in_time(log: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.where((F.col("event_time") <= F.col("ends_at")) & F.coalesce(at <= F.col("_submit"), F.lit(True))).drop("ends_at", "_submit")
 
 
+def live_log(log: DataFrame) -> DataFrame:
+    """The events of live tests that count, with ends_at: from the first start (which gives duration_sec) to the end.
+
+    The end is the first submit after the start, or the time that the start allows; the submit is left out.
+    """
+    own = Window.partitionBy("attempt_id")
+    at, first = F.struct(*ORDER), F.struct(*ORDER, "duration_sec")
+    rows = log.withColumn("_start", F.min(F.when(F.col("kind") == "start", first)).over(own))
+    rows = rows.withColumn("ends_at", F.timestamp_add("SECOND", F.coalesce(F.col("_start.duration_sec"), F.lit(0)), F.col("_start.event_time")))
+    rows = rows.where(at >= F.struct(*(F.col(f"_start.{c}") for c in ORDER)))
+    end = F.min(F.when(F.col("kind") == "submit", at)).over(own)
+    return rows.withColumn("_end", end).where((F.col("event_time") <= F.col("ends_at")) & (F.col("_end").isNull() | (at < F.col("_end")))).drop("_start", "_end")
+
+
+def live_questions(log: DataFrame, most: float = 5.0) -> DataFrame:
+    """attempt_id, qid, response, changes, marked, events, seconds, visited of live tests, from whole logs."""
+    rows = live_log(log)
+    asked = rows.where("qid IS NOT NULL AND kind NOT IN ('start', 'hide')")
+    key = ["attempt_id", "qid"]
+    seen = asked.groupBy(*key).agg(F.bool_or(F.col("kind") == "show").alias("visited"))
+    states = response_state(asked).join(seen, key).join(time_spent(rows, most).where("qid IS NOT NULL"), key, "left")
+    return states.withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
+
+
 def activity(log: DataFrame, length: str = "5 minutes") -> DataFrame:
     """Events of each attempt and window."""
     rows = log.groupBy("attempt_id", F.window(F.col("event_time").cast("timestamp"), length)).agg(F.count(F.lit(1)).alias("events"))

@@ -190,13 +190,15 @@ def attempt_lives(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return _timed(log, delay).groupBy("attempt_id").transformWithStateInPandas(statefulProcessor=AttemptLife(), outputStructType=_typed(LIFE, log), outputMode="Update", timeMode="EventTime")
 
 
-def run_available(stream: DataFrame, folder: str, key: tuple[str, ...] = ("attempt_id", "qid")) -> DataFrame:
+def run_available(stream: DataFrame, folder: str, key: tuple[str, ...] = ("attempt_id", "qid"), last: tuple[str, ...] = ("events",), work: str | None = None, told: list | None = None) -> DataFrame:
     """Run a stream of upserts over what is available; returns the last row of each key.
 
-    Every batch is a folder named by its number, so a repeated batch replaces itself.
+    Every batch is a folder named by its number, so a repeated batch replaces itself. Of rows of a key in one
+    batch that with the greatest `last` columns counts. With work, a folder, a later run goes on where an
+    earlier one ended; told gets the progress of each batch.
     """
     spark = stream.sparkSession
-    work = f"{folder}/{uuid.uuid4().hex}"
+    work = work or f"{folder}/{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/batch={number}/rows")
@@ -204,27 +206,38 @@ def run_available(stream: DataFrame, folder: str, key: tuple[str, ...] = ("attem
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        stream.writeStream.outputMode("update").option("checkpointLocation", f"{work}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{work}/state").foreachBatch(keep).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if told is not None:
+            told += query.recentProgress
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     rows = spark.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{work}/out/*/rows")
-    last = Window.partitionBy(*key).orderBy(F.desc("batch"), F.desc("events"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")
+    order = Window.partitionBy(*key).orderBy(F.desc("batch"), *(F.desc_nulls_last(c) for c in last))
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "batch")
 
 
 def apply_feed(table: DataFrame, feed: DataFrame, key: str, version: str = "version", removed: str = "removed") -> DataFrame:
-    """A record table after a batch of its change feed: of each key's rows the latest version replaces or deletes.
+    """A table of versioned records after a batch of its change feed: of each key the latest version stays.
 
-    A row without a version precedes all others; removed counts as false where it is null.
+    The table keeps versions, and removed records as rows of their own (see present), so a later batch with an older
+    version has no effect, and the order of batches none at all: of equal versions a removal precedes, then
+    the greater record. Rows without a version precede all others; removed counts as false where it is null.
+    A table without these columns holds records of no version.
     """
-    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.coalesce(removed, F.lit(False)).desc())
-    last = feed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    kept = last.where(~F.coalesce(removed, F.lit(False))).select(table.columns)
-    return table.join(last.select(key), key, "left_anti").unionByName(kept)
+    own = table.withColumns({c: F.lit(None).cast(feed.schema[c].dataType) for c in (version, removed) if c not in table.columns})
+    both = own.unionByName(feed.select(own.columns)).withColumn(removed, F.coalesce(removed, F.lit(False)))
+    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col(removed).desc(), F.struct(*sorted(set(own.columns) - {key, version, removed})).desc())
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def present(table: DataFrame, version: str = "version", removed: str = "removed") -> DataFrame:
+    """The records of a versioned table that are not removed, without the two columns."""
+    return table.where(~F.coalesce(removed, F.lit(False))).drop(version, removed)
 
 
 def watch(stream: DataFrame, read_table, write_table, key: str, checkpoint: str):
-    """Start a query that merges each batch of a change feed into a table."""
+    """Start a query that merges each batch of a change feed into a versioned table."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: write_table(apply_feed(read_table(batch.sparkSession), batch, key))).start()
 
 
