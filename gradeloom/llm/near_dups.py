@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,26 @@ from gradeloom.llm.components import connected_components
 from gradeloom.llm.pieces import slices
 from gradeloom.llm.words import words
 
-#: Words of a shingle, least similarity; a pair of that similarity shares no band with probability 7e-5.
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Words of a shingle, least similarity, chance that a pair of that similarity shares no band, coordinates at most.
+SHINGLE, SIMILARITY, MISS, COORDINATES = 5, 0.8, 1e-4, 128
 #: Members of a group that are compared in full.
 SMALL = 32
 #: Rounds in which large groups are split by what their members have beyond the head.
 PRUNED = 2
 
+
+
+def banding(least: float = SIMILARITY) -> tuple[int, int]:
+    """(bands, rows): the longest bands by which a pair of similarity `least` shares none with probability MISS at most.
+
+    For .8 these are 24 bands of 5. Below some .07 even single rows take more than COORDINATES.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    need = [(ceil(log(MISS) / log1p(-(least**rows))) if least < 1 else 1, rows) for rows in range(1, COORDINATES + 1)]
+    return next((b for b in reversed(need) if b[0] * b[1] <= COORDINATES), need[0])
+
+
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 13)]))
 
 
@@ -46,7 +60,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.unique(out, return_counts=True)
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = 120) -> np.ndarray:
     """DartMinHash of weighted sets, none empty: a row of k dart names for each.
 
     Each unit of weight of an element is a region; in each unit of rank it gets a Poisson number of darts,
@@ -87,7 +101,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS)
     return out
 
 
-def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int = 24) -> np.ndarray:
     """A 64-bit key of each band of each signature."""
     rows = signature.shape[1] // bands
     cut = signature.reshape(len(signature), bands, rows)
@@ -117,18 +131,20 @@ def _groups(some: list[int], sets: list, most: int = 250_000) -> Iterator[list[i
         yield part
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(id, node, weight, bands): the class of exactly equal shingles and the band keys of each text."""
 
+    bands, rows_each = banding(least)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
                 texts = part.column(1).to_pylist()
-                sets = [shingles(t) for t in texts]
+                sets = [shingles(t, size) for t in texts]
                 some = [i for i, s in enumerate(sets) if len(s[0])]
                 keys: list = [[] for _ in texts]
                 for group in _groups(some, sets):
-                    for i, row in zip(group, band_keys(signatures([sets[i] for i in group])), strict=True):
+                    for i, row in zip(group, band_keys(signatures([sets[i] for i in group], bands * rows_each), bands), strict=True):
                         keys[i] = row
                 columns = [part.column(0), pa.array([_node(t, s) for t, s in zip(texts, sets, strict=True)], pa.binary()), pa.array([int(c.sum()) for _, c in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "weight", "bands"])
@@ -137,14 +153,14 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(work, f"id {rows.schema[id_col].dataType.simpleString()}, node binary, weight long, bands array<long>")
 
 
-def features(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(node, hashes, counts) of the wanted (node, id), from their whole texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = part.column(0).to_pylist()
-                sets = [shingles(t) for t in texts]
+                sets = [shingles(t, size) for t in texts]
                 columns = [pa.array([f(t, s) for t, s in zip(texts, sets, strict=True)], pa.binary()) for f in (_node, lambda t, s: s[0].tobytes(), lambda t, s: s[1].astype("<u4").tobytes() if (s[1] > 1).any() else b"")]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "hashes", "counts"])
 
@@ -283,8 +299,8 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
     return reduce(DataFrame.unionByName, told).where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(id, class_id, links) for every row: near-duplicate classes.
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """(id, class_id, links) for every row: near-duplicate classes of texts whose shingles of `size` words are similar.
 
     Texts with equal shingles are one node from the start, so copies never meet in pairs. Nodes that
     share a band are a group, and near_links finds the similar pairs in it. Classes are the connected
@@ -293,13 +309,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal; null counts as empty; a class of null ids has a null class_id. Repeated rows and ids keep their
     rows; texts of any length are taken whole; other columns are ignored; an empty table gives no rows.
     """
-    rows = saved(sketch(docs, id_col, text_col), "sketches")
+    rows = saved(sketch(docs, id_col, text_col, least, size), "sketches")
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bands = nodes.select("node", "weight", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = saved(bands.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    feature = saved(features(docs, wanted, id_col, text_col), "features")
+    feature = saved(features(docs, wanted, id_col, text_col, size), "features")
     links = near_links(members, feature, least)
     known = nodes.select("node", "id")
     if links is None:
