@@ -27,7 +27,7 @@ TYPES = (
 
 
 #: White space of any script, as a character class for Java and for DuckDB alike.
-SPACES = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+SPACES = "[\\t-\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

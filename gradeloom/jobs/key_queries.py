@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import keys as K
 from gradeloom.operators import library as L
+from gradeloom.operators import records as R
+from gradeloom.operators.records import apply_feed, present
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
 from gradeloom.sources.scratch import scratch
-from gradeloom.streaming.attempt_state import apply_feed, present
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +31,15 @@ def format_keys(spark, sf_dir):
     return K.format_key(_questions(spark, sf_dir))
 
 
+def _pasted(texts: DataFrame) -> DataFrame:
+    """Key texts, every third with no-break spaces as pages paste them, every third with wide ones."""
+    third = F.col("paper_id") % 3
+    return texts.withColumn("text", F.replace(F.col("text"), F.lit(" "), F.when(third == 1, F.lit("\u00a0")).when(third == 2, F.lit("\u2003")).otherwise(F.lit(" "))))
+
+
 def read_pair_keys(spark, sf_dir):
     """Keys written as pairs and read again."""
-    return K.key_rows(format_keys(spark, sf_dir))
+    return K.key_rows(_pasted(format_keys(spark, sf_dir)))
 
 
 def read_tabular_keys(spark, sf_dir):
@@ -41,14 +48,15 @@ def read_tabular_keys(spark, sf_dir):
     row = q.groupBy("paper_id", F.floor(F.col("pos") / 10).alias("r")).agg(F.array_sort(F.collect_list(F.struct("num", F.substring(F.lit("abcde"), F.col("answer") + 1, F.lit(1)).alias("l")))).alias("e"))
     row = row.where(F.size("e") > 1).select("paper_id", "r", F.concat(F.array_join(F.col("e.num").cast("array<string>"), " "), F.lit("\n"), F.array_join(F.transform("e", lambda e: F.concat(F.lit("("), e["l"], F.lit(")"))), " | ")).alias("t"))
     text = row.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("e")).select("paper_id", F.array_join(F.col("e.t"), "\n\n").alias("text"))
-    return K.key_rows(text)
+    return K.key_rows(_pasted(text))
 
 
 def read_sequence_keys(spark, sf_dir):
     """Keys written as a run of letters and read again."""
     q = _questions(spark, sf_dir).where("answer IS NOT NULL")
     e = q.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("num", F.substring(F.lit("ABCDE"), F.col("answer") + 1, F.lit(1)).alias("l")))).alias("e"))
-    return K.key_rows(e.select("paper_id", F.array_join(F.col("e.l"), "").alias("text")))
+    apart = F.when(F.col("paper_id") % 2 == 0, "").otherwise(" ")
+    return K.key_rows(_pasted(e.select("paper_id", F.array_join(F.array_compact(F.flatten(F.transform("e.l", lambda x: F.array(x, apart)))), "").alias("text"))))
 
 
 def apply_key(spark, sf_dir):
@@ -202,12 +210,24 @@ def change_feed(spark, sf_dir):
     return present(late_first).select("id", F.round("value", 2).alias("value"))
 
 
+def stored_papers(spark, sf_dir):
+    """The index of a library after a merge: a fifth of its papers keyed anew, some of them removed, and an older version of others."""
+    q = _questions(spark, sf_dir)
+    entry = q.select("paper_id").distinct().select("paper_id", F.concat(F.lit("Paper "), "paper_id").alias("title"), F.lit("").alias("note"), F.lit("printed").alias("key_source"), F.lit(1).alias("version"), F.lit(False).alias("removed"))
+    store = R.Store(f"{scratch(spark)}/papers/{uuid.uuid4().hex}", "paper_id", R.PAPERS, 16)
+    store.create(R.paper_records(q, entry))
+    fifth = entry.where("paper_id % 5 = 0").withColumns({"key_source": F.lit("copied"), "version": F.lit(2), "removed": F.col("paper_id") % 10 == 5})
+    store.merge(R.paper_records(q.withColumn("answer", (F.col("pos") % 4).cast("int")), fifth))
+    store.merge(R.paper_records(q.where("false"), entry.where("paper_id % 3 = 0").withColumns({"version": F.lit(0), "title": F.lit("old")})))
+    return R.paper_index(store.read(spark))
+
+
 def key_text_lines(spark, sf_dir):
     """Items put together as text, as for a key that is printed in a paper."""
     return L.key_text_from_items(_items(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (format_keys, read_pair_keys, read_tabular_keys, read_sequence_keys, apply_key, unknown_key_numbers, copy_answers_overwrite, copy_answers_fill, toggle_answers, clear_paper_key, keyed_counts, range_selection, missing_numbers, source_papers, library_cards, cascade_delete, catalog_in_library, upsert_records, low_text_documents, scanned_flags, question_lines, key_text_lines, read_key_files, edited_questions, paper_settings, change_feed)}
+QUERIES = {f.__name__: f for f in (format_keys, read_pair_keys, read_tabular_keys, read_sequence_keys, apply_key, unknown_key_numbers, copy_answers_overwrite, copy_answers_fill, toggle_answers, clear_paper_key, keyed_counts, range_selection, missing_numbers, source_papers, library_cards, cascade_delete, catalog_in_library, upsert_records, low_text_documents, scanned_flags, question_lines, key_text_lines, read_key_files, edited_questions, paper_settings, change_feed, stored_papers)}
 
 _Q = with_tables("questions")
 _KEY = _Q + ", k AS (SELECT paper_id, n AS num, CAST((paper_id + n * 7) % 5 AS INT) AS idx FROM (SELECT DISTINCT paper_id FROM questions), (SELECT CAST(unnest(range(1, 61, 3)) AS INT) AS n))"
@@ -249,6 +269,8 @@ SQL = {
     "paper_settings": _Q + """ SELECT paper_id, count(*) AS questions, CAST(CASE WHEN paper_id % 4 = 0 THEN 90 ELSE greatest(5, floor(count(*) * 0.8::DOUBLE + 0.5)) END AS BIGINT) AS minutes, 1.0::DOUBLE AS plus, 0.33::DOUBLE AS minus FROM questions GROUP BY paper_id""",
     "change_feed": """SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS value FROM orders
   WHERE NOT CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 7 = 0 WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 = 0 ELSE false END""",
+    "stored_papers": _Q + """ SELECT paper_id, 'Paper ' || paper_id AS title, '' AS note, CASE WHEN paper_id % 5 = 0 THEN 'copied' ELSE 'printed' END AS key_source, CAST(count(*) AS INT) AS questions,
+  CAST(CASE WHEN paper_id % 5 = 0 THEN count(*) ELSE count(answer) END AS INT) AS keyed FROM questions WHERE paper_id % 10 <> 5 GROUP BY paper_id""",
     "question_lines": _Q + " SELECT qid, num || '. ' || text || chr(10) || '   (a) ' || options[1] || chr(10) || '   (b) ' || options[2] || chr(10) || '   (c) ' || options[3] || chr(10) || '   (d) ' || options[4] AS lines FROM questions",
     "key_text_lines": _ITEMS + """, l AS (SELECT doc_id, page, floor(baseline / 4 + 0.5) AS r, string_agg(str, ' ' ORDER BY x, item_no, str) AS line FROM i GROUP BY ALL),
   d AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY page, r) AS text FROM l GROUP BY doc_id) SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INT) AS chars FROM d""",

@@ -10,6 +10,7 @@ from gradeloom.functions.text import numbered_paragraph, question_type, title_fr
 from gradeloom.operators import scoring as S
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
+from gradeloom.sources.scratch import stored
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,15 @@ def score_attempts(spark, sf_dir):
     return S.totals(rows(spark, sf_dir), T.attempts(spark, sf_dir))
 
 
+def rescored_attempts(spark, sf_dir):
+    """score_attempts after one question in 97 got another answer and one in 89 was removed: stored totals, mended where needed."""
+    before = T.questions(spark, sf_dir)
+    other = F.when(F.col("qid") % 97 == 5, F.when(F.col("answer").isNull(), 2).otherwise((F.col("answer") + 1) % 4)).otherwise(F.col("answer"))
+    after = before.withColumn("answer", other.cast(before.schema["answer"].dataType)).where("qid % 89 != 7")
+    totals = stored(score_attempts(spark, sf_dir), "totals")
+    return S.rescore(totals, T.attempt_items(spark, sf_dir), T.attempts(spark, sf_dir), before, after)
+
+
 def report_time_review(spark, sf_dir):
     """Time, marked, changed and unvisited statistics of every attempt."""
     return S.time_and_review(rows(spark, sf_dir), T.attempts(spark, sf_dir))
@@ -106,13 +116,17 @@ def scalar_formats(spark, sf_dir):
 
 
 QUERIES = {
-    f.__name__: f for f in (score_attempts, report_time_review, report_by_type, slowest_questions, attempt_history, latest_attempts, live_attempts, palette_counts, review_wrong, review_changed, shuffled_order, question_types, scalar_formats)
+    f.__name__: f for f in (score_attempts, rescored_attempts, report_time_review, report_by_type, slowest_questions, attempt_history, latest_attempts, live_attempts, palette_counts, review_wrong, review_changed, shuffled_order, question_types, scalar_formats)
 }
 
 _REVIEW = ROWS + """ SELECT attempt_id, qid, status, time, row_number() OVER (PARTITION BY attempt_id ORDER BY idx) AS by_order,
   row_number() OVER (PARTITION BY attempt_id ORDER BY time DESC, idx) AS by_time FROM r WHERE """
 
+_AFTER = TOTALS.replace("typed AS (SELECT qid, answer,", "typed AS (SELECT qid, CASE WHEN qid % 97 = 5 THEN CASE WHEN answer IS NULL THEN 2 ELSE (answer + 1) % 4 END ELSE answer END AS answer,").replace(
+    "AS type FROM questions)", "AS type FROM questions WHERE qid % 89 <> 7)")
+
 SQL = {
+    "rescored_attempts": _AFTER + " SELECT *, CASE WHEN max <> 0 THEN floor(score / max * 1000 + 0.5) / 10 END AS percent FROM t",
     "score_attempts": TOTALS + " SELECT *, CASE WHEN max <> 0 THEN floor(score / max * 1000 + 0.5) / 10 END AS percent FROM t",
     "report_time_review": ROWS + """ SELECT attempt_id, bool_or(time > 0) AS tracked, CAST(floor(avg(time) FILTER (resp IS NOT NULL) + 0.5) AS BIGINT) AS per_answered,
   CAST(floor(avg(time) FILTER (r.status = 'correct') + 0.5) AS BIGINT) AS per_correct, CAST(floor(avg(time) FILTER (r.status = 'wrong') + 0.5) AS BIGINT) AS per_wrong, count_if(time > 120) AS over_2min,

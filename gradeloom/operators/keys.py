@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import label_index
+from gradeloom.functions.text import SPACES, label_index, let, trimmed
 
-# Fixed value: a question number and the label after it.
-PAIR = r"(?:^|[^\w(])Q?\.?\s*(\d{1,3})\s*[.):\-=–]?\s*\(?\s*([a-eA-E1-5])\s*\)?(?![\w])"
+# Fixed value: a question number and the label after it, with white space of any script between.
+PAIR = r"(?:^|[^\w(])Q?\.?\s*(\d{1,3})\s*[.):\-=–]?\s*\(?\s*([a-eA-E1-5])\s*\)?(?![\w])".replace(r"\s", SPACES)
+#: What stands between the cells of a table, and between the labels of a sequence.
+CELLS, LABELS = (f"[{SPACES[1:-1]}{more}]+" for more in (",|", ",;|"))
 KEY = "array<struct<num:int,idx:int>>"
 
 
@@ -30,20 +32,21 @@ def read_pairs(text: Column) -> Column:
 
 def read_tabular(text: Column) -> Column:
     """A line of two or more numbers, then a line of as many letters; later tables overrule earlier ones."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != "")
 
-    def table(line: Column, i: Column) -> Column:
-        nums = F.split(line, r"[\s,|]+")
-        labels = F.transform(F.split(F.coalesce(F.get(lines, i + 1), F.lit("")), r"[\s,|]+"), lambda x: F.regexp_replace(x, "[()]", ""))
+    def table(line: Column, below: Column) -> Column:
+        nums = F.split(line, CELLS)
+        labels = F.transform(F.split(F.coalesce(below, F.lit("")), CELLS), lambda x: F.regexp_replace(x, "[()]", ""))
         fits = (F.size(nums) >= 2) & (F.size(nums) == F.size(labels)) & F.forall(nums, lambda n: n.rlike(r"^\d{1,3}$")) & F.forall(labels, lambda x: x.rlike("^[a-eA-E]$"))
         return F.when(fits, F.zip_with(nums, labels, _entry)).otherwise(F.array().cast(KEY))
 
-    return F.reverse(_first(F.reverse(F.flatten(F.transform(lines, table)))))
+    tables = let(lines, lambda rows: F.flatten(F.zip_with(rows, F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), table)))
+    return let(F.reverse(tables), lambda found: F.reverse(_first(found)))
 
 
 def read_sequence(text: Column) -> Column:
     """A run of three or more letters, or only labels, for questions 1, 2, 3 and so on."""
-    tokens = F.filter(F.split(text, r"[\s,;|]+"), lambda t: t != "")
+    tokens = F.filter(F.split(text, LABELS), lambda t: t != "")
     alone = (F.size(tokens) == 1) & F.element_at(tokens, 1).rlike("^[a-eA-E]{3,}$")
     several = (F.size(tokens) > 1) & F.forall(tokens, lambda t: t.rlike(r"^\(?[a-eA-E1-5]\)?$"))
     bare = F.transform(tokens, lambda t: F.regexp_replace(t, "[()]", ""))

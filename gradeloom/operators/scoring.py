@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.numbers import cents, half_up, percent
 from gradeloom.functions.text import numbered_paragraph, question_type
+from gradeloom.sources.scratch import stored
 
 
 def score_rows(items: DataFrame, questions: DataFrame) -> DataFrame:
@@ -42,6 +43,24 @@ def totals(rows: DataFrame, attempts: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.when(F.col("max") != 0, half_up(F.col("score") / F.col("max") * 1000) / F.lit(10.0))).drop("plus", "minus")
 
 
+def changed_questions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """qid of the questions that one key has and the other lacks, or whose answers differ."""
+    a, b = before.select("qid", F.struct("answer").alias("a")), after.select("qid", F.struct("answer").alias("b"))
+    return a.join(b, "qid", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("qid").distinct()
+
+
+def rescore(scores: DataFrame, items: DataFrame, attempts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """totals() after the questions before became those after, from the stored totals before.
+
+    Only attempts with a changed question are scored anew, so what is read of items in full and joined are theirs;
+    all other totals stay. Attempts none of whose questions are left have no row, as in totals().
+    """
+    touched = items.join(changed_questions(before, after), "qid", "left_semi").select("attempt_id").distinct()
+    touched = stored(touched, "touched")
+    own = items.join(touched, "attempt_id", "left_semi")
+    return scores.join(touched, "attempt_id", "left_anti").unionByName(totals(score_rows(own, after), attempts).select(scores.columns))
+
+
 def time_and_review(rows: DataFrame, attempts: DataFrame) -> DataFrame:
     """One row for each attempt: time statistics, marked, changed and unvisited questions, time used."""
 

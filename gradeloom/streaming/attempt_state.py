@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from gradeloom.operators.records import apply_feed
+
 STATE = "response INT, changes INT, marked BOOLEAN, events INT"
 OUT = "attempt_id {attempt}, qid {question}, response INT, changes BIGINT, marked BOOLEAN, events BIGINT"
 LIFE = "attempt_id {attempt}, status STRING, started_at TIMESTAMP, ends_at TIMESTAMP, submitted_at TIMESTAMP, time_used_sec INT, auto_submitted BOOLEAN, visited INT, current {question}, seconds DOUBLE, events BIGINT"
@@ -217,25 +219,6 @@ def run_available(stream: DataFrame, folder: str, key: tuple[str, ...] = ("attem
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "batch")
 
 
-def apply_feed(table: DataFrame, feed: DataFrame, key: str, version: str = "version", removed: str = "removed") -> DataFrame:
-    """A table of versioned records after a batch of its change feed: of each key the latest version stays.
-
-    The table keeps versions, and removed records as rows of their own (see present), so a later batch with an older
-    version has no effect, and the order of batches none at all: of equal versions a removal precedes, then
-    the greater record. Rows without a version precede all others; removed counts as false where it is null.
-    A table without these columns holds records of no version.
-    """
-    own = table.withColumns({c: F.lit(None).cast(feed.schema[c].dataType) for c in (version, removed) if c not in table.columns})
-    both = own.unionByName(feed.select(own.columns)).withColumn(removed, F.coalesce(removed, F.lit(False)))
-    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col(removed).desc(), F.struct(*sorted(set(own.columns) - {key, version, removed})).desc())
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
-def present(table: DataFrame, version: str = "version", removed: str = "removed") -> DataFrame:
-    """The records of a versioned table that are not removed, without the two columns."""
-    return table.where(~F.coalesce(removed, F.lit(False))).drop(version, removed)
-
-
 def watch(stream: DataFrame, read_table, write_table, key: str, checkpoint: str):
     """Start a query that merges each batch of a change feed into a versioned table."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: write_table(apply_feed(read_table(batch.sparkSession), batch, key))).start()

@@ -47,3 +47,11 @@ def test_visits_and_events_after_the_end(spark):
     assert {r.attempt_id: (r.visited, r.current) for r in E.visited(df).collect()} == {1: (3, 6), 3: (2, 2)}
     ends = df.select("attempt_id", F.timestamp_seconds(F.lit(20)).alias("ends_at")).distinct()
     assert {r.attempt_id: (r.visited, r.current) for r in E.visited(E.in_time(df, ends)).collect()} == {1: (2, 5), 3: (1, 1)}
+
+
+def test_ended_attempts_stay_marked(spark):
+    rows = spark.createDataFrame([(1, "in-progress", 60), (2, "in-progress", 10**6)], "attempt_id long, status string, duration_sec int")
+    rows = rows.withColumns({"started_at": F.timestamp_seconds(F.lit(0)), "submitted_at": F.lit(None).cast("timestamp"), "time_used_sec": F.lit(None).cast("int")})
+    once = E.expire(rows, F.timestamp_seconds(F.lit(100)))
+    for df in (once, E.expire(once, F.timestamp_seconds(F.lit(100)))):
+        assert {r.attempt_id: (r.status, r.auto_submitted) for r in df.collect()} == {1: ("submitted", True), 2: ("in-progress", False)}

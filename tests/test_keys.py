@@ -66,3 +66,16 @@ def test_stems_to_edit_and_back(spark):
     r = df.first()
     assert [(b.type, b.text, b.rows) for b in r.s] == [("p", "First.", None), ("table", None, [["A", "b"], ["C", "d"], ["Last", "not a table row?"]])]
     assert r.back == "First.\nA | b\nC | d\nLast | not a table row?"
+
+
+def test_white_space_of_any_script(spark):
+    """Pasted keys hold no-break, wide and narrow spaces; a vertical tab and a byte order mark are white space, too."""
+    cases = {
+        "1 - a, 2 - c": [(1, 0), (2, 2)], "b d a　c": [(1, 1), (2, 3), (3, 0), (4, 2)], "1 2 3 9\n﻿ b d\x0ba c  ": [(1, 1), (2, 3), (3, 0), (9, 2)],
+        "Q7. (b) Q8: d": [(7, 1), (8, 3)],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "paper_id int, text string")
+    got = {}
+    for r in K.key_rows(rows).collect():
+        got.setdefault(r.paper_id, []).append((r.num, r.idx))
+    assert {i: sorted(v) for i, v in got.items()} == dict(enumerate(cases.values()))

@@ -64,3 +64,19 @@ def test_numbered_paragraphs_are_statements(spark):
     q = spark.createDataFrame(rows, f"qid int, answer int, text string, stem {stem}")
     items = spark.createDataFrame([(9, i, i, 0, 1.0, 0) for i in (1, 2, 3)], "attempt_id int, idx int, qid int, resp int, time_s double, changes int")
     assert {r.qid: r.type for r in S.score_rows(items, q).collect()} == {1: "Statements", 2: "Direct question", 3: "Match the lists"}
+
+
+def test_rescoring_equals_the_full_run(spark):
+    """Changed, new, removed and untouched questions; attempts without any of them keep their stored totals."""
+    items = spark.createDataFrame([(a, i, 10 * (a % 3) + i, i % 3, False, True, 1.0, 0) for a in range(12) for i in range(5)], "attempt_id long, idx int, qid long, resp int, marked boolean, visited boolean, time_s double, changes int")
+    attempts = spark.createDataFrame([(a, 1.0, 0.25) for a in range(12)], "attempt_id long, plus double, minus double")
+    before = spark.createDataFrame([(q, q % 3, "Who?") for q in range(24)], "qid long, answer int, text string")
+    after = before.where("qid != 11").withColumn("answer", F.when(F.col("qid") == 12, F.lit(None)).otherwise(F.col("answer"))).union(spark.createDataFrame([(24, 1, "New?")], before.schema))
+    stored = S.totals(S.score_rows(items, before), attempts)
+    assert {r.qid for r in S.changed_questions(before, after).collect()} == {11, 12, 24}
+    marked = stored.withColumn("gained", F.when(F.col("attempt_id") % 3 == 0, F.lit(-1.0)).otherwise(F.col("gained")))  # of attempts that are not touched
+    got = {r.attempt_id: r for r in S.rescore(marked, items, attempts, before, after).collect()}
+    want = {r.attempt_id: r for r in S.totals(S.score_rows(items, after), attempts).collect()}
+    assert got.keys() == want.keys()
+    for a, r in got.items():
+        assert (r.gained == -1.0) if a % 3 == 0 else r == want[a]
