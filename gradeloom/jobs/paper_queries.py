@@ -10,6 +10,7 @@ from gradeloom.operators import extraction as X
 from gradeloom.operators import layout as L
 from gradeloom.operators.keys import apply_printed_key
 from gradeloom.operators.library import low_text
+from gradeloom.operators.nearest import nearest_left
 from gradeloom.sources import exam_tables as T
 from gradeloom.sources.exam_tables import with_tables
 
@@ -91,6 +92,24 @@ def squeezed_titles(spark, sf_dir):
     return p.select("p_partkey", squeeze(F.trim(spaced)).alias("closed"), squeeze(F.concat(F.lit("(\u00a0a ) \u3000"), "p_name")).alias("label"))
 
 
+def _columns(items: DataFrame) -> DataFrame:
+    """Every other paper with its questions in two columns, narrower than the printed ones."""
+    two, right = F.col("doc_id") % 2 == 0, F.floor(F.col("item_no") / 10) % 2 == 1
+    return items.withColumns({"x": F.when(two, F.col("x") * 0.5 + F.when(right, 300.0).otherwise(0.0)).otherwise(F.col("x")), "w": F.when(two, F.least(F.col("w") * 0.5, F.lit(250.0))).otherwise(F.col("w"))})
+
+
+def page_gutters(spark, sf_dir):
+    """The gutter of every page that has one."""
+    return L.gutters(_columns(printed(spark, sf_dir)))
+
+
+def nearest_markers(spark, sf_dir):
+    """For the even lines of every order the odd line at or left of their price, by eight and more: continuations and their options."""
+    i = T.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("x"))
+    runs, marks = i.where("line % 2 = 0"), i.where("line % 2 = 1")
+    return nearest_left(runs, marks, ["question"], F.col("x") + 8, F.col("x"), F.col("line"))
+
+
 def kept_items(spark, sf_dir):
     """Items of every page that no repeated header or footer is."""
     items = _items(spark, sf_dir)
@@ -134,7 +153,7 @@ def upright_items(spark, sf_dir):
     return g.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("w"), 6).alias("w"), F.round(F.sum("baseline"), 6).alias("baseline"), F.round(F.sum("size"), 6).alias("size"), F.round(F.sum("x"), 6).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_questions, extracted_stats, printed_keys, question_regions, english_scores, squeezed_titles, kept_items, order_statistics, line_gaps, page_boxes, low_text_papers, upright_items)}
+QUERIES = {f.__name__: f for f in (extracted_questions, extracted_stats, printed_keys, question_regions, english_scores, squeezed_titles, kept_items, order_statistics, line_gaps, page_boxes, low_text_papers, upright_items, page_gutters, nearest_markers)}
 
 _I = """WITH i AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, CAST(l_partkey % 56 * 10 AS DOUBLE) AS x, l_quantity * 2 AS w, CAST(40 + 18 * (l_orderkey % 40) AS DOUBLE) AS baseline,
   l_orderkey * 100000 + l_partkey AS item_no, p_name AS str FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem) JOIN part ON p_partkey = l_partkey)"""
@@ -150,6 +169,17 @@ SQL = {
   g AS (SELECT paper_id, pos // 6 AS page, max(x2) AS r FROM l GROUP BY ALL), m AS (SELECT paper_id, list_sort(list(r))[len(list(r)) // 2 + 1] AS col_right FROM g GROUP BY paper_id), b AS (SELECT paper_id, pos, max(x2) AS x2 FROM l WHERE shown GROUP BY ALL)
   SELECT paper_id, CAST(pos + 1 AS INT) AS num, CAST(pos // 6 + 1 AS INT) AS page, 56.0::DOUBLE AS x0, round(least(612, greatest(col_right, b.x2) + 4), 6) AS x1, round(t - 15, 6) AS y0, round(t + 64 + 0.3::DOUBLE * 11 + 4, 6) AS y1
   FROM q JOIN b USING (paper_id, pos) JOIN m USING (paper_id)""",
+    "nearest_markers": """WITH i AS (SELECT l_orderkey AS question, l_linenumber AS line, l_extendedprice AS x FROM lineitem)
+  SELECT l.question, l.line, l.x, arg_max(r.line, (r.x, r.line)) AS nearest FROM i l LEFT JOIN i r ON r.question = l.question AND r.line % 2 = 1 AND r.x <= l.x + 8 WHERE l.line % 2 = 0 GROUP BY ALL""",
+    "page_gutters": with_tables("questions") + """, s AS (SELECT paper_id, pos, 60.0::DOUBLE AS x, pos + 1 || '. ' || text AS s FROM questions UNION ALL SELECT paper_id, pos, 82, '(a) ' || unnest(options) FROM questions
+    UNION ALL SELECT paper_id, pos, 77, 'Answer: (a)' FROM questions WHERE answer IS NOT NULL),
+  i AS (SELECT paper_id AS doc_id, CAST(pos // 6 + 1 AS INT) AS page, CASE WHEN paper_id % 2 = 0 THEN x * 0.5::DOUBLE + CASE WHEN pos % 2 = 1 THEN 300 ELSE 0 END ELSE x END AS x, CASE WHEN paper_id % 2 = 0 THEN least(length(s) * 2.5::DOUBLE, 250) ELSE length(s) * 5.0::DOUBLE END AS w FROM s),
+  n AS (SELECT doc_id, page, count(*) AS n, sum(w) AS all_w FROM i GROUP BY ALL),
+  c AS (SELECT doc_id, page, p, count_if(floor(x) <= p AND p < ceil(x + w)) AS cover FROM i, (SELECT unnest(range(171, 442)) AS p) GROUP BY ALL),
+  f AS (SELECT doc_id, page, p, p - row_number() OVER (PARTITION BY doc_id, page ORDER BY p) AS island FROM c JOIN n USING (doc_id, page) WHERE n >= 12 AND cover <= n // 100),
+  g AS (SELECT doc_id, page, min(p) AS a, max(p) + 1 AS b, (min(p) + max(p) + 1) / 2.0::DOUBLE AS middle FROM f GROUP BY doc_id, page, island HAVING max(p) + 1 - min(p) >= 4),
+  t AS (SELECT g.doc_id, g.page, a, b, middle, all_w, sum(w) FILTER (x < middle) AS left_w FROM g JOIN n USING (doc_id, page) JOIN i USING (doc_id, page) GROUP BY ALL)
+  SELECT doc_id, page, middle FROM t WHERE least(left_w, all_w - left_w) >= 0.15::DOUBLE * all_w QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY b - a - abs(middle - 306) * 0.25::DOUBLE DESC, a) = 1""",
     "english_scores": f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w, len(regexp_extract_all(text, '[A-Za-zऀ-ॿ]')) AS letters, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS dev, len(regexp_extract_all(text, '\\S')) AS seen FROM documents)
   SELECT doc_id, round(CASE WHEN letters = 0 THEN NULL WHEN dev::DOUBLE / letters > 0.3 THEN 0.0 WHEN len(w) > 0 THEN len(list_filter(w, lambda x: lower(x) IN ({_STOP})))::DOUBLE / len(w) END, 9) AS score, CASE WHEN seen > 0 THEN dev::DOUBLE / seen ELSE 0.0 END AS share FROM d""",
     "squeezed_titles": "SELECT p_partkey, replace(p_name, ' ', '') AS closed, '(a) ' || p_name AS label FROM part",
