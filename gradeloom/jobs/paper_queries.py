@@ -98,6 +98,35 @@ def _columns(items: DataFrame) -> DataFrame:
     return items.withColumns({"x": F.when(two, F.col("x") * 0.5 + F.when(right, 300.0).otherwise(0.0)).otherwise(F.col("x")), "w": F.when(two, F.least(F.col("w") * 0.5, F.lit(250.0))).otherwise(F.col("w"))})
 
 
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed papers in other editions: even ones in two columns, all with page numbers, every third with a page in Hindi after each second page."""
+    items, place = printed(spark, sf_dir), F.floor(F.col("item_no") / 10) % ON_PAGE
+    two, right = F.col("doc_id") % 2 == 0, place >= ON_PAGE / 2
+    items = items.withColumns({
+        "baseline": F.when(two & right, F.col("baseline") - ON_PAGE / 2 * 98).otherwise(F.col("baseline")), "w": F.when(two, F.least(F.col("w") * 0.5, F.lit(250.0))).otherwise(F.col("w")),
+        "x": F.when(two, F.col("x") * 0.5 + F.when(right, 300.0).otherwise(0.0)).otherwise(F.col("x")), "page": F.when(F.col("doc_id") % 3 == 0, F.col("page") + F.floor((F.col("page") - 1) / 2).cast("int")).otherwise(F.col("page")),
+    })
+    sheets = items.select("doc_id", "page", "page_width", "page_height").distinct()
+    foot = sheets.select("*", F.lit(9001).alias("item_no"), F.concat(F.lit("Page "), "page").alias("str"), F.lit(290.0).alias("x"), F.lit(30.0).alias("w"), F.lit(780.0).alias("baseline"), F.lit(11.0).alias("size"))
+    hindi = sheets.where("doc_id % 3 = 0 AND page % 3 = 2").withColumn("page", F.col("page") + 1).select("*", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("item_no"))
+    hindi = hindi.select("*", F.concat(F.col("item_no").cast("string"), F.lit(". भारत की राजधानी क्या है और कौन सा कथन सही है "), F.col("page").cast("string")).alias("str"), F.lit(60.0).alias("x"), F.lit(280.0).alias("w"), (F.col("item_no") * 40.0 + 100).alias("baseline"), F.lit(11.0).alias("size"))
+    return items.unionByName(foot).unionByName(hindi)
+
+
+def extracted_editions(spark, sf_dir):
+    """Questions read back from the other editions."""
+    asked, _ = X.extract(editions(spark, sf_dir))
+    return asked.select(F.col("doc_id").alias("paper_id"), "num", "qid", F.get("stem", F.lit(0))["text"].alias("text"), F.array_join("options", "|").alias("options"), "answer")
+
+
+def edition_stats(spark, sf_dir):
+    """Counts of the other editions, with the pages that Hindi stands on."""
+    items = editions(spark, sf_dir)
+    asked, _ = X.extract(items)
+    s = X.paper_stats(asked, items)
+    return s.select(F.col("doc_id").alias("paper_id"), "pages", "found", F.size("missing").alias("missing"), "skipped", "with_warnings", "low_quality")
+
+
 def page_gutters(spark, sf_dir):
     """The gutter of every page that has one."""
     return L.gutters(_columns(printed(spark, sf_dir)))
@@ -153,7 +182,7 @@ def upright_items(spark, sf_dir):
     return g.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("w"), 6).alias("w"), F.round(F.sum("baseline"), 6).alias("baseline"), F.round(F.sum("size"), 6).alias("size"), F.round(F.sum("x"), 6).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_questions, extracted_stats, printed_keys, question_regions, english_scores, squeezed_titles, kept_items, order_statistics, line_gaps, page_boxes, low_text_papers, upright_items, page_gutters, nearest_markers)}
+QUERIES = {f.__name__: f for f in (extracted_questions, extracted_stats, printed_keys, question_regions, english_scores, squeezed_titles, kept_items, order_statistics, line_gaps, page_boxes, low_text_papers, upright_items, page_gutters, nearest_markers, extracted_editions, edition_stats)}
 
 _I = """WITH i AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, CAST(l_partkey % 56 * 10 AS DOUBLE) AS x, l_quantity * 2 AS w, CAST(40 + 18 * (l_orderkey % 40) AS DOUBLE) AS baseline,
   l_orderkey * 100000 + l_partkey AS item_no, p_name AS str FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem) JOIN part ON p_partkey = l_partkey)"""
@@ -162,6 +191,10 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(set(ENGLISH_WORDS)))
 SQL = {
     "extracted_questions": with_tables("questions") + " SELECT paper_id, CAST(pos + 1 AS INT) AS num, text, array_to_string(options, '|') AS options, CAST(answer AS INT) AS answer FROM questions",
     "extracted_stats": with_tables("questions") + " SELECT paper_id, count(DISTINCT pos // 6) AS pages, count(*) AS found, 0 AS missing, 0::BIGINT AS with_warnings, false AS low_quality FROM questions GROUP BY paper_id",
+    "extracted_editions": with_tables("questions") + " SELECT paper_id, CAST(pos + 1 AS INT) AS num, 'q' || (pos + 1) || '-' || (row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1) AS qid, text, array_to_string(options, '|') AS options, CAST(answer AS INT) AS answer FROM questions",
+    "edition_stats": with_tables("questions") + """, s AS (SELECT DISTINCT paper_id, CASE WHEN paper_id % 3 = 0 THEN pos // 6 + 1 + (pos // 6) // 2 ELSE pos // 6 + 1 END AS page FROM questions),
+  h AS (SELECT paper_id, count(*) AS n FROM s WHERE paper_id % 3 = 0 AND page % 3 = 2 GROUP BY 1), p AS (SELECT paper_id, count(*) AS n FROM s GROUP BY 1)
+  SELECT q.paper_id, any_value(p.n) + coalesce(any_value(h.n), 0) AS pages, count(*) AS found, 0 AS missing, coalesce(any_value(h.n), 0) AS skipped, 0::BIGINT AS with_warnings, false AS low_quality FROM questions q JOIN p USING (paper_id) LEFT JOIN h USING (paper_id) GROUP BY q.paper_id""",
     "printed_keys": with_tables("questions") + " SELECT paper_id, CAST(pos + 1 AS INT) AS num, CAST((answer + 1) % 4 AS INT) AS answer FROM questions",
     "question_regions": with_tables("questions") + """, q AS (SELECT paper_id, pos, 100 + pos / 50.0::DOUBLE * 40 + pos % 6 * 98 AS t, pos + 1 || '. ' || text AS s, options, answer FROM questions),
   l AS (SELECT paper_id, pos, 60 + 5.0::DOUBLE * length(s) AS x2, true AS shown FROM q UNION ALL SELECT paper_id, pos, 82 + 5.0::DOUBLE * (4 + length(unnest(options))), true FROM q
