@@ -197,21 +197,26 @@ def _examples(sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return made.select("id", F.concat("e.left", "e.own", "e.right").alias("text"), start.alias("start"), (start + F.char_length("e.own")).alias("end"), "e.label")
 
 
+def sampled(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """(id, text): the rows of least id hash, then least text hash, `rows` at most; of equal rows one."""
+    hashed = docs.select(id_col, text_col, F.xxhash64(id_col).alias("_by_id"), F.xxhash64(text_col).alias("_by_text"))
+    chosen = hashed.select("_by_id", "_by_text").orderBy("_by_id", "_by_text").limit(rows).distinct()
+    return hashed.join(F.broadcast(chosen), ["_by_id", "_by_text"], "left_semi").dropDuplicates(["_by_id", "_by_text"]).select(id_col, text_col)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, precision: float = 0.98) -> Trees | None:
     """Fit trees to tell candidates that are personal data from the rest.
 
     Personal data are base spans rewritten so that no base rule matches them (masked mails, national phones);
     the rest are the candidates that touch no base span, and other things written alike. Candidates that touch
-    a base span are not for the trees to decide and teach nothing. Training takes the sample_rows rows of least
-    id hash; the candidates of a quarter of the ids are held out to calibrate: the threshold is the lowest
-    score above which at least this share of them is personal data, also within each twentieth. None where the sample has only one class.
+    a base span are not for the trees to decide and teach nothing. Training takes sample_rows rows at most, those
+    of least id hash (see sampled), whatever ids repeat; the candidates of a quarter of the ids are held out to calibrate: the threshold is the lowest
+    score above which at least this share of them is personal data, also within each twentieth. None where the sample has only one class, as that of an empty table.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    chosen = docs.select(id_col).orderBy(F.xxhash64(id_col)).limit(sample_rows).distinct()
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col, "left_semi")
-    sample = saved(sample, "pii_texts")
+    sample = saved(sampled(docs, id_col, text_col, sample_rows), "pii_texts")
     found = with_candidates(sample, text_col).select(F.col(id_col).alias("id"), F.explode("candidates").alias("c"), F.lit(0.0).alias("label"))
     made = with_candidates(saved(_examples(sample, id_col, text_col), "pii_examples")).select("id", "start", "end", F.explode("candidates").alias("c"), "label")
     made = made.where((F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end"))).select("id", "c", "label")
