@@ -69,12 +69,24 @@ def alias_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.select(F.col("key").alias("u"), canonical_key(to).alias("v"))
 
 
+def _node(written: bool, name: Column) -> Column:
+    """A node of the address graph: a url as written, or a canonical address. Canonical ones are the smaller."""
+    return F.struct(F.lit(int(written)).alias("written"), name.alias("name"))
+
+
+def address_links(page: DataFrame, html: str = "html") -> DataFrame:
+    """(u, v) nodes: each url as written to its canonical address, and canonical addresses to those that their pages name."""
+    written = page.where(F.col("_key").isNotNull()).select(_node(True, F.col("_written")).alias("u"), _node(False, F.col("_key")).alias("v")).distinct()
+    named = alias_links(page, html).where(F.col("v").isNotNull())
+    return written.unionByName(named.select(_node(False, F.col("u")).alias("u"), _node(False, F.col("v")).alias("v")))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html") -> DataFrame:
     """Judge every page: adds url_host, url_path, rule, verdict and component.
 
     A page whose url a rule fits gets the longest rule's verdict. Any other page takes the decision of
-    its aliases: pages with the same canonical address, and those joined to them by canonical links and
-    redirects (connected components). There an explicit allow precedes a block; without either the page
+    its aliases: urls joined to its own by canonical addresses, canonical links and redirects
+    (connected components, named by their least canonical address). There an explicit allow precedes a block; without either the page
     is allowed. rules is a list in the driver and small by contract; pages meet only summed decisions.
     Null or odd urls have empty host and path, no rule and no alias. Repeated rows keep their rows; columns
     of the added names are replaced, others but html stay; long urls are taken whole; an empty table gives no rows.
@@ -82,17 +94,16 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     page = with_host_path(pages, url)
     page = page.withColumn("_key", canonical_key(F.col(url)))
     rule, verdict = rule_columns(rules)
-    page = page.withColumns({"rule": rule, "_own": verdict})
-    label = connected_components(alias_links(page, html))
-    keys = page.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("key")).agg(F.max(F.col("_own") == "block").alias("blocked"), F.max(F.col("_own") == "allow").alias("allowed"))
-    keys = keys.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    keys = saved(keys, "url_keys")
-    decided = keys.groupBy("component").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
-    decided = decided.where("blocked and not coalesce(allowed, false)").select("component", F.lit("block").alias("alias_verdict"))
-    by_key = keys.select("key", "component").join(decided, "component", "left").where("alias_verdict is not null or component != key")
-    by_key = by_key.select(F.col("key").alias("_key"), F.col("component").alias("_component"), F.col("alias_verdict").alias("_alias"))
-    out = page.drop(html).join(by_key, "_key", "left")
-    return out.withColumn("verdict", F.coalesce("_own", "_alias", F.lit("allow"))).withColumn("component", F.coalesce("_component", "_key")).drop("_own", "_alias", "_key", "_component")
+    page = page.withColumns({"rule": rule, "_own": verdict, "_written": F.when(F.col("_key").isNotNull(), F.col(url))})
+    label = connected_components(address_links(page, html))
+    own = page.where(F.col("_key").isNotNull()).groupBy("_written", "_key").agg(F.max(F.col("_own") == "block").alias("blocked"), F.max(F.col("_own") == "allow").alias("allowed"))
+    urls = saved(own.withColumn("node", _node(True, F.col("_written"))).join(label, "node").drop("node"), "url_nodes")
+    decided = urls.groupBy("component").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
+    decided = decided.where("blocked and not coalesce(allowed, false)").select("component", F.lit("block").alias("_alias"))
+    told = urls.join(decided, "component", "left").withColumn("_component", F.col("component.name"))
+    told = told.where("_alias is not null or _component != _key").select("_written", "_component", "_alias")
+    out = page.drop(html).join(told, "_written", "left")
+    return out.withColumn("verdict", F.coalesce("_own", "_alias", F.lit("allow"))).withColumn("component", F.coalesce("_component", "_key")).drop("_own", "_alias", "_key", "_written", "_component")
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:
