@@ -23,7 +23,8 @@ SHINGLE, SIMILARITY, MISS, COORDINATES = 5, 0.8, 1e-4, 128
 SMALL = 32
 #: Rounds in which large groups are split by what their members have beyond the head.
 PRUNED = 2
-
+#: Most keys for which a sketch tells those of one member from shared ones, and slots in a chunk of it.
+SKETCHED, CHUNK = 2**27, 2**19
 
 
 def banding(least: float = SIMILARITY) -> tuple[int, int]:
@@ -233,6 +234,70 @@ def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) ->
     return rows.mapInArrow(work, "u binary, v binary, u_pop long, pop long, linked boolean, open boolean, limit double, weight long, keys array<long>")
 
 
+def shared_keys(members: DataFrame) -> DataFrame:
+    """members (keys and other columns) without the keys that no other row holds; keys of a row are distinct.
+
+    A key of one member makes no pair, and most are such. They are told by a sketch before they become rows:
+    keys fall on slots, eight or more for each, and a slot met once holds no shared key. The slots met twice are at most
+    SKETCHED bits (16 MB), the only thing that passes the driver. A slot may be met twice by chance, which leaves a key
+    that pairs nothing; a shared key is never taken away. With more keys than SKETCHED all of them stay.
+    """
+    spark = members.sparkSession
+    total = members.agg(F.sum(F.size("keys"))).first()[0] or 0
+    if not 0 < total <= SKETCHED:
+        return members
+    bits = min(max(8 * total - 1, CHUNK).bit_length(), SKETCHED.bit_length() - 1)
+
+    def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _mix(keys.view(np.uint64)) >> np.uint64(64 - bits)
+        return (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(2**bits // 8, np.uint8), np.zeros(2**bits // 8, np.uint8)
+        for batch in batches:
+            keys, times = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            place, bit = slots(keys)
+            # Keys that share a slot within a batch count as well: all but one of each slot are told by their order.
+            _, first = np.unique(place * 8 + np.log2(bit).astype(np.int64), return_index=True)
+            again = (times > 1) | ((once[place] & bit) > 0)
+            again[np.setdiff1d(np.arange(len(keys)), first)] = True
+            np.bitwise_or.at(twice, place[again], bit[again])
+            np.bitwise_or.at(once, place, bit)
+        step = CHUNK // 8
+        for chunk in range(len(once) // step):
+            part = slice(chunk * step, (chunk + 1) * step)
+            if once[part].any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([once[part].tobytes()], pa.binary()), pa.array([twice[part].tobytes()], pa.binary())], names=["chunk", "once", "twice"])
+
+    def merge(found: pa.Table) -> pa.Table:
+        once, twice = np.zeros(CHUNK // 8, np.uint8), np.zeros(CHUNK // 8, np.uint8)
+        for a, b in zip(found.column("once"), found.column("twice"), strict=True):
+            one = np.frombuffer(a.as_py(), np.uint8)
+            twice |= np.frombuffer(b.as_py(), np.uint8) | (once & one)
+            once |= one
+        return pa.table({"chunk": found.column("chunk")[:1], "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    marks = members.select("keys").coalesce(64).mapInArrow(mark, "chunk int, once binary, twice binary")
+    met = np.zeros(2**bits // 8, np.uint8)
+    for row in marks.groupBy("chunk").applyInArrow(merge, "chunk int, twice binary").collect():
+        met[row.chunk * (CHUNK // 8) : (row.chunk + 1) * (CHUNK // 8)] = np.frombuffer(row.twice, np.uint8)
+    known = spark.sparkContext.broadcast(met.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.frombuffer(known.value, np.uint8)
+        for batch in batches:
+            at = batch.schema.get_field_index("keys")
+            keys = batch.column(at)
+            flat, sizes = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
+            place, bit = slots(flat)
+            stays = (met[place] & bit) > 0
+            ends = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], np.cumsum(sizes)])]
+            left = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[stays], pa.int64()))
+            yield batch.set_column(at, "keys", left)
+
+    return members.mapInArrow(keep, members.schema)
+
+
 def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
     """Links (u, v) between similar nodes of groups (key, node, weight); None without groups.
 
@@ -290,7 +355,7 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
             leader = connected_components(linked).withColumnRenamed("component", "leader")
         else:  # nodes with one leader hang together; that is enough for the second round
             leader = saved(linked.groupBy("v").agg(F.max_by("u", F.struct("u_pop", "u")).alias("leader")).withColumnRenamed("v", "node"), "near_leaders")
-        apart = now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys").join(leader, "node", "left").select(F.explode("keys").alias("key"), "node", "weight", "pop", F.lit(float("inf")).alias("limit"), "leader")
+        apart = shared_keys(now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys")).join(leader, "node", "left").select(F.explode("keys").alias("key"), "node", "weight", "pop", F.lit(float("inf")).alias("limit"), "leader")
         rest = rest.join(leader, "node", "left").select("key", "node", "weight", "pop", "limit", "leader").unionByName(apart)
         groups = saved(rest.withColumn("class", F.coalesce("leader", "node")).drop("leader"), "near_rest")
         turn += 1
