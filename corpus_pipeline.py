@@ -65,7 +65,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data replaced by its kind in brackets; n_chars is that of the new text."""
+    """All rows, with personal data replaced by its kind in brackets; n_chars is that of the new text.
+
+    Null texts stay null, with a null n_chars, and empty ones empty; repeated rows and ids keep their rows; long
+    texts are taken whole; other columns stay as they are; an empty table gives no rows.
+    """
     return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
