@@ -6,6 +6,8 @@ Each stage reads what the last one wrote, decides on all of it, and returns rows
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,21 @@ from gradeloom.llm import quality as quality_model
 from gradeloom.llm.common import shared_dir, table
 
 
+#: Rows of an Arrow batch. By default these are 10,000, and an executor holds a batch of texts several times over, beside a full heap.
+BATCH = 1_000
+
+
+def _stage(decide: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose tasks get BATCH rows at a time; the caller runs what it returns, so the session keeps the setting."""
+
+    @wraps(decide)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+        return decide(spark, docs, sf_dir)
+
+    return stage
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with _key, by which decisions on rows are joined back: the id and a hash of the text.
 
@@ -25,6 +42,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, trained on the labelled rows among docs, does not reject.
 
@@ -34,6 +52,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_model.keep_good(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class: that of least doc_id, of several with it that of least text hash.
 
@@ -52,6 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one.unionByName(kept.join(again, "_key", "left_anti").select(docs.columns))
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any benchmark passage.
 
@@ -64,6 +84,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(gone, "_key", "left_anti").select(docs.columns)
 
 
+@_stage
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with personal data replaced by its kind in brackets; n_chars is that of the new text.
 
@@ -73,6 +94,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row and the digests of ids and decoded bytes; null and empty texts have no ids.
 

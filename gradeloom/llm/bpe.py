@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gradeloom.llm.common import forgetful
 from gradeloom.llm.pieces import PieceEncoder, Pieces, slices
 
 NONE = 1 << 62
@@ -198,7 +199,11 @@ def coder(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceEncoder]:
     """One coder for each vocabulary and Python worker."""
     with open(path, "rb") as f:
         bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces, 150_000), bpe.width, 300_000)  # workers keep it between tasks
+    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces, 150_000), bpe.width, 300_000)  # workers keep the vocabulary between tasks, not the memos
+
+
+def _forgetful(path: str, pattern: str):
+    return forgetful(lambda: coder(path, pattern)[1].forget())
 
 
 def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -214,6 +219,7 @@ def _sha256(data: np.ndarray, at: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text, each match of pattern merged separately. Null text has no ids."""
 
+    @_forgetful(path, pattern)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids_of = coder(path, pattern)
         for batch in batches:
@@ -245,6 +251,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     ids, repeated rows and ids keep their rows, other columns are ignored, an empty table gives no rows.
     """
 
+    @_forgetful(path, pattern)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, ids_of = coder(path, pattern)
         for batch in batches:

@@ -55,6 +55,9 @@ class Pieces:
         self.find, self.encode_pieces, self.entries = regex.compile(pattern).findall, encode_pieces, entries
         self.memo: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.memo.clear()
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.find(t) for t in texts]
         if len(self.memo) > self.entries:
@@ -92,6 +95,12 @@ class PieceEncoder:
         words = np.array(list(self.index), object)[kept]
         self._keep(dict(zip(words.tolist(), range(len(kept)))), kept)
 
+    def forget(self) -> None:
+        """Empty the memo, and that of encode if it has one."""
+        self._keep({}, np.empty(0, np.int64))
+        if isinstance(self.encode, Pieces):
+            self.encode.forget()
+
     def _learn(self, new: list[bytes]) -> np.ndarray:
         """Append the ids of new chunks to the memo; their numbers there."""
         alike = [c[:1] == b" " and len(c) > 1 and not _OPEN[c[1]] and not _SPACE[c[-1]] and not _LAST[c[-1]] for c in new]

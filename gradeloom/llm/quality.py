@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import table
+from gradeloom.llm.common import forgetful, table
 from gradeloom.llm.pieces import slices
 
 #: Words share so many vectors (by hash), so the model has one size whatever the corpus; their length;
@@ -49,6 +49,10 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
+def _forget() -> None:
+    _buckets.clear()
+
+
 def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Vector numbers of a text's tokens and of their shapes."""
     tokens = _TOKEN.findall(text.encode()) if text else []
@@ -72,6 +76,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     no task holds more than a share of them. What reaches the driver has a fixed size.
     """
 
+    @forgetful(_forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -194,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.select(id_col, F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64(id_col), "label").limit(rows)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @forgetful(_forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [pooled(t, sent.value).tobytes() for t in batch.column(1).to_pylist()]
@@ -215,6 +221,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @forgetful(_forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value
         for batch in batches:
@@ -230,6 +237,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, Network], threshold: flo
     """The rows of docs, all columns, whose text scores at least threshold. Rows are neither joined nor moved."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @forgetful(_forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value
         for batch in batches:
