@@ -9,10 +9,10 @@ from math import ceil, log, log1p
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import saved, table
+from gradeloom.llm.common import forgetful, saved, table
 from gradeloom.llm.components import connected_components
 from gradeloom.llm.pieces import slices
 from gradeloom.llm.words import words
@@ -23,6 +23,8 @@ SHINGLE, SIMILARITY, MISS, COORDINATES = 5, 0.8, 1e-4, 128
 SMALL = 32
 #: Rounds in which large groups are split by what their members have beyond the head.
 PRUNED = 2
+#: Groups of a node by which a pair that meets in several of them is told to have met before.
+TOLD = 32
 #: Most keys for which a sketch tells those of one member from shared ones, and slots in a chunk of it.
 SKETCHED, CHUNK = 2**27, 2**19
 
@@ -137,6 +139,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     bands, rows_each = banding(least)
 
+    @forgetful()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
@@ -157,6 +160,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 def features(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(node, hashes, counts) of the wanted (node, id), from their whole texts."""
 
+    @forgetful()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
@@ -213,6 +217,7 @@ def compared(pairs: DataFrame, feature: DataFrame, least: float = SIMILARITY) ->
         h = np.frombuffer(hashes, np.uint64)
         return h, np.frombuffer(counts, "<u4").astype(np.int64) if counts else np.ones(len(h), np.int64)
 
+    @forgetful()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, opened, limits, weights, keys = [], [], [], [], []
@@ -252,6 +257,7 @@ def shared_keys(members: DataFrame) -> DataFrame:
         at = _mix(keys.view(np.uint64)) >> np.uint64(64 - bits)
         return (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
 
+    @forgetful()
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(2**bits // 8, np.uint8), np.zeros(2**bits // 8, np.uint8)
         for batch in batches:
@@ -283,6 +289,7 @@ def shared_keys(members: DataFrame) -> DataFrame:
         met[row.chunk * (CHUNK // 8) : (row.chunk + 1) * (CHUNK // 8)] = np.frombuffer(row.twice, np.uint8)
     known = spark.sparkContext.broadcast(met.tobytes())
 
+    @forgetful()
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.frombuffer(known.value, np.uint8)
         for batch in batches:
@@ -298,6 +305,48 @@ def shared_keys(members: DataFrame) -> DataFrame:
     return members.mapInArrow(keep, members.schema)
 
 
+MEMBER = ("node", "class", "weight", "pop", "limit")
+
+
+def _led(h: str, more: tuple[str, ...] = ()) -> list:
+    """The columns of a struct h of a member as those of a head."""
+    return [F.col(f"{h}.{x}").alias("head" if x == "node" else f"head_{x}") for x in (*MEMBER, *more)]
+
+
+def _apart(least: float) -> Column:
+    """Whether a member and a head of other class may be similar enough by their weights.
+
+    No pair whose weights differ more can be; limits come from heads that both were compared with.
+    """
+    close = (F.least("weight", "head_weight") >= least * F.greatest("weight", "head_weight")) & (F.col("weight") <= F.col("head_limit")) & (F.col("head_weight") <= F.col("limit"))
+    return (F.col("class") != F.col("head_class")) & close
+
+
+def placed(large: DataFrame, most: int) -> DataFrame:
+    """Members of groups (key, n, heavy, MEMBER) with place, that of the `most` first of each group, and met.
+
+    met holds the least TOLD of the keys in which the node's limit rules out nobody: two nodes that
+    have such a key in common are compared there.
+    """
+    order = Window.partitionBy("key").orderBy(F.desc("pop"), F.desc("node"))
+    place = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).groupBy("key", "node").agg(F.min("place").alias("place"))
+    met = large.where("limit >= heavy").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, TOLD).alias("met"))
+    return large.join(place, ["key", "node"], "left").join(met, "node", "left")
+
+
+def once(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Rows of placed members, each with a head of its group that stands before it and may be similar.
+
+    Near copies are together in nearly all of their groups. Such a pair is a row only where no key of met that both
+    have comes before that of the group: with that key it is compared, in this round or when one of the two is a
+    head there.
+    """
+    head = members.where("place is not null").select("key", F.struct(*MEMBER, "place", "met").alias("h")).select("key", *_led("h", ("place", "met")))
+    before = F.col("place").isNull() | (F.col("place") > F.col("head_place"))
+    first = F.coalesce(F.array_min(F.array_intersect("met", "head_met")) >= F.col("key"), F.lit(True))
+    return members.join(head, "key").where((F.col("node") != F.col("head")) & before & _apart(least) & first)
+
+
 def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
     """Links (u, v) between similar nodes of groups (key, node, weight); None without groups.
 
@@ -306,22 +355,17 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
     What a member lacks in common with the head rules out most partners at once, and the rest meet in smaller
     groups, named by what they have beyond the head (against_head). Groups whose members hang together
     already are done. Groups of at most SMALL members are compared in full. What of a large group is left
-    after PRUNED rounds is compared with many heads, sixteen times as many in each further round.
+    after PRUNED rounds is compared with many heads, sixteen times as many in each further round. Near copies are
+    together in nearly all of their groups, so there a pair is a row in the first of them only.
     """
 
-    #: No pair whose weights differ more can be similar enough; limits come from heads that both were compared with.
-    close = (F.least("weight", "head_weight") >= least * F.greatest("weight", "head_weight")) & (F.col("weight") <= F.col("head_limit")) & (F.col("head_weight") <= F.col("limit"))
-
-    def led(c: str) -> list:
-        return [F.col(f"h.{x}").alias("head" if x == "node" else f"head_{x}") for x in c.split()]
-
     company = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     popular = groups.join(company, "key").groupBy("node").agg(F.sum("n").alias("pop"))
     groups = groups.join(popular, "node").withColumn("class", F.col("node")).withColumn("limit", F.lit(float("inf")))
-    member = F.struct("node", "class", "weight", "pop", "limit")
+    member = F.struct(*MEMBER)
     told, turn = [], 0
     while True:
-        size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
+        size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.max("weight").alias("heavy"), F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
         groups = saved(groups.join(size, "key"), "near_groups")
         if groups.isEmpty():
             break
@@ -329,16 +373,14 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
         large, split = groups.where(~few), turn < PRUNED
         if split:
             head = large.groupBy("key").agg(F.max_by(member, F.struct("pop", "node")).alias("h"))
+            head = saved(head.select("key", *_led("h")), "near_heads")
+            rows = large.join(head, "key").where(F.col("node") != F.col("head"))
         else:
-            order = Window.partitionBy("key").orderBy(F.desc("pop"), F.desc("node"))
-            head = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 64 * 16 ** (turn - PRUNED)).select("key", member.alias("h"))
-        head = saved(head.select("key", *led("node class weight pop limit")), "near_heads")
-        rows = large.join(head, "key").where(F.col("node") != F.col("head"))
-        if not split:
-            rows = rows.where((F.col("class") != F.col("head_class")) & close)
+            large = saved(placed(large, 64 * 16 ** (turn - PRUNED)), "near_places")
+            rows = once(large, least)
         pairs = rows.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", (F.lit(split) & (F.col("n") > SMALL)).alias("prune"), F.col("head_pop").alias("u_pop"), "pop")
-        two = groups.where(few).select("key", member.alias("h")).select("key", *led("node class weight pop limit"))
-        both = groups.where(few).join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & (F.col("class") != F.col("head_class")) & close)
+        two = groups.where(few).select("key", member.alias("h")).select("key", *_led("h"))
+        both = groups.where(few).join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & _apart(least))
         pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune"), F.col("head_pop").alias("u_pop"), "pop"))
         pairs = pairs.groupBy("u", "v").agg(F.min("light").alias("light"), F.max("prune").alias("prune"), F.max("u_pop").alias("u_pop"), F.max("pop").alias("pop"))
         now = saved(compared(pairs, feature, least), "near_told")
@@ -349,7 +391,7 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
             rest = rest.join(still, ["head", "node"], "left").where((F.col("n") <= SMALL) | F.col("open"))
             rest = rest.withColumn("limit", F.when(F.col("n") <= SMALL, F.col("limit")).otherwise(F.least("limit", "new_limit")))
         else:
-            rest = large.join(head.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
+            rest = large.where("place is null")
         linked = reduce(DataFrame.unionByName, told).where("linked")
         if turn:
             leader = connected_components(linked).withColumnRenamed("component", "leader")
