@@ -348,7 +348,13 @@ def once(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
-    """Links (u, v) between similar nodes of groups (key, node, weight); None without groups.
+    """Links (u, v) between similar nodes of groups (key, node, weight); None without groups. See linked()."""
+    found = linked(groups, feature, least)
+    return found and found[0]
+
+
+def linked(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame] | None:
+    """Links (u, v) between similar nodes of groups (key, node, weight), and their components; None without groups.
 
     Every pair of one group that is similar enough is linked, directly or by others, and all pairs are never
     listed. In each round, the members of a group are compared with its head, the node that has most company.
@@ -357,53 +363,73 @@ def near_links(groups: DataFrame, feature: DataFrame, least: float = SIMILARITY)
     already are done. Groups of at most SMALL members are compared in full. What of a large group is left
     after PRUNED rounds is compared with many heads, sixteen times as many in each further round. Near copies are
     together in nearly all of their groups, so there a pair is a row in the first of them only.
+
+    Components are carried on: those of the rounds before stand for all links of these. Groups may come with n,
+    the count of their rows.
     """
 
-    company = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    popular = groups.join(company, "key").groupBy("node").agg(F.sum("n").alias("pop"))
-    groups = groups.join(popular, "node").withColumn("class", F.col("node")).withColumn("limit", F.lit(float("inf")))
+    company = groups if "n" in groups.columns else groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    popular = company.groupBy("node").agg(F.sum("n").alias("pop"))
+    groups = groups.select("key", "node", "weight").join(popular, "node").withColumn("class", F.col("node")).withColumn("limit", F.lit(float("inf")))
     member = F.struct(*MEMBER)
-    told, turn = [], 0
+    told, fresh, stars, turn = [], [], None, 0
+
+    def components() -> DataFrame:
+        links = reduce(DataFrame.unionByName, fresh).where("linked").select("u", "v")
+        if stars is not None:
+            links = links.union(stars.where("node != component"))
+        fresh.clear()
+        return connected_components(links)
+
     while True:
-        size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.max("weight").alias("heavy"), F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").drop("a", "b")
+        split = turn < PRUNED
+        head = [F.max_by(member, F.struct("pop", "node")).alias("h")] if split else []
+        size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("light"), F.max("weight").alias("heavy"), F.min("class").alias("a"), F.max("class").alias("b"), *head).where("a != b")
+        size = size.select("key", "n", "light", "heavy", *(_led("h") if split else []))
         groups = saved(groups.join(size, "key"), "near_groups")
         if groups.isEmpty():
             break
         few = F.col("n") <= (SMALL if turn else 2)
-        large, split = groups.where(~few), turn < PRUNED
+        large = groups.where(~few)
         if split:
-            head = large.groupBy("key").agg(F.max_by(member, F.struct("pop", "node")).alias("h"))
-            head = saved(head.select("key", *_led("h")), "near_heads")
-            rows = large.join(head, "key").where(F.col("node") != F.col("head"))
+            rows = (large if turn else groups.where(~few | _apart(least))).where(F.col("node") != F.col("head"))  # two of a group are a head and another
         else:
             large = saved(placed(large, 64 * 16 ** (turn - PRUNED)), "near_places")
             rows = once(large, least)
         pairs = rows.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", (F.lit(split) & (F.col("n") > SMALL)).alias("prune"), F.col("head_pop").alias("u_pop"), "pop")
-        two = groups.where(few).select("key", member.alias("h")).select("key", *_led("h"))
-        both = groups.where(few).join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & _apart(least))
-        pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune"), F.col("head_pop").alias("u_pop"), "pop"))
+        if turn:
+            own = groups.where(few).select("key", *MEMBER, "light")
+            two = own.select("key", member.alias("h")).select("key", *_led("h"))
+            both = own.join(two, "key").where(((F.col("head_pop") > F.col("pop")) | (F.col("head_pop") == F.col("pop")) & (F.col("head") > F.col("node"))) & _apart(least))
+            pairs = pairs.unionByName(both.select(F.col("head").alias("u"), F.col("node").alias("v"), "light", F.lit(False).alias("prune"), F.col("head_pop").alias("u_pop"), "pop"))
         pairs = pairs.groupBy("u", "v").agg(F.min("light").alias("light"), F.max("prune").alias("prune"), F.max("u_pop").alias("u_pop"), F.max("pop").alias("pop"))
         now = saved(compared(pairs, feature, least), "near_told")
         told.append(now)
+        fresh.append(now)
         if split:
-            rest = large.join(head.select("key", "head"), "key").where(F.col("node") != F.col("head"))
+            rest = large.where(F.col("node") != F.col("head"))
             still = now.where("open").select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("open"), F.col("limit").alias("new_limit"))
             rest = rest.join(still, ["head", "node"], "left").where((F.col("n") <= SMALL) | F.col("open"))
             rest = rest.withColumn("limit", F.when(F.col("n") <= SMALL, F.col("limit")).otherwise(F.least("limit", "new_limit")))
         else:
             rest = large.where("place is null")
-        linked = reduce(DataFrame.unionByName, told).where("linked")
+            if rest.isEmpty():
+                break
         if turn:
-            leader = connected_components(linked).withColumnRenamed("component", "leader")
+            stars = components()
+            leader = stars.withColumnRenamed("component", "leader")
         else:  # nodes with one leader hang together; that is enough for the second round
-            leader = saved(linked.groupBy("v").agg(F.max_by("u", F.struct("u_pop", "u")).alias("leader")).withColumnRenamed("v", "node"), "near_leaders")
-        apart = shared_keys(now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys")).join(leader, "node", "left").select(F.explode("keys").alias("key"), "node", "weight", "pop", F.lit(float("inf")).alias("limit"), "leader")
-        rest = rest.join(leader, "node", "left").select("key", "node", "weight", "pop", "limit", "leader").unionByName(apart)
+            leader = now.where("linked").groupBy("v").agg(F.max_by("u", F.struct("u_pop", "u")).alias("leader")).withColumnRenamed("v", "node")
+        rest = rest.join(leader, "node", "left").select("key", "node", "weight", "pop", "limit", "leader")
+        if split:  # only then pairs have keys
+            apart = shared_keys(now.where(F.size("keys") > 0).select(F.col("v").alias("node"), "weight", "pop", "keys")).join(leader, "node", "left")
+            rest = rest.unionByName(apart.select(F.explode("keys").alias("key"), "node", "weight", "pop", F.lit(float("inf")).alias("limit"), "leader"))
         groups = saved(rest.withColumn("class", F.coalesce("leader", "node")).drop("leader"), "near_rest")
         turn += 1
     if not told:
         return None
-    return reduce(DataFrame.unionByName, told).where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = reduce(DataFrame.unionByName, told).where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return links, components() if fresh else stars
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -419,17 +445,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = saved(sketch(docs, id_col, text_col, least, size), "sketches")
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bands = nodes.select("node", "weight", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = saved(bands.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     feature = saved(features(docs, wanted, id_col, text_col, size), "features")
-    links = near_links(members, feature, least)
+    found = linked(members, feature, least)
     known = nodes.select("node", "id")
-    if links is None:
+    if found is None:
         known = known.select("node", "id", F.col("node").alias("component"), F.lit(0).cast("long").alias("links"))
     else:
-        links = saved(links, "near_links")
-        label = connected_components(links)
+        links, label = found
         degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
         known = known.join(label, "node", "left").join(degree, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     known = saved(known, "near_nodes")
