@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ def _flags(values: list[int]) -> np.ndarray:
 #: Bytes that are white space, that open, close, or come second last in a character of white space (or in others too).
 _SPACE, _OPEN = _flags([*range(9, 14), *range(28, 33)]), _flags([*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 _LAST, _BEFORE_LAST = _flags([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]), _flags([0xC2, 0x9A, 0x80, 0x81])
+_LETTER = _flags([*range(65, 91), *range(97, 123)])
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +46,20 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return space[~(_SPACE[last] | _OPEN[then] | (_LAST[last] & _BEFORE_LAST[raw[space - 2]]))]
 
 
+def word_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of cuts(), and those between an ASCII letter and a mark after it, across which the pattern never matches either.
+
+    Words are the same chunk then, whatever mark follows them. Apostrophes are no such mark: 's is a match.
+    """
+    mark = raw == ord(",")
+    for c in b".;:!?":
+        mark |= raw == c
+    mark[at[:-1][np.diff(at) > 0]] = False
+    mark = np.flatnonzero(mark)
+    mark = mark[_LETTER[raw[mark - 1]]]
+    return np.sort(np.concatenate([cuts(raw, at), mark]), kind="stable")
+
+
 class Pieces:
     """Ids of texts from those of their pieces, the matches of the pattern; each new piece is encoded once.
 
@@ -74,11 +90,11 @@ class PieceEncoder:
     chunks, equal chunks of a call are found by Arrow, and only chunks not met before are encoded, joined
     to long texts, which a tokenizer cuts at the same places. A memo that has come to `entries` chunks
     keeps those that were asked for again, if they are half of it at most, so memory stays bounded
-    whatever the vocabulary.
+    whatever the vocabulary. cut finds the places between chunks.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], width: np.ndarray, entries: int = 800_000):
-        self.encode, self.width, self.entries = encode, width, entries
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], width: np.ndarray, entries: int = 800_000, cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = cuts):
+        self.encode, self.width, self.entries, self.cut = encode, width, entries, cut
         self._keep({}, np.empty(0, np.int64))
 
     def _keep(self, index: dict[bytes, int], kept: np.ndarray) -> None:
@@ -103,7 +119,8 @@ class PieceEncoder:
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
         """Append the ids of new chunks to the memo; their numbers there."""
-        alike = [c[:1] == b" " and len(c) > 1 and not _OPEN[c[1]] and not _SPACE[c[-1]] and not _LAST[c[-1]] for c in new]
+        opens, ends = _OPEN.tolist(), (_SPACE | _LAST).tolist()
+        alike = [c[:1] == b" " and len(c) > 1 and not opens[c[1]] and not ends[c[-1]] for c in new]
         joined = [c for c, a in zip(new, alike, strict=True) if a]
         parts = [joined[k : k + 4096] for k in range(0, len(joined), 4096)]
         single = [c for c, a in zip(new, alike, strict=True) if not a]
@@ -127,7 +144,7 @@ class PieceEncoder:
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
         if len(self.index) > self.entries:
             self._shrink()
-        cut = cuts(raw, at)
+        cut = self.cut(raw, at)
         place = np.arange(len(at)) + np.searchsorted(cut, at)
         bounds = np.empty(len(at) + len(cut), np.int64)
         inner = np.ones(len(bounds), bool)
@@ -135,7 +152,7 @@ class PieceEncoder:
         bounds[place], bounds[inner] = at, cut
         chunks = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
         words, get = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self.index.get
-        own = np.array([get(w, -1) for w in words])
+        own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         self.again[own[own >= 0]] = True
         if len(lost := np.flatnonzero(own < 0)):
             own[lost] = self._learn([words[i] for i in lost])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import shared_dir, table
-from gradeloom.llm.pieces import PieceEncoder, Pieces, slices
+from gradeloom.llm.pieces import PieceEncoder, Pieces, slices, word_cuts
 
 MAGIC = b"GLB2"
 #: Ids of a block (it ends with the text that reaches them), its most lanes, steps between two counts.
@@ -39,7 +39,7 @@ COARSE_BITS = 10
 
 _U = np.uint64
 _LEAST, _ALL = _U(1 << 48), _U(2**64 - 1)
-_ONCE, _ID = np.int32(1 << 21), np.int32((1 << 21) - 1)
+_ONCE, _TWICE, _ID = np.int32(1 << 21), np.int32(1 << 22), np.int32((1 << 21) - 1)
 _PARTS = np.array([0, *((1 << 16) // np.arange(1, 1024))], np.int32)
 
 
@@ -56,7 +56,8 @@ class _Model:
     def __init__(self, alphabet: int):
         if alphabet >= 1 << 21:
             raise ValueError("ids of at most 21 bits are coded")
-        self.kept = [[np.zeros(n, np.int32) for _ in range(k)] for k, n in zip(FOLLOWERS, (SLOTS, alphabet), strict=True)]  # count * 2 ** 21 + id, by rank
+        # count * 2 ** 21 + id, by rank; the followers of a context lie side by side and are moved as one number of 8 or 16 bytes.
+        self.kept = [np.zeros(n, t) for n, t in ((SLOTS, np.int64), (alphabet, np.complex128))]
         self.hits = np.tile(np.array([1, 1, 6]), (256, 1))  # by both totals: found by order 2, else by order 1, else neither
         self.seen = np.zeros(alphabet, np.int64)
         self.ids: list[np.ndarray] = []
@@ -76,8 +77,10 @@ class _Model:
         """Set the predictions after the last id, one, and that before it: followers with starts and sizes of their shares."""
         self.at = ((two * 50_021 + one) * 0x9E3779B1 >> 8) & (SLOTS - 1), one
         packed = self.packed = np.empty((sum(FOLLOWERS), len(one)), np.int32)
-        for own, (kept, at) in zip(packed, ((kept, at) for each, at in zip(self.kept, self.at, strict=True) for kept in each), strict=True):
-            np.take(kept, at, out=own, mode="clip")
+        begin = 0
+        for kept, at, k in zip(self.kept, self.at, FOLLOWERS, strict=True):
+            packed[begin : begin + k] = kept.take(at).view(np.int32).reshape(len(at), -1).T[:k]
+            begin += k
         self.known, self.count = packed & _ID, packed >> 21
         parts = slice(0, FOLLOWERS[0]), slice(FOLLOWERS[0], None)
         total = [self.count[p].sum(0, dtype=np.int32) for p in parts]
@@ -109,8 +112,9 @@ class _Model:
 
     def identify(self, value: np.ndarray) -> np.ndarray:
         """The ids in whose shares the values are."""
-        place = (self.start <= (value >> ID_BITS).astype(np.int32)).sum(0) - 1
-        ids = self.known[place, np.arange(len(place))].astype(np.int64)
+        place = (self.start <= (value >> ID_BITS).astype(np.int32)).view(np.int8).sum(0, dtype=np.int8) - np.int8(1)
+        n = len(place)
+        ids = self.known.ravel().take(np.maximum(place, 0) * np.int64(n) + np.arange(n)).astype(np.int64)
         rest = np.flatnonzero(place < 0)
         value = value[rest] // self.rest[rest]
         cell = value >> COARSE_BITS
@@ -124,8 +128,8 @@ class _Model:
         """Count the ids; interval() has been asked for them."""
         self.ids.append(ids)
         packed, hit, begin, found = self.packed, self.hit, 0, []
-        packed += hit * _ONCE * np.int32(2)
-        new = 2 * _ONCE + ids.astype(np.int32)
+        packed += hit * _TWICE
+        new = _TWICE + ids.astype(np.int32)
         for kept, at, k in zip(self.kept, self.at, FOLLOWERS, strict=True):
             own = packed[begin : begin + k]
             met = np.logical_or.reduce(hit[begin : begin + k])
@@ -137,8 +141,9 @@ class _Model:
                 own[j - 1], own[j] = np.maximum(own[j - 1], own[j]), np.minimum(own[j - 1], own[j])
             if len(full := np.flatnonzero(own[0] > MOST * _ONCE)):
                 own[:, full] = (own[:, full] >> 22 << 21) | (own[:, full] & _ID)
-            for rank, to in zip(own, kept, strict=True):
-                to[at] = rank  # of lanes in one context the last stays
+            side = np.zeros((len(at), kept.itemsize // 4), np.int32)
+            side.T[:k] = own
+            kept[at] = side.view(kept.dtype).ravel()  # of lanes in one context the last stays
             begin += k
         self.hits += np.bincount(self.bucket * 3 + np.where(found[0], 0, np.where(found[1], 1, 2)), minlength=768).reshape(256, 3)
 
@@ -147,6 +152,7 @@ class _Encoder:
     def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _ALL, _U)
         self.out, self.used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
+        self.begin = np.arange(lanes) * room
 
     def _carry(self, lane: np.ndarray) -> None:
         at = self.used[lane] - 1
@@ -161,11 +167,20 @@ class _Encoder:
         if len(over := np.flatnonzero(low < self.low)):
             self._carry(over)
         self.low, self.range = low, r * size.astype(_U)
-        while len(lane := np.flatnonzero(self.range < _LEAST)):
+        short, flat = self.range < _LEAST, self.out.reshape(-1)
+        if len(lane := np.flatnonzero(short)):  # about half of the lanes give a word, few of them another
+            flat[(self.begin + self.used)[lane]] = low[lane] >> _U(48)
+            self.used += short
+            shift = short * _U(16)
+            low <<= shift
+            self.range <<= shift
+            lane = lane[self.range[lane] < _LEAST]
+        while len(lane):
             a = low[lane]
             self.out[lane, self.used[lane]] = a >> _U(48)
             self.used[lane] += 1
             low[lane], self.range[lane] = a << _U(16), self.range[lane] << _U(16)
+            lane = lane[self.range[lane] < _LEAST]
 
     def finish(self) -> None:
         """One more word for each lane: a value in its interval, with zeros after it."""
@@ -192,6 +207,13 @@ class _Decoder:
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         code, rng = self.code - self.unit * start.astype(_U), self.unit * size.astype(_U)
+        short = rng < _LEAST
+        if short.any():
+            shift = short * _U(16)
+            code <<= shift
+            rng <<= shift
+            code |= np.where(short, self.words[np.minimum(self.at, len(self.words) - 1)], _U(0))
+            self.at += short
         while len(lane := np.flatnonzero(rng < _LEAST)):
             code[lane] = code[lane] << _U(16) | self.words[np.minimum(self.at[lane], len(self.words) - 1)]
             self.at[lane] += 1
@@ -277,23 +299,18 @@ def tokenizer(path: str, pattern: str):
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(new: list[str]) -> list[bytes]:
-        """A call costs more than its ids, so words that open with a space are joined; the library cuts there."""
-        words = [i for i, p in enumerate(new) if p[0] == " " and p[-1].isalpha()]
-        rest = [i for i, p in enumerate(new) if not (p[0] == " " and p[-1].isalpha())]
-        out: list = [None] * len(new)
-        parts = [words[k : k + 4096] for k in range(0, len(words), 4096)]
-        found = encode(["".join(map(new.__getitem__, p)) for p in parts] + [new[i] for i in rest])
-        for part, ids in zip(parts, found, strict=False):
-            at = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(new[i].encode()) for i in part])) + 1
-            raw, ends = ids.astype("<u4").tobytes(), [0, *(4 * at).tolist()]
-            for i, a, b in zip(part, ends, ends[1:]):
-                out[i] = raw[a:b]
-        for i, ids in zip(rest, found[len(parts) :], strict=True):
-            out[i] = ids.astype("<u4").tobytes()
-        return out
-
-    pieces = PieceEncoder(Pieces(pattern, encode_pieces), width)
+    apart = Pieces(pattern, lambda new: [ids.astype("<u4").tobytes() for ids in encode(new)])
+
+    def encode_chunks(texts: list[str]) -> list[np.ndarray]:
+        """The library cuts joined chunks into pieces itself; only where it would take an added token out first, pieces are cut for it."""
+        odd = [i for i, t in enumerate(texts) if any(token in t for token in added)]
+        plain = [t for i, t in enumerate(texts) if i not in set(odd)] if odd else texts
+        found = encode(plain)
+        for i, ids in zip(odd, apart([texts[i] for i in odd]), strict=True):
+            found.insert(i, ids)
+        return found
+
+    pieces = PieceEncoder(encode_chunks, width, cut=word_cuts)
 
     def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids, at = pieces(texts)
@@ -315,7 +332,7 @@ def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, i
 
     Rows are dealt into ranges of ids and sorted there (then by text; null ids first), so a shard is a
     range and shard after shard is the whole order. pattern must cut as the tokenizer's own pre-tokenizer, and
-    never match across a lone space. Null text counts as empty: its end alone.
+    never match across a lone space, or from an ASCII letter to one of ,.;:!? after it. Null text counts as empty: its end alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
