@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,14 @@ def _flags(values: list[int]) -> np.ndarray:
 _SPACE, _OPEN = _flags([*range(9, 14), *range(28, 33)]), _flags([*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 _LAST, _BEFORE_LAST = _flags([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]), _flags([0xC2, 0x9A, 0x80, 0x81])
 _LETTER = _flags([*range(65, 91), *range(97, 123)])
+#: Last bytes of the letters that begin with byte C3 (U+00C0 to U+00FF but for two signs); ASCII marks without the apostrophe.
+_LATIN = _flags([b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+_MARK = _flags([b for b in range(33, 127) if not chr(b).isalnum() and b != 39])
+
+
+def _which(flags: np.ndarray, data: bytes) -> np.ndarray:
+    """Which bytes are flagged."""
+    return np.frombuffer(data.translate(flags.tobytes()), bool)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,17 +55,32 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def word_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The places of cuts(), and those between an ASCII letter and a mark after it, across which the pattern never matches either.
+    """The places of cuts(), those between an ASCII or Latin-1 letter and a mark after it, and those between a lone line feed
+    after an ASCII letter or mark and an ASCII letter: the pattern never matches across these either.
 
-    Words are the same chunk then, whatever mark follows them. Apostrophes are no such mark: 's is a match.
+    Words are the same chunk then, whatever mark or line surrounds them. Apostrophes are no such mark: 's is a match.
     """
-    mark = raw == ord(",")
-    for c in b".;:!?":
-        mark |= raw == c
-    mark[at[:-1][np.diff(at) > 0]] = False
-    mark = np.flatnonzero(mark)
-    mark = mark[_LETTER[raw[mark - 1]]]
-    return np.sort(np.concatenate([cuts(raw, at), mark]), kind="stable")
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[at] = True
+    mark, feed = (np.flatnonzero(x & ~begin[:-1]) for x in (_which(_MARK, raw.tobytes()), raw == 10))
+    last = raw[mark - 1]
+    mark = mark[_LETTER[last] | (_LATIN[last] & (raw[mark - 2] == 0xC3))]
+    feed = feed[~begin[feed + 1]]
+    feed = feed[_LETTER[raw[feed + 1]] & (_LETTER | _MARK)[raw[feed - 1]]]
+    return np.sort(np.concatenate([cuts(raw, at), mark, feed + 1]), kind="stable")
+
+
+def plain_words(chunks: list[bytes]) -> np.ndarray:
+    """Which chunks are ASCII and Latin-1 letters only, maybe after one space: each is one match of the pattern."""
+    joined = b"".join([*chunks, b"a"])  # so that an empty chunk at the end has a place
+    raw = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+    two = raw == 0xC3
+    good = _which(_LETTER, joined) | two
+    good[1:] |= two[:-1] & _which(_LATIN, joined)[1:]
+    begin = np.concatenate([[0], ends[:-1]])
+    good[begin] |= raw[begin] == 32
+    return np.logical_and.reduceat(good, begin)
 
 
 class Pieces:
@@ -90,11 +113,12 @@ class PieceEncoder:
     chunks, equal chunks of a call are found by Arrow, and only chunks not met before are encoded, joined
     to long texts, which a tokenizer cuts at the same places. A memo that has come to `entries` chunks
     keeps those that were asked for again, if they are half of it at most, so memory stays bounded
-    whatever the vocabulary. cut finds the places between chunks.
+    whatever the vocabulary. cut finds the places between chunks. encode_words, if given, encodes the
+    plain words among new chunks: all their ids, and how many each has.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], width: np.ndarray, entries: int = 800_000, cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = cuts):
-        self.encode, self.width, self.entries, self.cut = encode, width, entries, cut
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], width: np.ndarray, entries: int = 800_000, cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = cuts, encode_words: Callable[[list[bytes]], tuple[list[int], list[int]]] | None = None):
+        self.encode, self.width, self.entries, self.cut, self.encode_words = encode, width, entries, cut, encode_words
         self._keep({}, np.empty(0, np.int64))
 
     def _keep(self, index: dict[bytes, int], kept: np.ndarray) -> None:
@@ -119,6 +143,28 @@ class PieceEncoder:
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
         """Append the ids of new chunks to the memo; their numbers there."""
+        if self.encode_words is None:
+            return self._learn_texts(new)
+        plain = plain_words(new)
+        numbers = np.empty(len(new), np.int64)
+        if plain.any():
+            words = list(compress(new, plain))
+            numbers[plain] = self._append(words, *self.encode_words(words))
+        if not plain.all():
+            numbers[~plain] = self._learn_texts(list(compress(new, ~plain)))
+        return numbers
+
+    def _append(self, chunks: list[bytes], ids: np.ndarray | list[int], counts: np.ndarray | list[int]) -> np.ndarray:
+        """Append chunks with their ids to the memo; their numbers there."""
+        base = len(self.index)
+        self.index.update(zip(chunks, range(base, base + len(chunks))))
+        self.ids = np.concatenate([self.ids, np.asarray(ids, np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.asarray(counts, np.int64))])
+        self.again = np.concatenate([self.again, np.zeros(len(chunks), bool)])
+        return np.arange(base, base + len(chunks))
+
+    def _learn_texts(self, new: list[bytes]) -> np.ndarray:
+        """Append the ids of new chunks, found from joined texts, to the memo; their numbers there."""
         opens, ends = _OPEN.tolist(), (_SPACE | _LAST).tolist()
         alike = [c[:1] == b" " and len(c) > 1 and not opens[c[1]] and not ends[c[-1]] for c in new]
         joined = [c for c, a in zip(new, alike, strict=True) if a]
@@ -129,13 +175,9 @@ class PieceEncoder:
         for part, ids in zip(parts, found, strict=False):
             ends = np.cumsum(self.width[ids])
             counts.insert(-1, np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, part)]), "right")))
-        base = len(self.index)
-        self.index.update(zip([*joined, *single], range(base, base + len(new))))
-        self.ids = np.concatenate([self.ids, *found]).astype(np.uint32, copy=False)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
-        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        numbers = self._append([*joined, *single], np.concatenate(found), np.concatenate(counts))
         rank = np.array(alike)
-        return base + np.where(rank, np.cumsum(rank) - 1, len(joined) + np.cumsum(~rank) - 1)
+        return numbers[np.where(rank, np.cumsum(rank) - 1, len(joined) + np.cumsum(~rank) - 1)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, at): text i has ids[at[i]:at[i + 1]]."""

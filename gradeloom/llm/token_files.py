@@ -12,10 +12,11 @@ any file system.
 
 from __future__ import annotations
 
+import codecs
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +35,8 @@ BLOCK_IDS, LANES, REFRESH = 1 << 20, 8192, 8
 MIX_BITS, ID_BITS, SLOTS = 12, 22, 1 << 18
 #: Followers that a context of order 2 and 1 counts; the most that one counts before all are halved.
 FOLLOWERS, MOST = (2, 3), 100
-#: Frequencies are looked up by their upper bits first, where one id fills all of the lower ones.
-COARSE_BITS = 10
+#: Frequencies are looked up by their upper bits first, then among the ids that share these.
+COARSE_BITS = 7
 
 _U = np.uint64
 _LEAST, _ALL = _U(1 << 48), _U(2**64 - 1)
@@ -50,17 +51,19 @@ class _Model:
     takes the place of the last when that has been missed as often as met. Each order gets a weight that
     follows from how often, at these two totals, the id was among its followers; within it, followers
     share by their counts, and one that both orders know gets both shares. What is left goes to order 0,
-    whose counts are never zero. All is integer arithmetic, so encoder and decoder agree on any machine.
+    whose counts are never zero. All is integer arithmetic (one division is made in doubles, where it is
+    exact), so encoder and decoder agree on any machine. Only a decoder identifies ids.
     """
 
-    def __init__(self, alphabet: int):
+    def __init__(self, alphabet: int, decodes: bool = False):
         if alphabet >= 1 << 21:
             raise ValueError("ids of at most 21 bits are coded")
         # count * 2 ** 21 + id, by rank; the followers of a context lie side by side and are moved as one number of 8 or 16 bytes.
         self.kept = [np.zeros(n, t) for n, t in ((SLOTS, np.int64), (alphabet, np.complex128))]
         self.hits = np.tile(np.array([1, 1, 6]), (256, 1))  # by both totals: found by order 2, else by order 1, else neither
-        self.seen = np.zeros(alphabet, np.int64)
+        self.seen, self.id_start = np.zeros(alphabet, np.int64), np.zeros(alphabet + 1, np.int64)
         self.ids: list[np.ndarray] = []
+        self.decodes = decodes
         self.refresh()
 
     def refresh(self) -> None:
@@ -69,9 +72,10 @@ class _Model:
         if self.ids:
             self.seen += np.bincount(np.concatenate(self.ids), minlength=n)
             self.ids = []
-        self.id_size = 1 + self.seen * ((1 << ID_BITS) - n) // max(int(self.seen.sum()), 1)
-        self.id_start = np.concatenate([[0], np.cumsum(self.id_size)])
-        self.coarse = np.searchsorted(self.id_start, np.arange((1 << ID_BITS - COARSE_BITS) + 1) << COARSE_BITS, "right") - 1
+        np.cumsum(1 + self.seen * ((1 << ID_BITS) - n) // max(int(self.seen.sum()), 1), out=self.id_start[1:])
+        if self.decodes:  # the last id that starts at the begin of each cell or before it
+            cells = (self.id_start + ((1 << COARSE_BITS) - 1)) >> COARSE_BITS
+            self.coarse = np.cumsum(np.bincount(cells, minlength=(1 << ID_BITS - COARSE_BITS) + 1)) - 1
 
     def look(self, one: np.ndarray, two: np.ndarray) -> None:
         """Set the predictions after the last id, one, and that before it: followers with starts and sizes of their shares."""
@@ -83,17 +87,17 @@ class _Model:
             begin += k
         self.known, self.count = packed & _ID, packed >> 21
         parts = slice(0, FOLLOWERS[0]), slice(FOLLOWERS[0], None)
-        total = [self.count[p].sum(0, dtype=np.int32) for p in parts]
-        self.bucket = np.minimum(total[0], 15) * 16 + np.minimum(total[1], 15)
-        weight = (self.hits[:, :2] * ((1 << MIX_BITS) - 1) // self.hits.sum(1, keepdims=True)).astype(np.int32)
+        total = [sum(self.count[p][1:], self.count[p][0]) for p in parts]
+        self.bucket = (np.minimum(total[0], 15) * 16 + np.minimum(total[1], 15)).astype(np.int64)
+        weight = (self.hits[:, :2] * ((1 << MIX_BITS) - 1) // self.hits.sum(1, keepdims=True)).astype(np.int32).T.copy()
         share = self.count.copy()
         for o in (0, 1):
-            share[parts[o]] *= weight[:, o].take(self.bucket) * _PARTS.take(total[o])
+            share[parts[o]] *= weight[o].take(self.bucket) * _PARTS.take(total[o])
         share >>= 16
         low = share[parts[1]]
         for j in range(FOLLOWERS[0]):  # a follower that both orders know is kept once, by order 2
             moved = low * (self.known[parts[1]] == self.known[j])
-            share[j] += moved.sum(0, dtype=np.int32)
+            share[j] += sum(moved[1:], moved[0])
             low -= moved
         self.share, self.start = share, np.empty_like(share)
         self.rest = (1 << MIX_BITS) - share.sum(0, dtype=np.int32)
@@ -102,64 +106,83 @@ class _Model:
             self.start[j] = begin
             begin = begin + share[j]
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each id's share of 2 ** (MIX_BITS + ID_BITS)."""
+    def _meet(self, ids: np.ndarray) -> None:
         self.hit = (self.known == ids.astype(np.int32)) & (self.count > 0)
-        size = (self.share * self.hit).sum(0, dtype=np.int32)
-        start = (self.start * (self.hit & (self.share > 0))).sum(0, dtype=np.int32)
-        new, rest = size == 0, self.rest.astype(np.int64)
-        return np.where(new, rest * self.id_start.take(ids), start.astype(np.int64) << ID_BITS), np.where(new, rest * self.id_size.take(ids), size.astype(np.int64) << ID_BITS)
 
-    def identify(self, value: np.ndarray) -> np.ndarray:
-        """The ids in whose shares the values are."""
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's share of 2 ** (MIX_BITS + ID_BITS)."""
+        self._meet(ids)
+        both = self.share << (MIX_BITS + 1)  # size and start side by side; of two places of an id one has no share
+        both |= self.start
+        both *= self.hit
+        both = np.maximum.reduce(both, axis=0)
+        new = both < 1 << (MIX_BITS + 1)
+        both = (both * ~new).astype(np.int64)
+        rest, at = self.rest * new, self.id_start.take(ids)
+        start = ((both & ((1 << (MIX_BITS + 1)) - 1)) << ID_BITS) + rest * at
+        return start, (both >> (MIX_BITS + 1) << ID_BITS) + rest * (self.id_start.take(ids + 1) - at)
+
+    def identify(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids in whose shares the values are, and the starts and sizes of these."""
         place = (self.start <= (value >> ID_BITS).astype(np.int32)).view(np.int8).sum(0, dtype=np.int8) - np.int8(1)
         n = len(place)
-        ids = self.known.ravel().take(np.maximum(place, 0) * np.int64(n) + np.arange(n)).astype(np.int64)
-        rest = np.flatnonzero(place < 0)
-        value = value[rest] // self.rest[rest]
+        at = np.maximum(place, 0) * np.int64(n) + np.arange(n)
+        ids, start, size = (x.ravel().take(at).astype(np.int64) for x in (self.known, self.start, self.share))
+        start <<= ID_BITS
+        size <<= ID_BITS
+        new = np.flatnonzero(place < 0)
+        rest = self.rest.take(new)
+        value = (value.take(new) / rest).astype(np.int64)  # below 2 ** 34 by at most 2 ** 12: no quotient is rounded up to a whole number
         cell = value >> COARSE_BITS
-        found = self.coarse[cell]
-        open_ = np.flatnonzero(self.coarse[cell + 1] != found)
-        found[open_] = np.searchsorted(self.id_start, value[open_], "right") - 1
-        ids[rest] = np.minimum(found, len(self.seen) - 1)
-        return ids
+        found = self.coarse.take(cell)
+        more = np.flatnonzero(self.coarse.take(cell + 1) != found)
+        for _ in range(3):  # most are one of the next ids
+            more = more[self.id_start.take(found.take(more) + 1, mode="clip") <= value.take(more)]  # damaged blocks lead past the last
+            found[more] += 1
+        if len(more):
+            found[more] = np.searchsorted(self.id_start, value[more], "right") - 1
+        found = np.minimum(found, len(self.seen) - 1)
+        low = self.id_start.take(found)
+        ids[new], start[new], size[new] = found, rest * low, rest * (self.id_start.take(found + 1) - low)
+        self._meet(ids)
+        return ids, start, size
 
     def learn(self, ids: np.ndarray) -> None:
-        """Count the ids; interval() has been asked for them."""
+        """Count the ids; interval() or identify() has met them."""
         self.ids.append(ids)
-        packed, hit, begin, found = self.packed, self.hit, 0, []
+        packed, hit, begin, lost = self.packed, self.hit, 0, []
         packed += hit * _TWICE
         new = _TWICE + ids.astype(np.int32)
         for kept, at, k in zip(self.kept, self.at, FOLLOWERS, strict=True):
             own = packed[begin : begin + k]
-            met = np.logical_or.reduce(hit[begin : begin + k])
-            found.append(met)
-            missed = ~met
+            missed = ~np.logical_or.reduce(hit[begin : begin + k])
+            lost.append(missed.view(np.int8))
             own[-1] -= missed * _ONCE
-            np.copyto(own[-1], new, where=missed & (own[-1] < _ONCE))
+            np.maximum(own[-1], new * (missed & (own[-1] < _ONCE)), out=own[-1])  # new is larger than any that it replaces
             for j in range(k - 1, 0, -1):
                 own[j - 1], own[j] = np.maximum(own[j - 1], own[j]), np.minimum(own[j - 1], own[j])
             if len(full := np.flatnonzero(own[0] > MOST * _ONCE)):
                 own[:, full] = (own[:, full] >> 22 << 21) | (own[:, full] & _ID)
-            side = np.zeros((len(at), kept.itemsize // 4), np.int32)
-            side.T[:k] = own
-            kept[at] = side.view(kept.dtype).ravel()  # of lanes in one context the last stays
+            wide = kept.itemsize // 4
+            side = np.zeros(len(at) * wide, np.int32)
+            for j in range(k):
+                side[j::wide] = own[j]
+            kept[at] = side.view(kept.dtype)  # of lanes in one context the last stays
             begin += k
-        self.hits += np.bincount(self.bucket * 3 + np.where(found[0], 0, np.where(found[1], 1, 2)), minlength=768).reshape(256, 3)
+        self.hits += np.bincount(self.bucket * 3 + lost[0] * (lost[1] + np.int8(1)), minlength=768).reshape(256, 3)
 
 
 class _Encoder:
     def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _ALL, _U)
-        self.out, self.used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
-        self.begin = np.arange(lanes) * room
+        self.out, self.begin = np.zeros(lanes * room, "<u2"), np.arange(lanes) * room
+        self.at = self.begin.copy()
 
     def _carry(self, lane: np.ndarray) -> None:
-        at = self.used[lane] - 1
-        while len(lane):
-            self.out[lane, at] += 1
-            on = self.out[lane, at] == 0
-            lane, at = lane[on], at[on] - 1
+        at = self.at[lane] - 1
+        while len(at):
+            self.out[at] += 1
+            at = at[self.out[at] == 0] - 1
 
     def put(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         r = self.range >> _U(bits)
@@ -167,33 +190,36 @@ class _Encoder:
         if len(over := np.flatnonzero(low < self.low)):
             self._carry(over)
         self.low, self.range = low, r * size.astype(_U)
-        short, flat = self.range < _LEAST, self.out.reshape(-1)
-        if len(lane := np.flatnonzero(short)):  # about half of the lanes give a word, few of them another
-            flat[(self.begin + self.used)[lane]] = low[lane] >> _U(48)
-            self.used += short
-            shift = short * _U(16)
-            low <<= shift
-            self.range <<= shift
-            lane = lane[self.range[lane] < _LEAST]
-        while len(lane):
-            a = low[lane]
-            self.out[lane, self.used[lane]] = a >> _U(48)
-            self.used[lane] += 1
-            low[lane], self.range[lane] = a << _U(16), self.range[lane] << _U(16)
-            lane = lane[self.range[lane] < _LEAST]
+        short = self.range < _LEAST
+        self.out[self.at] = low >> _U(48)  # where a lane gives no word, its next one takes this place
+        self.at += short
+        shift = short * _U(0xFFFF) + _U(1)
+        self.low *= shift
+        self.range *= shift
+        while len(lane := np.flatnonzero(self.range < _LEAST)):  # about half of the lanes give a word, few of them another
+            a = self.low[lane]
+            self.out[self.at[lane]] = a >> _U(48)
+            self.at[lane] += 1
+            self.low[lane], self.range[lane] = a << _U(16), self.range[lane] << _U(16)
 
     def finish(self) -> None:
         """One more word for each lane: a value in its interval, with zeros after it."""
         low = self.low + (_LEAST - _U(1))
         self._carry(np.flatnonzero(low < self.low))
-        self.out[np.arange(len(low)), self.used] = low >> _U(48)
-        self.used += 1
+        self.out[self.at] = low >> _U(48)
+        self.at += 1
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all lanes, one lane after the other, and how many each has."""
+        used = self.at - self.begin
+        room = np.arange(used.max())
+        return self.out.reshape(len(used), -1)[:, : len(room)][room < used[:, None]], used
 
 
 class _Decoder:
     def __init__(self, words: np.ndarray, used: np.ndarray):
         room = int(used.max()) + 4  # zeros follow the words of a lane
-        table = np.zeros((len(used), room), _U)
+        table = np.zeros((len(used), room), np.uint16)
         table[np.arange(room) < used[:, None]] = words
         self.words, self.at = table.ravel(), np.arange(len(used)) * room
         self.code, self.range = np.zeros(len(used), _U), np.full(len(used), _ALL, _U)
@@ -208,12 +234,11 @@ class _Decoder:
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         code, rng = self.code - self.unit * start.astype(_U), self.unit * size.astype(_U)
         short = rng < _LEAST
-        if short.any():
-            shift = short * _U(16)
-            code <<= shift
-            rng <<= shift
-            code |= np.where(short, self.words[np.minimum(self.at, len(self.words) - 1)], _U(0))
-            self.at += short
+        shift = short * _U(0xFFFF) + _U(1)
+        code *= shift
+        rng *= shift
+        code |= self.words.take(self.at, mode="clip") * short.astype(_U)
+        self.at += short
         while len(lane := np.flatnonzero(rng < _LEAST)):
             code[lane] = code[lane] << _U(16) | self.words[np.minimum(self.at[lane], len(self.words) - 1)]
             self.at[lane] += 1
@@ -231,27 +256,36 @@ def _counts(step: int) -> bool:
     return step in (1, 2, 4) or step > 0 and step % REFRESH == 0
 
 
+def _across(x: np.ndarray) -> np.ndarray:
+    """x.T laid out in its own order, some rows of x at a time, which stay in the cache."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for k in range(0, len(x), 256):
+        out[:, k : k + 256] = x[k : k + 256].T
+    return out
+
+
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """One block of ids below alphabet."""
     ids = ids.astype("<u4")
     n = len(ids)
     lanes, steps = _lanes(n)
-    x = np.zeros(lanes * steps, np.int64)
+    x = np.zeros(lanes * steps, np.int32)
     x[:n] = ids
-    x = np.ascontiguousarray(x.reshape(lanes, steps).T)
+    x = _across(x.reshape(lanes, steps))
     model, coder = _Model(alphabet), _Encoder(lanes, 3 * steps + 8)
     one = two = np.zeros(lanes, np.int64)
     for t in range(steps):
         if _counts(t):
             model.refresh()
         model.look(one, two)
-        coder.put(*model.interval(x[t]), MIX_BITS + ID_BITS)
-        model.learn(x[t])
-        one, two = x[t], one
+        now = x[t].astype(np.int64)
+        coder.put(*model.interval(now), MIX_BITS + ID_BITS)
+        model.learn(now)
+        one, two = now, one
     coder.finish()
-    width = 2 if coder.used.max() < 65536 else 4
-    head = MAGIC + struct.pack("<IIIB", n, lanes, zlib.crc32(ids.tobytes()), width) + coder.used.astype(f"<u{width}").tobytes()
-    return head + coder.out[np.arange(coder.out.shape[1]) < coder.used[:, None]].tobytes()
+    words, used = coder.words()
+    width = 2 if used.max() < 65536 else 4
+    return b"".join([MAGIC, struct.pack("<IIIB", n, lanes, zlib.crc32(ids.tobytes()), width), used.astype(f"<u{width}").tobytes(), words.tobytes()])
 
 
 def decode_block(data: bytes, alphabet: int) -> np.ndarray:
@@ -264,23 +298,49 @@ def decode_block(data: bytes, alphabet: int) -> np.ndarray:
     if used.sum() != len(words):
         raise ValueError("a token block is cut short")
     steps = -(-n // lanes)
-    x = np.zeros((steps, lanes), np.int64)
-    model, coder = _Model(alphabet), _Decoder(words, used)
+    x = np.zeros((steps, lanes), np.uint32)
+    model, coder = _Model(alphabet, decodes=True), _Decoder(words, used)
     one = two = np.zeros(lanes, np.int64)
     for t in range(steps):
         if _counts(t):
             model.refresh()
         model.look(one, two)
-        x[t] = model.identify(coder.value(MIX_BITS + ID_BITS))
-        coder.take(*model.interval(x[t]))
-        model.learn(x[t])
-        one, two = x[t], one
+        now, *share = model.identify(coder.value(MIX_BITS + ID_BITS))
+        coder.take(*share)
+        model.learn(now)
+        x[t] = now
+        one, two = now, one
     ids = x.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a token block has the wrong checksum")
     return ids
 
 
+def _word_encoder(own) -> Callable[[list[bytes]], tuple[list[int], list[int]]] | None:
+    """The library's model on words, each one piece: all ids and how many each word has. None where more than byte-level pieces comes before the model."""
+    from tokenizers import pre_tokenizers
+
+    before = own.pre_tokenizer
+    if own.normalizer or own.truncation or own.padding or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space or not before.use_regex:
+        return None
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}  # byte-level vocabularies write these bytes as they are, others from U+0100 on
+    others = iter(range(256, 512))
+    chars = [chr(b if b in kept else next(others)) for b in range(256)]
+    chars[10] = "\n"  # between words, never in one
+    chars = "".join(chars)
+    tokenize = own.model.tokenize
+
+    def encode_words(words: list[bytes]) -> tuple[list[int], list[int]]:
+        ids, counts = [], []
+        for word in codecs.charmap_decode(b"\n".join(words), "strict", chars)[0].split("\n"):
+            tokens = tokenize(word)
+            counts.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return ids, counts
+
+    return encode_words
+
+
 @lru_cache(2)
 def tokenizer(path: str, pattern: str):
     """Ids of texts, as from PieceEncoder, and the size of the vocabulary; pattern cuts as the tokenizer itself does."""
@@ -310,7 +370,7 @@ def tokenizer(path: str, pattern: str):
             found.insert(i, ids)
         return found
 
-    pieces = PieceEncoder(encode_chunks, width, cut=word_cuts)
+    pieces = PieceEncoder(encode_chunks, width, cut=word_cuts, encode_words=_word_encoder(own))
 
     def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids, at = pieces(texts)
@@ -332,7 +392,8 @@ def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, i
 
     Rows are dealt into ranges of ids and sorted there (then by text; null ids first), so a shard is a
     range and shard after shard is the whole order. pattern must cut as the tokenizer's own pre-tokenizer, and
-    never match across a lone space, or from an ASCII letter to one of ,.;:!? after it. Null text counts as empty: its end alone.
+    never match across a lone space, from an ASCII or Latin-1 letter to an ASCII mark after it (apostrophes aside), or
+    from a lone line feed after one of these to an ASCII letter. Null text counts as empty: its end alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -36,3 +36,32 @@ def test_a_word_is_learnt_once_with_any_mark(ids_of):
     words = ["".join(np.random.default_rng(i).choice(list("aeiortn"), 9)) for i in range(50)]
     ids_of(pa.array([" ".join(f"x {w}{m}" for w in words for m in ("", *",.;:!?"))]))
     assert len(encoder.index) < 2 * len(set(words))
+
+
+def test_new_words_go_to_the_model_alone(ids_of, monkeypatch):
+    """The library cuts only what is not one word; words are all Latin letters, and are learnt once beside lines and other marks too."""
+    from gradeloom.llm import pieces
+
+    encoder = next(c.cell_contents for c in ids_of.__closure__ if isinstance(c.cell_contents, pieces.PieceEncoder))
+    cut = []
+    monkeypatch.setattr(encoder, "encode", lambda texts, encode=encoder.encode: cut.extend(texts) or encode(texts))
+    words = [f"{w}{x}" for i in range(40) for w in ["".join(np.random.default_rng(i).choice(list("aeiortnÀÖØöøÿñ"), 9))] for x in ("", "é")]
+    texts = [" ".join(f"x {w}{m}" for m in ("", ",", "&&&", "_", ".\nA")) for w in words] + ["", "×÷", "a×b", "×a &", ""]
+    ids, at = ids_of(pa.array(texts))
+    own = Tokenizer.from_file(public_tokenizers.path(PATH))
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encoder.index) < len(words) + 20
+    assert not any(w in t for w in words for t in cut)
+
+
+def test_letters_marks_and_lines_are_cut_as_the_library_does(ids_of):
+    own = Tokenizer.from_file(public_tokenizers.path(PATH))
+    parts = ["a", "É", "é", "ÿ", "×", "÷", "Ā", "ª", "'", "'s", "’", "_", "&", "<", "#", "0", "²", "\n", "\r\n", " ", " ", "\x85", "\x00", "z"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    ids, at = ids_of(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+    assert ids_of(pa.array(["", None]))[1].tolist() == [0, 0, 0]
+    assert ids_of(pa.array(["\nb", ""]))[0].tolist() == own.encode("\nb", add_special_tokens=False).ids
