@@ -94,13 +94,14 @@ class _Model:
         for o in (0, 1):
             share[parts[o]] *= weight[o].take(self.bucket) * _PARTS.take(total[o])
         share >>= 16
+        share = share.astype(np.int16)  # 2 ** MIX_BITS at most
         low = share[parts[1]]
         for j in range(FOLLOWERS[0]):  # a follower that both orders know is kept once, by order 2
             moved = low * (self.known[parts[1]] == self.known[j])
             share[j] += sum(moved[1:], moved[0])
             low -= moved
         self.share, self.start = share, np.empty_like(share)
-        self.rest = (1 << MIX_BITS) - share.sum(0, dtype=np.int32)
+        self.rest = np.int16(1 << MIX_BITS) - share.sum(0, dtype=np.int16)
         begin = self.rest
         for j in range(len(share)):
             self.start[j] = begin
@@ -112,19 +113,14 @@ class _Model:
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's share of 2 ** (MIX_BITS + ID_BITS)."""
         self._meet(ids)
-        both = self.share << (MIX_BITS + 1)  # size and start side by side; of two places of an id one has no share
-        both |= self.start
-        both *= self.hit
-        both = np.maximum.reduce(both, axis=0)
-        new = both < 1 << (MIX_BITS + 1)
-        both = (both * ~new).astype(np.int64)
-        rest, at = self.rest * new, self.id_start.take(ids)
-        start = ((both & ((1 << (MIX_BITS + 1)) - 1)) << ID_BITS) + rest * at
-        return start, (both >> (MIX_BITS + 1) << ID_BITS) + rest * (self.id_start.take(ids + 1) - at)
+        size = (self.share * self.hit).sum(0, dtype=np.int16)  # of two places of an id one has no share
+        start = (self.start * (self.hit & (self.share > 0))).sum(0, dtype=np.int16).astype(np.int64)
+        rest, at = self.rest * (size == 0), self.id_start.take(ids)
+        return (start << ID_BITS) + rest * at, (size.astype(np.int64) << ID_BITS) + rest * (self.id_start.take(ids + 1) - at)
 
     def identify(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids in whose shares the values are, and the starts and sizes of these."""
-        place = (self.start <= (value >> ID_BITS).astype(np.int32)).view(np.int8).sum(0, dtype=np.int8) - np.int8(1)
+        place = (self.start <= (value >> ID_BITS).astype(np.int16)).view(np.int8).sum(0, dtype=np.int8) - np.int8(1)
         n = len(place)
         at = np.maximum(place, 0) * np.int64(n) + np.arange(n)
         ids, start, size = (x.ravel().take(at).astype(np.int64) for x in (self.known, self.start, self.share))
@@ -172,17 +168,26 @@ class _Model:
         self.hits += np.bincount(self.bucket * 3 + lost[0] * (lost[1] + np.int8(1)), minlength=768).reshape(256, 3)
 
 
+def _across(x: np.ndarray) -> np.ndarray:
+    """x.T laid out in its own order, some rows of x at a time, which stay in the cache."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for k in range(0, len(x), 256):
+        out[:, k : k + 256] = x[k : k + 256].T
+    return out
+
+
 class _Encoder:
+    """Codes one id of every lane a step. The first words of all lanes lie side by side, then the second ones: lanes go ahead evenly."""
+
     def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _ALL, _U)
-        self.out, self.begin = np.zeros(lanes * room, "<u2"), np.arange(lanes) * room
-        self.at = self.begin.copy()
+        self.out, self.lanes, self.at = np.zeros(lanes * room, "<u2"), np.int64(lanes), np.arange(lanes)
 
     def _carry(self, lane: np.ndarray) -> None:
-        at = self.at[lane] - 1
+        at = self.at[lane] - self.lanes
         while len(at):
             self.out[at] += 1
-            at = at[self.out[at] == 0] - 1
+            at = at[self.out[at] == 0] - self.lanes
 
     def put(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         r = self.range >> _U(bits)
@@ -192,14 +197,14 @@ class _Encoder:
         self.low, self.range = low, r * size.astype(_U)
         short = self.range < _LEAST
         self.out[self.at] = low >> _U(48)  # where a lane gives no word, its next one takes this place
-        self.at += short
+        self.at += short * self.lanes
         shift = short * _U(0xFFFF) + _U(1)
         self.low *= shift
         self.range *= shift
         while len(lane := np.flatnonzero(self.range < _LEAST)):  # about half of the lanes give a word, few of them another
             a = self.low[lane]
             self.out[self.at[lane]] = a >> _U(48)
-            self.at[lane] += 1
+            self.at[lane] += self.lanes
             self.low[lane], self.range[lane] = a << _U(16), self.range[lane] << _U(16)
 
     def finish(self) -> None:
@@ -207,13 +212,13 @@ class _Encoder:
         low = self.low + (_LEAST - _U(1))
         self._carry(np.flatnonzero(low < self.low))
         self.out[self.at] = low >> _U(48)
-        self.at += 1
+        self.at += self.lanes
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The words of all lanes, one lane after the other, and how many each has."""
-        used = self.at - self.begin
+        used = self.at // self.lanes
         room = np.arange(used.max())
-        return self.out.reshape(len(used), -1)[:, : len(room)][room < used[:, None]], used
+        return _across(self.out.reshape(-1, len(used))[: len(room)])[room < used[:, None]], used
 
 
 class _Decoder:
@@ -221,11 +226,11 @@ class _Decoder:
         room = int(used.max()) + 4  # zeros follow the words of a lane
         table = np.zeros((len(used), room), np.uint16)
         table[np.arange(room) < used[:, None]] = words
-        self.words, self.at = table.ravel(), np.arange(len(used)) * room
+        self.words, self.lanes, self.at = _across(table).ravel(), np.int64(len(used)), np.arange(len(used))  # as the encoder has them
         self.code, self.range = np.zeros(len(used), _U), np.full(len(used), _ALL, _U)
         for _ in range(4):
             self.code = self.code << _U(16) | self.words[self.at]
-            self.at += 1
+            self.at += self.lanes
 
     def value(self, bits: int) -> np.ndarray:
         self.unit = self.range >> _U(bits)
@@ -238,10 +243,10 @@ class _Decoder:
         code *= shift
         rng *= shift
         code |= self.words.take(self.at, mode="clip") * short.astype(_U)
-        self.at += short
+        self.at += short * self.lanes
         while len(lane := np.flatnonzero(rng < _LEAST)):
             code[lane] = code[lane] << _U(16) | self.words[np.minimum(self.at[lane], len(self.words) - 1)]
-            self.at[lane] += 1
+            self.at[lane] += self.lanes
             rng[lane] <<= _U(16)
         self.code, self.range = code, rng
 
@@ -256,14 +261,6 @@ def _counts(step: int) -> bool:
     return step in (1, 2, 4) or step > 0 and step % REFRESH == 0
 
 
-def _across(x: np.ndarray) -> np.ndarray:
-    """x.T laid out in its own order, some rows of x at a time, which stay in the cache."""
-    out = np.empty(x.shape[::-1], x.dtype)
-    for k in range(0, len(x), 256):
-        out[:, k : k + 256] = x[k : k + 256].T
-    return out
-
-
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """One block of ids below alphabet."""
     ids = ids.astype("<u4")
@@ -402,7 +399,7 @@ def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, i
 
         shard, made = TaskContext.get().partitionId(), 0
         ids_of, alphabet = tokenizer(path, pattern)
-        keys, lengths, ids, total = [], [], [], 0
+        keys, lengths, ids, total, end = [], [], [], 0, np.array([end_id], np.uint32)
 
         def block() -> pa.RecordBatch:
             data, row = encode_block(np.concatenate(ids), alphabet), pa.concat_arrays(keys)
@@ -413,15 +410,15 @@ def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, i
         for batch in batches:
             for rows in slices(batch, text_col, 8_000_000):
                 found, at = ids_of(rows.column(1))
-                found, at = np.insert(found, at[1:], end_id), at + np.arange(len(at))
+                found, at = np.concatenate([x for a, b in zip(at, at[1:]) for x in (found[a:b], end)]), at + np.arange(len(at))
                 begin = 0
                 while begin < len(at) - 1:
-                    end = min(int(np.searchsorted(at, at[begin] + BLOCK_IDS - total)), len(at) - 1)  # the text that fills the block, or the last
-                    keys.append(rows.column(0).slice(begin, end - begin))
-                    lengths.append(np.diff(at[begin : end + 1]))
-                    ids.append(found[at[begin] : at[end]])
-                    total += int(at[end] - at[begin])
-                    begin = end
+                    stop = min(int(np.searchsorted(at, at[begin] + BLOCK_IDS - total)), len(at) - 1)  # the text that fills the block, or the last
+                    keys.append(rows.column(0).slice(begin, stop - begin))
+                    lengths.append(np.diff(at[begin : stop + 1]))
+                    ids.append(found[at[begin] : at[stop]])
+                    total += int(at[stop] - at[begin])
+                    begin = stop
                     if total >= BLOCK_IDS:
                         yield block()
                         made += 1
