@@ -15,8 +15,9 @@ from gradeloom.llm.common import forgetful
 from gradeloom.llm.pieces import PieceEncoder, Pieces, slices
 
 NONE = 1 << 62
-#: Bytes of text that are encoded at once, one row at least.
-SLICE = 4_000_000
+#: Bytes of text that are encoded at once, one row at least; chunks and pieces that a worker keeps within a task. A worker
+#: takes its memory beside an executor's heap that may be at its most, so these are small.
+SLICE, CHUNKS, PIECES = 1_000_000, 100_000, 50_000
 
 
 class SegmentTreeBpe:
@@ -35,14 +36,13 @@ class SegmentTreeBpe:
             vocab[rank] = token
         self.width = np.array([len(v) for v in vocab])
         self.begin, self.bytes = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(vocab), np.uint8)
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.vocab, self.byte = vocab, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.pair_rank = pairs
         self._hash_pairs(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
 
     def _hash_pairs(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -130,13 +130,13 @@ class SegmentTreeBpe:
 
     def merge_one(self, piece: bytes) -> bytes:
         """The same for one piece, with plain lists."""
-        n, get = len(piece), self.pair_rank.get
+        n, get, vocab = len(piece), self.ranks.get, self.vocab  # two tokens merge to what their bytes are together
         size = 1 << max(n - 1, 0).bit_length()
         token = [int(self.byte[b]) for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [NONE] * (2 * size)
         for i in range(n - 1):
-            r = get(token[i] << 32 | token[i + 1])
+            r = get(vocab[token[i]] + vocab[token[i + 1]])
             if r is not None:
                 tree[size + i] = r << 32 | i
         for i in range(size - 1, 0, -1):
@@ -158,13 +158,13 @@ class SegmentTreeBpe:
             then = after[at] = after[gone]
             token[at], token[gone] = new, -1
             put(gone, NONE)
-            r = get(new << 32 | token[then]) if then < n else None
+            r = get(vocab[new] + vocab[token[then]]) if then < n else None
             put(at, NONE if r is None else r << 32 | at)
             if then < n:
                 before[then] = at
             left = before[at]
             if left >= 0:
-                r = get(token[left] << 32 | new)
+                r = get(vocab[token[left]] + vocab[new])
                 put(left, NONE if r is None else r << 32 | left)
         return np.array([t for t in token if t >= 0], "<u4").tobytes()
 
@@ -199,7 +199,7 @@ def coder(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceEncoder]:
     """One coder for each vocabulary and Python worker."""
     with open(path, "rb") as f:
         bpe = SegmentTreeBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces, 150_000), bpe.width, 300_000)  # workers keep the vocabulary between tasks, not the memos
+    return bpe, PieceEncoder(Pieces(pattern, bpe.encode_pieces, PIECES), bpe.width, CHUNKS)  # workers keep the vocabulary between tasks, not the memos
 
 
 def _forgetful(path: str, pattern: str):
@@ -244,6 +244,22 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
+def digested(batches: Iterator[pa.RecordBatch], path: str, pattern: str, id_col: str, text_col: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The work of a task of digests()."""
+    bpe, ids_of = coder(path, pattern)
+    for batch in batches:
+        for part in slices(batch, text_col, SLICE):
+            ids, at = ids_of(part.column(text_col))
+            raw = bpe.decode(ids)
+            bounds = np.concatenate([[0], np.cumsum(bpe.width[ids])])[at]
+            columns = [part.column(id_col), pa.array(np.diff(at)), _sha256(ids.astype("<u4").view(np.uint8), 4 * at), _sha256(raw, bounds)]
+            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                names.append("ids")
+                columns.append(_lists(ids, at))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again; ids if asked for.
 
@@ -253,18 +269,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     @_forgetful(path, pattern)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, ids_of = coder(path, pattern)
-        for batch in batches:
-            for part in slices(batch, text_col, SLICE):
-                ids, at = ids_of(part.column(text_col))
-                raw = bpe.decode(ids)
-                bounds = np.concatenate([[0], np.cumsum(bpe.width[ids])])[at]
-                columns = [part.column(id_col), pa.array(np.diff(at)), _sha256(ids.astype("<u4").view(np.uint8), 4 * at), _sha256(raw, bounds)]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    names.append("ids")
-                    columns.append(_lists(ids, at))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        return digested(batches, path, pattern, id_col, text_col, with_ids)
 
     rows = docs.select(id_col, text_col)
     return rows.mapInArrow(work, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
