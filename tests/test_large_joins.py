@@ -32,3 +32,7 @@ def test_extracted_questions_join_without_broadcasts(spark, seeing):
     seen = seeing(X)
     df = paper_queries.extracted_questions(spark, SF)
     assert broadcasts([*seen, ("questions", plan(df))]) == [] and len(seen) > 4
+
+
+def test_extracted_stats_join_without_broadcasts(spark):
+    assert broadcasts([("stats", plan(paper_queries.extracted_stats(spark, SF)))]) == []
