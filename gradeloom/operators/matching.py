@@ -1,4 +1,8 @@
-"""Copying answer keys between versions of a paper by the wording of questions and options."""
+"""Copying answer keys between versions of a paper by the wording of questions and options.
+
+Joins are merge joins by hint where both sides grow with the papers: Spark takes a side for small by its compressed
+files, and a table that is broadcast goes through the driver whole.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +54,7 @@ def rare_tokens(rows: DataFrame, key: list[str], tokens: str, d: float, counts:
 
     Of n tokens in one order for all sets, those are the first n - ceil(n d / (2 - d)) + 1.
     """
-    each = rows.select(*key, F.size(tokens).alias("size"), F.explode(tokens).alias("token")).join(counts, "token")
+    each = rows.select(*key, F.size(tokens).alias("size"), F.explode(tokens).alias("token")).join(counts.hint("merge"), "token")
     need = F.ceil(F.lit(_share(d)) * F.col("size") - 1e-9)
     place = F.row_number().over(Window.partitionBy(*key).orderBy("n", "token"))
     return each.withColumn("place", place).where(F.col("place") <= F.col("size") - F.greatest(need, F.lit(1)) + 1).select(*key, "size", "token")
@@ -73,7 +77,7 @@ def similar_pairs(target: DataFrame, source: DataFrame, paired: Column | None =
     def met(tokens: str, d: float) -> DataFrame:
         counts = target.select(tokens).unionByName(source.select(tokens)).select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         one, two = (rare_tokens(x, ["qid", "paper_id"], tokens, d, counts).withColumnsRenamed({"qid": side, "paper_id": f"{side}_paper", "size": f"{side}_size"}) for x, side in ((target, "t"), (source, "s")))
-        both = one.join(two, "token") if asked is None else one.join(asked.select("t_paper", "s_paper").distinct(), "t_paper").join(two, ["s_paper", "token"])
+        both = one.join(two.hint("merge"), "token") if asked is None else one.join(asked.select("t_paper", "s_paper").distinct().hint("merge"), "t_paper").join(two.hint("merge"), ["s_paper", "token"])
         close = F.least("t_size", "s_size") >= F.lit(_share(d) - 1e-9) * F.greatest("t_size", "s_size")
         return both.where(close & (F.lit(True) if paired is None else paired)).select("t", "s")
 
@@ -83,7 +87,7 @@ def similar_pairs(target: DataFrame, source: DataFrame, paired: Column | None =
     pairs = pairs.distinct()
     one = target.select(F.col("qid").alias("t"), F.col("paper_id").alias("t_paper"), F.col("pos").alias("t_pos"), F.col("num").alias("t_num"), F.col("stem").alias("t_stem"), F.col("all").alias("t_all"))
     two = source.select(F.col("qid").alias("s"), F.col("paper_id").alias("s_paper"), F.col("pos").alias("s_pos"), F.col("stem").alias("s_stem"), F.col("all").alias("s_all"))
-    full = pairs.join(one, "t").join(two, "s")
+    full = pairs.join(one.hint("merge"), "t").join(two.hint("merge"), "s")
     return full.withColumn("score", _score()).where(F.col("score") >= floor).select("t", "s", "t_paper", "s_paper", "t_pos", "s_pos", "t_num", "score")
 
 
@@ -178,7 +182,7 @@ def decide(chosen: DataFrame, target: DataFrame, source: DataFrame, min_question
     s = source.select(F.col("qid").alias("s"), F.size("options").alias("s_size"), want.alias("want"))
     # options are taken apart once a question, on either side, before they meet
     t, s = t.repartition("t"), s.repartition("s")
-    rows = chosen.join(t, "t").join(s, "s").withColumn("matched", F.col("score") >= min_question)
+    rows = chosen.join(t.hint("merge"), "t").join(s.hint("merge"), "s").withColumn("matched", F.col("score") >= min_question)
     sims = F.transform("t_options", lambda o: likeness(F.col("want"), o))
     rows = rows.withColumn("sims", F.when(F.col("matched"), sims))
     ranked = F.array_sort(F.transform("sims", lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
@@ -213,7 +217,7 @@ def summary(decided: DataFrame, target: DataFrame, asked: DataFrame) -> DataFram
     )
     every = target.groupBy(F.col("paper_id").alias("t_paper")).agg(F.collect_list(F.struct("num", "qid")).alias("_all"))
     lost = F.filter("_all", lambda q: ~F.coalesce(F.array_contains("_met", q["qid"]), F.lit(False)))
-    rows = asked.select("t_paper", "s_paper").distinct().join(each, ["t_paper", "s_paper"], "left").join(every, "t_paper")
+    rows = asked.select("t_paper", "s_paper").distinct().join(each.hint("merge"), ["t_paper", "s_paper"], "left").join(every.hint("merge"), "t_paper")
     none = F.array().cast("array<int>")
     return rows.select(
         "t_paper", "s_paper", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("matched", "copied")),
@@ -231,7 +235,7 @@ def best_source(copies: DataFrame, target: DataFrame, least: float = 0.3) -> Dat
     size = target.groupBy(F.col("paper_id").alias("t_paper")).agg(F.count(F.lit(1)).alias("questions"))
     order = Window.partitionBy("t_paper").orderBy(F.desc("copied"), "s_paper")
     best = copies.where("t_paper != s_paper").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return best.join(size, "t_paper").where(F.col("copied") >= least * F.col("questions"))
+    return best.join(size.hint("merge"), "t_paper").where(F.col("copied") >= least * F.col("questions"))
 
 
 def option_keys(parts: DataFrame, key: list[str], counts: DataFrame, min_option: float) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import pytest
 
-from gradeloom.jobs import paper_queries
+from gradeloom.jobs import match_queries, paper_queries
 from gradeloom.operators import extraction as X
+from gradeloom.operators import matching as M
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,7 @@ def test_question_regions_join_without_broadcasts(spark, seeing):
     seen = seeing(X)
     df = paper_queries.question_regions(spark, SF)
     assert broadcasts([*seen, ("regions", plan(df))]) == [] and "FlatMapGroupsInPandas" not in plan(df)
+
+
+def test_question_pairs_join_without_broadcasts(spark):
+    assert broadcasts([("pairs", plan(match_queries.question_pairs(spark, SF)))]) == []
