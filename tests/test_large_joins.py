@@ -48,3 +48,10 @@ def test_question_regions_join_without_broadcasts(spark, seeing):
 
 def test_question_pairs_join_without_broadcasts(spark):
     assert broadcasts([("pairs", plan(match_queries.question_pairs(spark, SF)))]) == []
+
+
+def test_transfer_summary_joins_without_broadcasts(spark, seeing):
+    """With the stored steps, which transferred_answers has as well."""
+    seen = seeing(M)
+    df = match_queries.transfer_summary(spark, SF)
+    assert broadcasts([*seen, ("summary", plan(df))]) == [] and len(seen) > 1
