@@ -55,3 +55,7 @@ def test_transfer_summary_joins_without_broadcasts(spark, seeing):
     seen = seeing(M)
     df = match_queries.transfer_summary(spark, SF)
     assert broadcasts([*seen, ("summary", plan(df))]) == [] and len(seen) > 1
+
+
+def test_transferred_answers_join_without_broadcasts(spark):
+    assert broadcasts([("answers", plan(match_queries.transferred_answers(spark, SF)))]) == []
