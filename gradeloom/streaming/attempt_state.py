@@ -7,14 +7,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gradeloom.operators.records import apply_feed
 
-STATE = "response INT, changes INT, marked BOOLEAN, events INT"
 OUT = "attempt_id {attempt}, qid {question}, response INT, changes BIGINT, marked BOOLEAN, events BIGINT"
 LIFE = "attempt_id {attempt}, status STRING, started_at TIMESTAMP, ends_at TIMESTAMP, submitted_at TIMESTAMP, time_used_sec INT, auto_submitted BOOLEAN, visited INT, current {question}, seconds DOUBLE, events BIGINT"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,48 +40,56 @@ def fold(state: tuple, kind: str, option) -> tuple:
 class AttemptState(StatefulProcessor):
     """Keeps events until the watermark has passed them, then folds them in order.
 
-    What is emitted after each batch is the fold with the kept events included, so the last row of a key
-    is right as soon as its events are there. A timer folds and forgets kept events of a quiet key.
+    One attempt is one key, whose questions and kept events are one value, so that its events cost few calls to
+    the state. What is emitted after each batch is the fold of each question named in it, kept events included, so
+    the last row of a question is right as soon as its events are there. A timer folds and forgets kept events of
+    a quiet attempt.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", STATE)
-        self.kept = handle.getListState("kept", "event_time BIGINT, seq BIGINT, kind STRING, option INT")
+        self.state = handle.getValueState("state", "questions STRING, kept STRING")
 
-    def _settle(self, rows: list[tuple], watermark_ms: int) -> tuple:
-        state = self.done.get() if self.done.exists() else (None, 0, False, 0)
+    def _held(self) -> tuple[dict, list[list]]:
+        """Questions (qid to what fold() takes) and kept events [micros, seq, kind, qid, option]."""
+        questions, kept = map(json.loads, self.state.get() or ("[]", "[]"))
+        return {qid: tuple(state) for qid, *state in questions}, kept
+
+    def _settle(self, questions: dict, rows: list[list], watermark_ms: int) -> dict:
+        """The questions after all rows. Those that the watermark has passed count for good."""
         rows.sort(key=lambda r: r[:2])
-        settled = [r for r in rows if r[0] <= watermark_ms * 1000]
-        kept = rows[len(settled) :]
-        for _, _, kind, option in settled:
-            state = fold(state, kind, option)
-        self.done.update(state)
-        self.kept.put(kept) if kept else self.kept.clear()
+        settled = sum(r[0] <= watermark_ms * 1000 for r in rows)
+        kept = rows[settled:]
+        _fold_all(questions, rows[:settled])
+        self.state.update((json.dumps([(qid, *state) for qid, state in questions.items()]), json.dumps(kept)))
         if kept:
             self.handle.registerTimer(kept[-1][0] // 1000 + 1)
-        for _, _, kind, option in kept:
-            state = fold(state, kind, option)
-        return state
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
-        for part in rows:
-            times = part["micros"].tolist()
-            options = [None if pd.isna(o) else int(o) for o in part["option"]]
-            held += list(zip(times, part["seq"].tolist(), part["kind"].tolist(), options, strict=True))
-        state = self._settle(held, max(timerValues.getCurrentWatermarkInMs(), 0))
-        yield pd.DataFrame([(*key, *state)], columns=["attempt_id", "qid", "response", "changes", "marked", "events"]).astype({"response": "Int32"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.kept.exists():
-            self._settle([tuple(r) for r in self.kept.get()], timerValues.getCurrentWatermarkInMs())
+        _fold_all(questions, kept)
+        return questions
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        questions, held = self._held()
+        new = [[r.micros, r.seq, r.kind, r.qid, r.option] for r in rows]
+        questions = self._settle(questions, held + new, max(timerValues.getCurrentWatermarkInMs(), 0))
+        for qid in dict.fromkeys(r[3] for r in new):
+            response, changes, marked, events = questions[qid]
+            yield Row(attempt_id=key[0], qid=qid, response=response, changes=changes, marked=marked, events=events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        questions, held = self._held()
+        if held:
+            self._settle(questions, held, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def close(self) -> None:
         pass
 
 
+def _fold_all(questions: dict, rows: list[list]) -> None:
+    for _, _, kind, qid, option in rows:
+        questions[qid] = fold(questions.get(qid, (None, 0, False, 0)), kind, option)
+
+
 def _timed(log: DataFrame, delay: str) -> DataFrame:
     return log.withColumn("event_time", F.col("event_time").cast("timestamp")).withColumn("micros", F.unix_micros("event_time")).withWatermark("event_time", delay)
 
@@ -94,7 +101,8 @@ def _typed(schema: str, log: DataFrame) -> str:
 
 def attempt_states(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """A stream of upserts from a stream of events; events later than delay are dropped."""
-    return _timed(log, delay).groupBy("attempt_id", "qid").transformWithStateInPandas(statefulProcessor=AttemptState(), outputStructType=_typed(OUT, log), outputMode="Update", timeMode="EventTime")
+    timed = _timed(log, delay).select("attempt_id", "event_time", "micros", "seq", "kind", "qid", "option")
+    return timed.groupBy("attempt_id").transformWithState(statefulProcessor=AttemptState(), outputStructType=_typed(OUT, log), outputMode="Update", timeMode="EventTime")
 
 
 NEW = {"started": None, "ends": None, "submitted": None, "auto": False, "seen": [], "current": None, "seconds": 0.0, "tick": None, "events": 0}

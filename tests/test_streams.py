@@ -74,6 +74,20 @@ def test_a_timer_submits_quiet_attempts(spark, tmp_path):
     assert (got["quiet"].status, got["quiet"].time_used_sec, got["quiet"].auto_submitted, got["quiet"].visited) == ("submitted", 60, True, 1)
 
 
+def test_states_of_an_attempt_are_one_key(spark, tmp_path):
+    """Shuffled files against the fold of whole logs, with names as ids too; the state is asked for attempts, not for questions."""
+    rng = random.Random(8)
+    rows = [(f"a{a}", BEGIN + timedelta(seconds=rng.randrange(5000)), n, rng.choice(["pick", "pick", "clear", "mark", "unmark", "save", "tick"]), rng.choice([None, *(f"q{q}" for q in range(12))]), rng.randrange(3)) for a in range(9) for n in range(60)]
+    rows = [(*r[:5], r[5] if r[3] == "pick" else None) for r in rows]
+    rng.shuffle(rows)
+    schema, told = "attempt_id string, event_time timestamp, seq long, kind string, qid string, option int", []
+    got = A.run_available(A.attempt_states(files(spark, rows, schema, f"file://{tmp_path}/log", 3), "2 hours"), f"file://{tmp_path}/work", told=told).collect()
+    want = E.response_state(spark.createDataFrame(rows, schema)).collect()
+    names = ("attempt_id", "qid", "response", "changes", "marked", "events")
+    assert sorted(str([r[n] for n in names]) for r in got) == sorted(str([r[n] for n in names]) for r in want) and len(got) > 90
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in told) <= 9 * 3  # values and timers of nine attempts
+
+
 def test_feeds_keep_the_latest(spark, tmp_path):
     table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, value string")
     feed = spark.createDataFrame([(1, "x", 1, False), (1, "y", 2, None), (2, "z", 1, False), (2, None, 2, True), (4, "w", None, None), (3, "old", None, True), (3, "new", 1, False)], "id long, value string, version int, removed boolean")
