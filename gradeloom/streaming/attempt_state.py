@@ -14,6 +14,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gradeloom.operators.records import apply_feed
 
+#: What of an event reaches the state, as JSON: one text of it crosses to Python faster than its columns.
+EVENT = ("micros", "seq", "kind", "qid", "option")
 OUT = "attempt_id {attempt}, qid {question}, response INT, changes BIGINT, marked BOOLEAN, events BIGINT"
 LIFE = "attempt_id {attempt}, status STRING, started_at TIMESTAMP, ends_at TIMESTAMP, submitted_at TIMESTAMP, time_used_sec INT, auto_submitted BOOLEAN, visited INT, current {question}, seconds DOUBLE, events BIGINT"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,7 +53,7 @@ class AttemptState(StatefulProcessor):
         self.state = handle.getValueState("state", "questions STRING, kept STRING")
 
     def _held(self) -> tuple[dict, list[list]]:
-        """Questions (qid to what fold() takes) and kept events [micros, seq, kind, qid, option]."""
+        """Questions (qid to what fold() takes) and kept events, lists by EVENT."""
         questions, kept = map(json.loads, self.state.get() or ("[]", "[]"))
         return {qid: tuple(state) for qid, *state in questions}, kept
 
@@ -69,7 +71,7 @@ class AttemptState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         questions, held = self._held()
-        new = [[r.micros, r.seq, r.kind, r.qid, r.option] for r in rows]
+        new = [[e.get(c) for c in EVENT] for e in json.loads(f"[{','.join(r.event for r in rows)}]")]
         questions = self._settle(questions, held + new, max(timerValues.getCurrentWatermarkInMs(), 0))
         for qid in dict.fromkeys(r[3] for r in new):
             response, changes, marked, events = questions[qid]
@@ -101,7 +103,7 @@ def _typed(schema: str, log: DataFrame) -> str:
 
 def attempt_states(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """A stream of upserts from a stream of events; events later than delay are dropped."""
-    timed = _timed(log, delay).select("attempt_id", "event_time", "micros", "seq", "kind", "qid", "option")
+    timed = _timed(log, delay).select("attempt_id", "event_time", F.to_json(F.struct(*EVENT)).alias("event"))
     return timed.groupBy("attempt_id").transformWithState(statefulProcessor=AttemptState(), outputStructType=_typed(OUT, log), outputMode="Update", timeMode="EventTime")
 
 
